@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from lodegraph.queries import q_graph  # noqa: F401
+from lodegraph.queries import q_functions, q_graph  # noqa: F401
 from lodegraph.queries.registry import CHECKS, QUERIES  # noqa: F401
