@@ -144,6 +144,7 @@ def jobs(spark, folder) -> DataFrame:
         F.col("o_orderdate").alias("created_at"),
         F.timestamp_add("HOUR", (F.col("o_orderkey") % 72).cast("int"), F.col("o_orderdate")).alias("lease_expires_at"),
         (F.col("o_orderkey") % 7).alias("attempt"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderdate")).alias("next_attempt_at"),
     )
 
 
@@ -247,7 +248,7 @@ SQL = {
   SELECT o_orderkey AS job_id, o_custkey AS repository_id,
     CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'completed' END AS status,
     o_orderdate AS created_at, o_orderdate + to_hours(CAST(o_orderkey%72 AS INT)) AS lease_expires_at,
-    o_orderkey%7 AS attempt FROM orders""",
+    o_orderkey%7 AS attempt, CASE WHEN o_orderpriority<>'5-LOW' THEN o_orderdate END AS next_attempt_at FROM orders""",
     "named": """
   SELECT *, source||'/'||lang||'/'||CASE WHEN doc_id%7=0 THEN '__init__.py' WHEN doc_id%5=1 THEN 'service_'||doc_id||'.ts'
     WHEN doc_id%5=2 THEN 'user_model_'||doc_id||'.py' WHEN doc_id%5=3 THEN 'routes/r'||doc_id||'.py'
