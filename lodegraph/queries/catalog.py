@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from lodegraph.queries import q_facts, q_functions, q_graph, q_resolve  # noqa: F401
+from lodegraph.queries import q_facts, q_functions, q_graph, q_resolve, q_summaries  # noqa: F401
 from lodegraph.queries.registry import CHECKS, QUERIES  # noqa: F401
