@@ -27,13 +27,12 @@ def build_session(master: str | None = None, app: str = "lodegraph", **conf: str
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def checkpoint_root(spark: SparkSession) -> None:
+    """Make sure that reliable checkpoints have a folder.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a
     local-mode session without that setting gets a fresh temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,4 +41,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="lodegraph-checkpoint-")
         context.setCheckpointDir(folder)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint."""
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the checkpoint folder, shared by all executors."""
+    import uuid
+
+    checkpoint_root(spark)
+    base = spark.sparkContext.getCheckpointDir()
+    return f"{base}/{name}-{uuid.uuid4().hex}"
