@@ -4,6 +4,7 @@ from lodegraph.queries import (  # noqa: F401
     q_facts,
     q_functions,
     q_graph,
+    q_plans,
     q_quality,
     q_resolve,
     q_sources,

@@ -10,25 +10,13 @@ number their windows independently.  No key is ever gathered in one task.
 """
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.operators.groups import map_groups
 from lodegraph.operators.ranking import ranked, running_total
 
 
-def _last_start(ts: np.ndarray, width: int) -> np.ndarray:
-    """For each hit taken as a window start: index of the last start of its chain."""
-    size = len(ts)
-    following = np.searchsorted(ts, ts + width)
-    jump = np.append(np.where(following < size, following, np.arange(size)), size)[:size]
-    while True:  # doubling: every round squares the reach
-        further = jump[jump]
-        if np.array_equal(further, jump):
-            return jump
-        jump = further
-
-
 def anchored_hits(
     hits: DataFrame,
     key: str,
@@ -51,71 +39,76 @@ def anchored_hits(
     counted = stamped.groupBy(F.col(key).alias("_key"), "_t").agg(F.count(F.lit(1)).alias("_n"))
     counted = counted.withColumn("_chunk", F.floor(F.col("_t") / span).cast("bigint"))
 
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = np.sort(pdf["_t"].to_numpy())
-        last = ts[_last_start(ts, micros)] + micros
-        # only hits within one width of the chunk's first hit can be entered first by an open window
-        able = ts < ts[0] + micros
-        if not able.all():
-            able[np.argmax(~able)] = True
-        ts, last = ts[able], last[able]
-        # exits never decrease with the entry, so runs of equal exits need one row: the last entry
-        keep = np.append(last[1:] != last[:-1], True)
-        return pd.DataFrame(
-            {"_key": pdf["_key"].iloc[0], "_chunk": pdf["_chunk"].iloc[0], "_entry": ts[keep], "_exit": last[keep]}
-        )
-
-    entries = counted.groupBy("_key", "_chunk").applyInPandas(
-        summarize, f"_key {key_type}, _chunk bigint, _entry bigint, _exit bigint"
+    def summarize(group: dict) -> dict:
+        ts = group["_t"]
+        size = len(ts)
+        following = np.searchsorted(ts, ts + micros)
+        last = np.where(following < size, following, np.arange(size))
+        while True:  # doubling: each round squares how far the chain of windows is followed
+            further = last[last]
+            if np.array_equal(further, last):
+                break
+            last = further
+        ends = ts[last] + micros
+        # an open window lets in one of the hits of its width, or the first hit after that
+        able = int(np.searchsorted(ts, ts[0] + micros)) + 1
+        entry, ends = ts[:able], ends[:able]
+        # exits never decrease with the entry, so a run of equal exits needs only its last entry
+        keep = np.append(ends[1:] != ends[:-1], True)
+        return {"_key": group["_key"][0], "_chunk": group["_chunk"][0], "_entry": entry[keep], "_exit": ends[keep]}
+
+    entries = map_groups(
+        counted.select("_key", "_chunk", "_t"),
+        ["_key", "_chunk"],
+        ["_t"],
+        f"_key {key_type}, _chunk bigint, _entry bigint, _exit bigint",
+        summarize,
     )
+    # -1 stands for "no window is open"
+    closed = F.lit(-1).cast("bigint")
     if carry is None:
-        opened = entries.select("_key").distinct().withColumn("_open", F.lit(None).cast("bigint"))
+        entries = entries.withColumn("_open", closed)
     else:
         held = carry.select(F.col(key).alias("_key"), (F.col("carry_start") + micros).alias("_open"))
-        opened = entries.select("_key").distinct().join(held, "_key", "left")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_chunk", "_entry"])
-        state = pdf["_open"].iloc[0]
-        state = None if pd.isna(state) else int(state)
-        rows = []
-        for number, part in pdf.groupby("_chunk", sort=False):
-            rows.append((number, state))
-            entry = part["_entry"].to_numpy()
-            at = 0 if state is None else int(np.searchsorted(entry, state))
-            if at < len(entry):
-                state = int(part["_exit"].iloc[at])
-            # otherwise the window that was open on entry outlasts the chunk's hits
-        out = pd.DataFrame(rows, columns=["_chunk", "_open"])
-        out["_open"] = out["_open"].astype("Int64")
-        out.insert(0, "_key", pdf["_key"].iloc[0])
-        return out
-
-    states = (
-        entries.join(opened, "_key")
-        .groupBy("_key")
-        .applyInPandas(walk, f"_key {key_type}, _chunk bigint, _open bigint")
+        entries = entries.join(held, "_key", "left").withColumn("_open", F.coalesce("_open", closed))
+
+    def walk(group: dict) -> dict:
+        state = group["_open"][0]
+        numbers, entry, ends = group["_chunk"], group["_entry"], group["_exit"]
+        starts = np.append(0, np.flatnonzero(numbers[1:] != numbers[:-1]) + 1)
+        seen = np.empty(len(starts), dtype="int64")
+        for i, begin in enumerate(starts):
+            end = starts[i + 1] if i + 1 < len(starts) else len(numbers)
+            seen[i] = state
+            at = begin + int(np.searchsorted(entry[begin:end], state))
+            # without such an entry the window open on arrival outlasts the chunk's hits
+            if at < end:
+                state = ends[at]
+        return {"_key": group["_key"][0], "_chunk": numbers[starts], "_open": seen}
+
+    states = map_groups(
+        entries, ["_key"], ["_chunk", "_entry"], f"_key {key_type}, _chunk bigint, _open bigint", walk
     )
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_t")
-        ts = pdf["_t"].to_numpy()
-        opened = pdf["_open"].iloc[0]
+    def place(group: dict) -> dict:
+        ts, opened = group["_t"], group["_open"][0]
         starts = np.empty(len(ts), dtype="int64")
         at = 0
-        if not pd.isna(opened):
-            at = int(np.searchsorted(ts, int(opened)))
-            starts[:at] = int(opened) - micros
+        if opened >= 0:
+            at = int(np.searchsorted(ts, opened))
+            starts[:at] = opened - micros
         while at < len(ts):
             end = int(np.searchsorted(ts, ts[at] + micros))
             starts[at:end] = ts[at]
             at = end
-        return pd.DataFrame({"_key": pdf["_key"], "_t": ts, "_n": pdf["_n"], "_start": starts})
-
-    placed = (
-        counted.join(states, ["_key", "_chunk"])
-        .groupBy("_key", "_chunk")
-        .applyInPandas(place, f"_key {key_type}, _t bigint, _n bigint, _start bigint")
+        return {"_key": group["_key"][0], "_t": ts, "_n": group["_n"], "_start": starts}
+
+    placed = map_groups(
+        counted.join(states, ["_key", "_chunk"]).select("_key", "_chunk", "_t", "_n", "_open"),
+        ["_key", "_chunk"],
+        ["_t"],
+        f"_key {key_type}, _t bigint, _n bigint, _start bigint",
+        place,
     )
     slice_of_window = F.floor((F.col("_t") - F.col("_start")) / max(micros // 64, 1))
     summed = running_total(placed, ["_key", "_start"], ["_t"], slice_of_window, "_n", "_sum")
