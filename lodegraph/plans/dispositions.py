@@ -184,11 +184,16 @@ def classify(
 
 def split_counts(classified: DataFrame, *keys: str) -> DataFrame:
     """Unresolved diagnostics in four buckets; an unlinked in-repository target counts as a gap."""
-    kind = F.col("disposition")
-    return classified.groupBy(*keys).agg(
-        F.count_if(kind.isin("gap", "in-repo-target-exists")).alias("in_repo_gap"),
-        F.count_if(kind == "external").alias("external_reference"),
-        F.count_if(kind == "local-binding").alias("local_binding"),
-        F.count_if(kind == "non-code-asset").alias("non_code_asset"),
-        F.count(F.lit(1)).alias("total"),
+    # count each disposition once, then lay the few counts side by side
+    sizes = classified.groupBy(*keys, "disposition").agg(F.count(F.lit(1)).alias("_n"))
+
+    def among(*names: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("disposition").isin(*names), F.col("_n"))), F.lit(0))
+
+    return sizes.groupBy(*keys).agg(
+        among("gap", "in-repo-target-exists").alias("in_repo_gap"),
+        among("external").alias("external_reference"),
+        among("local-binding").alias("local_binding"),
+        among("non-code-asset").alias("non_code_asset"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("total"),
     )

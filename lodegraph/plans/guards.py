@@ -93,7 +93,7 @@ def role_of(roles: DataFrame) -> DataFrame:
     """(key, kind): middleware before service before model; callers default to dependency."""
     rank = F.when(F.col("role") == GUARD, 0).when(F.col("role") == "service", 1).when(F.col("role") == "model", 2)
     best = roles.groupBy("key").agg(F.min(rank).alias("_r")).where("_r IS NOT NULL")
-    return best.select("key", F.element_at(F.array(F.lit("middleware"), F.lit("service"), F.lit("model")), F.col("_r") + 1).alias("kind"))
+    return best.select("key", F.get(F.array(F.lit("middleware"), F.lit("service"), F.lit("model")), F.col("_r")).alias("kind"))
 
 
 def claims(anchor_rows: DataFrame, hops: DataFrame, roles: DataFrame, evidenced: DataFrame) -> DataFrame:

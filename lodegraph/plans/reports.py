@@ -109,7 +109,7 @@ def detect_framework(manifests: DataFrame) -> DataFrame:
     for position, test in reversed(list(enumerate(tests, start=1))):
         rank = F.when(test, position).otherwise(rank)
     best = manifests.groupBy("repository").agg(F.min(rank).alias("_r"))
-    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_r"))
+    label = F.get(F.array(*[F.lit(n) for n in names]), F.col("_r") - 1)
     return best.select("repository", F.coalesce(label, F.lit("Unknown")).alias("framework"))
 
 

@@ -357,10 +357,10 @@ def request_class(spark, folder):
         ELSE upper(m[1:1])||m[2:] END AS name FROM m""",
 )
 def module_of_file(spark, folder):
-    role = roles.file_role("path")
-    module = roles.module_id("path", role, F.col("path").endswith(".py"))
+    module = roles.module_id("path", "role", F.col("path").endswith(".py"))
     return (
         b.files(spark, folder)
+        .select("path", roles.file_role("path").alias("role"))
         .select("path", module.alias("module_id"))
         .withColumn("name", roles.module_display_name("module_id"))
     )

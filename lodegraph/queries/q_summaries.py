@@ -123,10 +123,10 @@ def dominant_language(spark, folder):
       SELECT module_id, count(*) AS files, min(path) AS first_path, CAST(sum(size) AS BIGINT) AS bytes FROM m GROUP BY module_id""",
 )
 def modules(spark, folder):
-    role = roles.file_role("path")
     return (
         b.files(spark, folder)
-        .groupBy(roles.module_id("path", role, F.lit(False)).alias("module_id"))
+        .withColumn("role", roles.file_role("path"))
+        .groupBy(roles.module_id("path", "role", F.lit(False)).alias("module_id"))
         .agg(F.count("*").alias("files"), F.min("path").alias("first_path"), F.sum("size").alias("bytes"))
     )
 
