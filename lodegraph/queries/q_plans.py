@@ -10,6 +10,7 @@ from lodegraph.queries.q_facts import SUPPORT_SQL, support_inputs
 from lodegraph.queries.q_functions import _ROLE_SQL
 from lodegraph.queries.q_resolve import _ABSOLUTE_SQL, _ROOTS_SQL
 from lodegraph.queries.registry import query
+from lodegraph.session import checkpoint
 
 # --- dispositions ------------------------------------------------------------
 
@@ -284,8 +285,11 @@ def _architecture(spark, folder):
         F.concat(F.lit("file:"), "path").alias("object_key"),
         F.lit(None).cast("string").alias("path"),
     )
-    rows = from_files.unionByName(from_root).unionByName(from_modules).withColumn(
-        "edge_id", identity.edge_id("subject_key", "predicate", "object_key")
+    # sealed edges are a stored table; the read models scan them many times
+    rows = checkpoint(
+        from_files.unionByName(from_root)
+        .unionByName(from_modules)
+        .withColumn("edge_id", identity.edge_id("subject_key", "predicate", "object_key"))
     )
     columns = ["edge_id", "subject_kind", "subject_key", "predicate", "object_kind", "object_key"]
     edges = rows.select(*columns).distinct()
@@ -296,7 +300,7 @@ def _architecture(spark, folder):
     )
     ends = edges.select(F.explode(F.array("subject_key", "object_key")).alias("key"))
     related = ends.where(F.col("key").startswith("file:")).select(F.regexp_replace("key", "^file:", "").alias("path"))
-    members = architecture.module_members(files, related)
+    members = checkpoint(architecture.module_members(files, related))
     known = members.select(F.col("module_id").alias("node_id")).distinct().unionByName(
         declared.select(F.col("dep_key").alias("node_id"))
     )
