@@ -3,7 +3,7 @@
 Each fact becomes one canonical JSON record.  Evidence and derivations are
 records of their own that name their parent, so a fact with very many of them
 stays spread over tasks.  Distinct record hashes are combined in a fixed tree
-over their hex prefix; no group holds more than a few thousand hashes.
+over their hex prefix, so that every group is small.
 """
 
 from pyspark.sql import DataFrame
@@ -13,21 +13,21 @@ from lodegraph.functions import identity
 from lodegraph.functions.identity import canonical_json, sorted_struct
 from lodegraph.operators.resolve import union_all
 
-# Prefix lengths of the tree levels: 16**3 = 4096 children at most, and with 16**8
-# leaves a leaf stays small even for a trillion records.
-LEVELS = (8, 5, 2, 0)
+# Prefix lengths of the tree levels.  With 16**6 leaves a leaf holds some 60,000 hashes
+# for a trillion records; an inner node has at most 16**3 = 4096 children.
+LEVELS = (6, 3, 0)
 
 
 def tree_digest(records: DataFrame, keys: list[str], text: str = "record") -> DataFrame:
     """One digest per key over the set of its record texts."""
-    level = records.select(*keys, F.sha2(F.col(text), 256).alias("_h")).distinct()
+    level = records.select(*keys, F.sha2(F.col(text), 256).alias("_h"))
     level = level.withColumn("_p", F.col("_h"))
     for digits in LEVELS:
+        # collecting a set also drops repeated records, map-side first
         level = (
             level.withColumn("_p", F.substring("_p", 1, digits))
             .groupBy(*keys, "_p")
-            # ordered by the children's prefixes first, then by hash
-            .agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_h"))
+            .agg(F.sha2(F.array_join(F.array_sort(F.collect_set("_h")), ""), 256).alias("_h"))
         )
     return level.select(*keys, F.concat(F.lit("sha256:"), "_h").alias("digest"))
 

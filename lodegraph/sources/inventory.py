@@ -23,12 +23,25 @@ def is_source_path(path) -> Column:
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, content) of the source files below ``root``, listed and read by Spark."""
+    """(path, size, content) of the source files below ``root``, listed and read by Spark.
+
+    Spark reads no empty files, so these come from the file index that Spark keeps on
+    the driver anyway; contents never pass the driver.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").removeprefix("file:")
-    bare = F.regexp_replace("path", "^file:/*", "/")
-    relative = bare.substr(F.lit(len(base) + 2), F.length(bare))
-    return raw.select(relative.alias("path"), F.col("length").alias("size"), "content").where(is_source_path("path"))
+
+    def relative(path) -> Column:
+        bare = F.regexp_replace(path, "^file:/*", "/")
+        return bare.substr(F.lit(len(base) + 2), F.length(bare))
+
+    read = raw.select(relative(F.col("path")).alias("path"), F.col("length").alias("size"), "content")
+    index = spark.createDataFrame([(name,) for name in raw.inputFiles()], "name string")
+    listed = index.select(relative(F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B")))).alias("path"))
+    empty = listed.join(read.select("path"), "path", "left_anti").select(
+        "path", F.lit(0).cast("long").alias("size"), F.unhex(F.lit("")).alias("content")
+    )
+    return read.unionByName(empty).where(is_source_path("path"))
 
 
 def distinct_paths(files: DataFrame, path: str = "path") -> DataFrame:
@@ -46,11 +59,10 @@ def triage(files: DataFrame, limit: int = SOURCE_LIMIT) -> DataFrame:
     code = (
         F.when(~paths.is_valid_path("path"), "RI-SEC-PATH-ESCAPE")
         .when(F.length(content) > limit, "RI-LIMIT-SKIP")
-        .when(F.instr(F.hex(content), "00") > 0, F.when(_has_nul(content), "RI-SRC-BINARY"))
-        .otherwise(F.lit(None))
+        .when(_has_nul(content), "RI-SRC-BINARY")
+        .when(~F.is_valid_utf8(content.cast("string")), "RI-SRC-MALFORMED")
     )
-    malformed = F.when(code.isNull() & ~F.is_valid_utf8(content.cast("string")), "RI-SRC-MALFORMED")
-    return files.withColumn("code", F.coalesce(code, malformed))
+    return files.withColumn("code", code)
 
 
 def _has_nul(content: Column) -> Column:
