@@ -28,11 +28,12 @@ def label_rows(
 
     The first occurrences of a key on each side are the matched ones.
     """
-    tp = match_counts(expected, actual, keys).select(*keys, "tp")
+    # a struct compares nulls as equal, so rows with null keys stay
+    tp = match_counts(expected, actual, keys).select(F.struct(*keys).alias("_key"), "tp")
 
     def numbered(side: DataFrame) -> DataFrame:
         placed = ranked(side, keys, [F.col(order)], granule, "_rn")
-        return placed.join(tp, keys)
+        return placed.withColumn("_key", F.struct(*keys)).join(tp, "_key")
 
     left = numbered(expected).withColumn("label", F.when(F.col("_rn") <= F.col("tp"), "TP").otherwise("FN"))
     right = numbered(actual).where(F.col("_rn") > F.col("tp")).withColumn("label", F.lit("FP"))

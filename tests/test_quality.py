@@ -1,0 +1,171 @@
+"""Every seal rule with a passing snapshot and one violation each; hashes ignore order."""
+
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodegraph import schemas
+from lodegraph.functions import identity
+from lodegraph.operators import hashing, quality
+
+NOW = datetime.datetime(2024, 1, 1)
+REVISION = "0" * 40
+
+
+@pytest.fixture(scope="module")
+def sound(spark):
+    """One snapshot that satisfies every rule."""
+    producers = ["ast@1", "resolver@1", "roles@1"]
+    snapshots = spark.createDataFrame(
+        [("s", "r", "git", REVISION, "refs/heads/x", "ri.v1", producers, "", "", "building", None, NOW, None)], schemas.SNAPSHOTS
+    )
+    snapshots = snapshots.withColumn("producer_set_hash", identity.producer_set_hash("producer_version_set")).withColumn(
+        "config_hash", identity.config_hash(F.lit(None).cast("struct<a:string>"))
+    )
+    nodes = spark.createDataFrame(
+        [
+            ("s", "repo:root", "repository", "repository", None, "observed", None),
+            ("s", "file:a.py", "file", "a.py", "Python", "observed", {"z": "1", "b": "2"}),
+            ("s", "a.py::f", "symbol", "f", "Python", "observed", {}),
+        ],
+        schemas.NODES,
+    )
+    fields = {"path": F.lit("a.py"), "start_line": F.lit(2), "end_line": F.lit(2), "extractor": F.lit("ast"), "extractor_version": F.lit("1")}
+    ids = spark.range(1).select(
+        identity.observation_id(
+            F.lit("git"), F.lit(REVISION), F.lit("call"), F.lit("file"), F.lit("file:a.py"), F.lit("f"), F.lit(1), fields
+        ).alias("o"),
+        identity.edge_id(F.lit("file:a.py"), F.lit("calls"), F.lit("a.py::f")).alias("e"),
+    ).first()
+    references = F.array(
+        F.struct(F.lit("edge").alias("kind"), F.lit(ids.e).alias("identity")),
+        F.struct(F.lit("node").alias("kind"), F.lit("a.py::f").alias("identity")),
+    )
+    value = identity.sorted_struct(classification=F.lit("service"), confidence=F.lit("heuristic"))
+    assertion = spark.range(1).select(
+        identity.assertion_id(
+            F.lit("symbol"), F.lit("a.py::f"), F.lit("classified_as"), value, F.lit("inferred"), F.lit("roles"), F.lit("1"),
+            identity.derived_from_json(references),
+        ).alias("a")
+    ).first().a
+    span = ("a.py", 2, 2, 3, "span", "ast", "1")
+    return {
+        "snapshots": snapshots,
+        "nodes": nodes,
+        "edges": spark.createDataFrame(
+            [("s", ids.e, "file", "file:a.py", "calls", "symbol", "a.py::f", "resolved", "resolver", "1")], schemas.EDGES
+        ),
+        "observations": spark.createDataFrame([("s", ids.o, "call", "file", "file:a.py", "f", 1)], schemas.OBSERVATIONS),
+        "assertions": spark.createDataFrame(
+            [("s", assertion, "symbol", "a.py::f", "classified_as", ("service", "heuristic"), "inferred", "roles", "1")],
+            schemas.ASSERTIONS,
+        ),
+        "evidence": spark.createDataFrame(
+            [("s", "node", k, *span) for k in ("repo:root", "file:a.py", "a.py::f")]
+            + [("s", "observation", ids.o, *span), ("s", "edge", ids.e, "a.py", 2, 2, 3, "span", "resolver", "1")],
+            schemas.EVIDENCE,
+        ),
+        "derivations": spark.createDataFrame(
+            [
+                ("s", "edge", ids.e, "observation", ids.o),
+                ("s", "assertion", assertion, "edge", ids.e),
+                ("s", "assertion", assertion, "node", "a.py::f"),
+            ],
+            schemas.DERIVATIONS,
+        ),
+        "diagnostics": spark.createDataFrame(
+            [("s", "RI-RES-UNRESOLVED", "resolution", "warning", "m", "a.py", 2, 2, "resolver@1", None, None, (ids.o, []))],
+            schemas.DIAGNOSTICS,
+        ),
+    }
+
+
+def rules(tables):
+    return {r.rule for r in quality.seal_violations(tables).select("rule").distinct().collect()}
+
+
+def test_sound_snapshot_seals(sound):
+    assert rules(sound) == set()
+
+
+def changed(sound, table, column, value, where="true"):
+    df = sound[table]
+    new = F.when(F.expr(where), value if not isinstance(value, (str, int)) else F.lit(value)).otherwise(F.col(column))
+    return {**sound, table: df.withColumn(column, new)}
+
+
+CASES = {
+    "V1": lambda s: changed(s, "snapshots", "producer_set_hash", "sha256:0"),
+    "V2": lambda s: changed(s, "diagnostics", "severity", "fatal"),
+    "V3": lambda s: {**s, "nodes": s["nodes"].where("node_kind <> 'repository'")},
+    "V4": lambda s: changed(s, "nodes", "stable_key", "file:./a.py", "node_kind = 'file'"),
+    "V5": lambda s: changed(s, "evidence", "end_line", 9, "parent_kind = 'edge'"),
+    "V6": lambda s: {**s, "evidence": s["evidence"].where("parent_id <> 'repo:root'")},
+    "V7": lambda s: changed(s, "observations", "ordinal", 2),
+    "V8": lambda s: {**s, "derivations": s["derivations"].where("parent_kind <> 'edge'")},
+    "V9": lambda s: changed(s, "assertions", "predicate", "renamed"),
+    "V10": lambda s: changed(s, "derivations", "ref_identity", "gone", "ref_kind = 'node'"),
+    "V12": lambda s: changed(s, "diagnostics", "span_end", F.lit(None)),
+    "V14": lambda s: {**s, "nodes": s["nodes"].unionByName(s["nodes"].where("node_kind = 'file'"))},
+}
+
+
+@pytest.mark.parametrize("rule", sorted(CASES))
+def test_rule_is_broken(sound, rule):
+    assert rule in rules(CASES[rule](sound))
+
+
+def test_line_count_conflict(sound):
+    other = sound["evidence"].where("parent_kind = 'edge'").withColumn("logical_line_count", F.lit(7))
+    rows = quality.line_counts_agree(sound["evidence"].unionByName(other)).collect()
+    assert [r.rule for r in rows] == ["V13"]
+
+
+def test_cycle_and_dag(spark, sound):
+    schema = "source string, target string"
+    dag = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "a")], schema)
+    assert quality.cyclic_links(dag).count() == 0
+    ring = dag.unionByName(spark.createDataFrame([("c", "a"), ("x", "x")], schema))
+    assert {tuple(r) for r in quality.cyclic_links(ring).collect()} == {("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("x", "x")}
+    edge = sound["edges"].first().edge_id
+    assertion = sound["assertions"].first().assertion_id
+    back = spark.createDataFrame([("s", "edge", edge, "assertion", assertion)], schemas.DERIVATIONS)
+    rows = quality.derivations_acyclic(sound["derivations"].unionByName(back)).collect()
+    assert {r.rule for r in rows} == {"V11"} and len(rows) == 2
+
+
+def test_long_reference_lists_hash_alike(spark):
+    """The streamed hash of long reference lists equals the built-in one."""
+    schema = schemas.DERIVATIONS
+    refs = [("s", "assertion", f"a{i}", kind, f"{kind}{j:03d}é") for i in range(7) for j in range(40) for kind in ("node", "edge", "observation")]
+    derivations = spark.createDataFrame(refs, schema)
+    assertions = spark.createDataFrame(
+        [("s", f"a{i}", "symbol", f"k{i}", "p", ("c", "h"), "inferred", "x", "1") for i in range(7)], schemas.ASSERTIONS
+    )
+    short = {tuple(r) for r in quality.recomputed_assertion_ids(assertions, derivations, 1000).collect()}
+    streamed = {tuple(r) for r in quality.recomputed_assertion_ids(assertions, derivations, 2).collect()}
+    assert short == streamed and len(short) == 7
+
+
+def test_graph_hash_ignores_order_and_duplicates(spark, sound):
+    first = hashing.graph_hash(sound).first().canonical_graph_hash
+    shuffled = {name: df.unionByName(df).repartition(3).orderBy(F.rand(5)) for name, df in sound.items() if name != "snapshots"}
+    assert hashing.graph_hash({**shuffled, "snapshots": sound["snapshots"]}).first().canonical_graph_hash == first
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert hashing.graph_hash(sound).first().canonical_graph_hash == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    other = changed(sound, "nodes", "name", "renamed", "node_kind = 'symbol'")
+    assert hashing.graph_hash(other).first().canonical_graph_hash != first
+
+
+def test_snapshots_do_not_share_a_hash(sound):
+    def renamed(df):
+        return df.withColumn("snapshot_id", F.lit("t"))
+
+    both = {name: df.unionByName(renamed(df)) for name, df in sound.items()}
+    rows = hashing.graph_hash(both).collect()
+    # the snapshot id itself takes no part in the hash
+    assert len(rows) == 2 and rows[0].canonical_graph_hash == rows[1].canonical_graph_hash
