@@ -13,6 +13,8 @@ IMPACT_PREDICATES = ("depends_on", "imports")
 MAX_DEPTH = 10
 MAX_STEPS = 100
 
+COMPACT_EVERY = 16
+
 EDGE_ORDER = ("subject_key", "predicate", "object_key", "edge_id")
 
 
@@ -85,7 +87,7 @@ def descendants(edges: DataFrame, roots: DataFrame, near: str = "subject_key", f
     """
     links = edges.select(F.col(near).alias("_from"), F.col(far).alias("_to")).distinct()
     fresh = checkpoint(roots.select("root", F.col("root").alias("node")).distinct())
-    known = fresh
+    known, levels = fresh, 0
     while True:
         step = (
             fresh.join(links, fresh["node"] == links["_from"])
@@ -96,7 +98,10 @@ def descendants(edges: DataFrame, roots: DataFrame, near: str = "subject_key", f
         fresh = checkpoint(step)
         if fresh.isEmpty():
             return known
-        known = checkpoint(known.unionByName(fresh))
+        # every level is stored already; the union is only rewritten when it gets long
+        known, levels = known.unionByName(fresh), levels + 1
+        if levels % COMPACT_EVERY == 0:
+            known = checkpoint(known)
 
 
 def subtree(edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.operators.resolve import union_all
+from lodegraph.operators.traversal import COMPACT_EVERY
 from lodegraph.session import checkpoint
 
 GUARD, TARGETS = "auth_dependency", ("service", "model")
@@ -62,7 +63,9 @@ def guard_paths(edges: DataFrame, guards: DataFrame) -> DataFrame:
         if fresh.isEmpty():
             break
         tree.append(fresh)
-        visited = checkpoint(visited.unionByName(fresh.select("guard", "node")))
+        visited = visited.unionByName(fresh.select("guard", "node"))
+        if len(tree) % COMPACT_EVERY == 0:
+            visited = checkpoint(visited)
     if not tree:
         return start.select(
             "guard",

@@ -10,6 +10,7 @@ number their windows independently.  No key is ever gathered in one task.
 """
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,10 @@ def anchored_hits(
 
     ``time`` is a timestamp; ``tie`` orders hits of the same time.  ``carry`` holds the open
     windows of earlier input: key, carry_start (microseconds), carry_count.
+
+    ``chunk`` (seconds) bounds what one task holds: the distinct times of one key in one
+    chunk.  Shorter chunks need less memory, longer ones leave fewer entries to walk.
+    Hits without a key or a time are not counted.
     """
     micros = width * 1_000_000
     span = (chunk or max(width * 16, 86_400)) * 1_000_000
@@ -72,22 +77,37 @@ def anchored_hits(
         held = carry.select(F.col(key).alias("_key"), (F.col("carry_start") + micros).alias("_open"))
         entries = entries.join(held, "_key", "left").withColumn("_open", F.coalesce("_open", closed))
 
-    def walk(group: dict) -> dict:
-        state = group["_open"][0]
-        numbers, entry, ends = group["_chunk"], group["_entry"], group["_exit"]
-        starts = np.append(0, np.flatnonzero(numbers[1:] != numbers[:-1]) + 1)
-        seen = np.empty(len(starts), dtype="int64")
-        for i, begin in enumerate(starts):
-            end = starts[i + 1] if i + 1 < len(starts) else len(numbers)
-            seen[i] = state
-            at = begin + int(np.searchsorted(entry[begin:end], state))
-            # without such an entry the window open on arrival outlasts the chunk's hits
-            if at < end:
-                state = ends[at]
-        return {"_key": group["_key"][0], "_chunk": numbers[starts], "_open": seen}
-
-    states = map_groups(
-        entries, ["_key"], ["_chunk", "_entry"], f"_key {key_type}, _chunk bigint, _open bigint", walk
+    def walk(batches):
+        # streams over the sorted entries and remembers one number, however many entries a key has
+        key_now, chunk_now, state, entered = None, None, -1, False
+        for batch in batches:
+            keys, numbers = batch["_key"].to_numpy(), batch["_chunk"].to_numpy()
+            entry, ends, opened = batch["_entry"].to_numpy(), batch["_exit"].to_numpy(), batch["_open"].to_numpy()
+            if not len(keys):
+                continue
+            changed = (keys[1:] != keys[:-1]) | (numbers[1:] != numbers[:-1])
+            starts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(keys)]
+            seen: dict = {"_key": [], "_chunk": [], "_open": []}
+            for begin, end in zip(starts, starts[1:]):
+                if keys[begin] != key_now or numbers[begin] != chunk_now:
+                    if keys[begin] != key_now:
+                        state = opened[begin]
+                    key_now, chunk_now, entered = keys[begin], numbers[begin], False
+                    for name, value in (("_key", key_now), ("_chunk", chunk_now), ("_open", state)):
+                        seen[name].append(value)
+                if entered:
+                    continue
+                # without such an entry the window open on arrival outlasts the chunk's hits
+                at = begin + int(np.searchsorted(entry[begin:end], state))
+                if at < end:
+                    state, entered = ends[at], True
+            if seen["_key"]:
+                yield pd.DataFrame(seen)
+
+    states = (
+        entries.repartition("_key")
+        .sortWithinPartitions("_key", "_chunk", "_entry")
+        .mapInPandas(walk, f"_key {key_type}, _chunk bigint, _open bigint")
     )
 
     def place(group: dict) -> dict:
