@@ -10,6 +10,8 @@ inside one granule.  The result equals the plain window.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.session import checkpoint
+
 
 def _with_offsets(df: DataFrame, keys: list[str], granule: Column, measure: Column) -> DataFrame:
     # Struct equality treats nulls as equal, so null keys keep their rows.
@@ -50,6 +52,18 @@ def running_total(
     )
 
 
+def with_slices(df: DataFrame, keys: list[str], order: list[str], slices: int | None = None) -> DataFrame:
+    """Add ``_slice``, a granule for any sort columns, text included.
+
+    Rows are range-partitioned by (keys, order) and the partition number becomes the
+    granule, so a hot key spreads over as many slices as it fills.  The numbers are
+    checkpointed because a range partitioning computed twice may cut elsewhere.
+    """
+    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(count, *keys, *order).withColumn("_slice", F.spark_partition_id())
+    return checkpoint(placed)
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
     """The row with the smallest ``order`` per key, as a map-side combined aggregate."""
     packed = F.min(F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], *columns)).alias("_m")

@@ -513,8 +513,8 @@ def content_hash(spark, folder):
 def utc_time(spark, folder):
     return b.table(spark, folder, "events").select(
         "event_id",
-        F.to_utc_timestamp("ts", "UTC").alias("utc"),
-        F.to_utc_timestamp("ts", "Europe/Berlin").alias("from_berlin"),
+        F.to_utc_timestamp("ts", "UTC").cast("timestamp_ntz").alias("utc"),
+        F.to_utc_timestamp("ts", "Europe/Berlin").cast("timestamp_ntz").alias("from_berlin"),
     )
 
 

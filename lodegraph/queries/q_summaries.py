@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import paths, roles
 from lodegraph.operators import lineage, summaries
-from lodegraph.operators.ranking import ranked, running_total
+from lodegraph.operators.ranking import ranked, running_total, with_slices
 from lodegraph.queries import bindings as b
 from lodegraph.queries.q_functions import _ROLE_SQL
 from lodegraph.queries.registry import query
@@ -437,8 +437,8 @@ def appended_turns(spark, folder):
 )
 def byte_budget(spark, folder):
     rows = b.files(spark, folder).withColumn("repository", F.substring_index("path", "/", 1))
-    # path prefixes never decrease along path order, so they cut a large repository into slices
-    totals = running_total(rows, ["repository"], ["path"], F.substring("path", 1, 16), "size", "total")
+    sliced = with_slices(rows, ["repository"], ["path"])
+    totals = running_total(sliced, ["repository"], ["path"], F.col("_slice"), "size", "total")
     return totals.select("repository", "path", "total", (F.col("total") > 60000).alias("over_budget"))
 
 

@@ -144,7 +144,7 @@ def anchored_hits(
     left = F.ceil((F.col("_start") + micros - F.col("_t")) / 1_000_000).cast("long")
     return numbered.select(
         *hits.columns,
-        F.timestamp_micros("_start").alias("window_start"),
+        F.timestamp_micros("_start").cast(hits.schema[time].dataType).alias("window_start"),
         (F.col("_earlier") + F.col("_rn")).alias("hit_count"),
         F.greatest(left, F.lit(1)).alias("reset_seconds"),
     )
@@ -154,7 +154,7 @@ def open_windows(counted: DataFrame, key: str, time: str, width: int) -> DataFra
     """Windows that may still take hits after the newest hit seen: (key, carry_start, carry_count)."""
     newest = counted.select(F.max(F.unix_micros(F.col(time).cast("timestamp"))).alias("m")).scalar()
     state = counted.groupBy(key).agg(
-        F.max(F.struct(F.unix_micros("window_start").alias("s"), F.col("hit_count").alias("c"))).alias("_w")
+        F.max(F.struct(F.unix_micros(F.col("window_start").cast("timestamp")).alias("s"), F.col("hit_count").alias("c"))).alias("_w")
     )
     return state.select(key, F.col("_w.s").alias("carry_start"), F.col("_w.c").alias("carry_count")).where(
         F.col("carry_start") + width * 1_000_000 > newest

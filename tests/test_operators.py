@@ -31,6 +31,19 @@ def test_ranked_equals_plain_window(spark):
     assert len(got) == 600
 
 
+def test_slices_number_a_hot_text_key(spark):
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.8 else "cold", f"same/long/prefix/{rng.randrange(300):04d}", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, path string, id int")
+    sliced = ranking.with_slices(df, ["k"], ["path"], 6)
+    assert sliced.where("k = 'hot'").select("_slice").distinct().count() > 2
+    got = {r.id: r.rn for r in ranking.ranked(sliced, ["k"], ["path", "id"], F.col("_slice")).collect()}
+    seen = Counter()
+    for k, _, i in sorted(rows):
+        seen[k] += 1
+        assert got[i] == seen[k]
+
+
 def test_impact_cap_boundary(spark):
     exact = edge_table(spark, [(f"n{i:03d}", "root") for i in range(100)])
     rows = traversal.impact(exact, "root", "inbound").collect()
