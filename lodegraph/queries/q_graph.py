@@ -6,6 +6,7 @@ from lodegraph.operators import traversal
 from lodegraph.plans import guards
 from lodegraph.queries import bindings as b
 from lodegraph.queries.registry import query
+from lodegraph.session import checkpoint
 
 
 def _impact_sql(start: str, near: str, far: str, levels: int) -> str:
@@ -70,7 +71,8 @@ def _guard_graph(spark, folder):
             F.col(ends[0]).alias("subject_key"), F.lit(predicate).alias("predicate"), F.col(ends[1]).alias("object_key"), "edge_id"
         )
 
-    graph = (
+    # sealed edges are a stored table that every level of the walk scans
+    graph = checkpoint(
         pick("order", "customer", "routes_to", False)
         .unionByName(pick("customer", "nation", "injects", False))
         .unionByName(pick("supplier", "nation", "calls", True))

@@ -6,6 +6,7 @@ from lodegraph.functions import identity
 from lodegraph.operators import hashing, quality, scoring
 from lodegraph.queries import bindings as b
 from lodegraph.queries.registry import query
+from lodegraph.session import checkpoint
 
 def _snap():
     return F.lit("s1").alias("snapshot_id")
@@ -154,7 +155,8 @@ def v7(spark, folder):
       UNION ALL SELECT 's1','V8',id,'no source observation' FROM e JOIN o ON o_orderkey=l_orderkey WHERE o_orderpriority='5-LOW'""",
 )
 def v8(spark, folder):
-    edges = (
+    # sealed edges are a stored table that each part of the rule scans
+    edges = checkpoint(
         b.edges(spark, folder)
         .where("subject_kind = 'order' AND object_kind = 'part'")
         .select(_snap(), "*", F.lit("resolver").alias("producer"), F.lit("1").alias("producer_version"))

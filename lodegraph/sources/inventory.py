@@ -111,14 +111,17 @@ def requirements(manifests: DataFrame, key: str, text: str = "text") -> DataFram
     Comments and option lines are skipped; ``#`` only starts a comment after whitespace.
     """
     numbered = manifests.select(key, F.posexplode(F.split(F.col(text), LINE_BREAK, -1)).alias("_p", "_raw"))
-    stripped = numbered.withColumn("_v", F.regexp_replace("_raw", r"^\s+|\s+$", ""))
-    kept = stripped.where(~F.col("_v").rlike(r"^(#|-|\.|$)"))
-    value = kept.withColumn("_v", F.regexp_replace(F.regexp_replace("_v", r"\s+#.*$", ""), r"\s+$", ""))
+    blank = F.lit(" \t\n\x0b\x0c\r")
+    stripped = numbered.withColumn("_v", F.btrim("_raw", blank))
+    kept = stripped.where((F.col("_v") != "") & ~F.substring("_v", 1, 1).isin("#", "-", "."))
+    bare = F.when(F.col("_v").contains("#"), F.rtrim(F.regexp_replace("_v", r"\s+#.*$", ""), blank)).otherwise(F.col("_v"))
+    value = kept.withColumn("_v", bare)
     name = F.regexp_extract("_v", r"^[^\[<>=!~@\s]*", 0)
-    rest = F.regexp_replace(F.col("_v").substr(F.length(name) + 1, F.length("_v")), r"^\s+|\s+$", "")
-    return value.select(
-        key, (F.col("_p") + 1).alias("line_number"), name.alias("name"), F.nullif(rest, F.lit("")).alias("version")
-    ).where("name <> ''")
+    named = value.select(key, "_p", "_v", name.alias("name")).where("name <> ''")
+    rest = F.btrim(F.col("_v").substr(F.length("name") + 1, F.length("_v")), blank)
+    return named.select(
+        key, (F.col("_p") + 1).alias("line_number"), "name", F.nullif(rest, F.lit("")).alias("version")
+    )
 
 
 # Manifest sections and the dependency type each declares.
