@@ -230,10 +230,11 @@ def cross_layer(spark, folder):
       SELECT layer, CASE layer WHEN 'presentation' THEN 0 WHEN 'business-logic' THEN 1 WHEN 'domain' THEN 2 WHEN 'infrastructure' THEN 3 ELSE 4 END AS position, count(DISTINCT module) AS modules, count(*) AS files FROM l GROUP BY ALL""",
 )
 def layer_rollup(spark, folder):
-    layer = roles.layer(roles.file_role("path"))
     return (
         b.files(spark, folder)
-        .select(F.substring_index("path", "/", 1).alias("module"), layer.alias("layer"))
+        # the role is its own column first, so that the layer rules do not repeat the role patterns
+        .withColumn("role", roles.file_role("path"))
+        .select(F.substring_index("path", "/", 1).alias("module"), roles.layer("role").alias("layer"))
         .groupBy("layer")
         .agg(F.countDistinct("module").alias("modules"), F.count("*").alias("files"))
         .withColumn("position", roles.layer_order("layer"))
