@@ -191,12 +191,11 @@ def notable_symbols(members: DataFrame, symbols: DataFrame, limit: int = 4) -> D
 
 def request_flow(module_table: DataFrame, shown: int = 6) -> DataFrame:
     """Steps of a request; no rows at all when no module is a route or controller."""
+    role = F.col("role")
     step = (
-        F.when(F.col("role").isin("route", "controller"), F.lit("1 api"))
-        .when(F.col("role") == "service", F.lit("2 service"))
-        .when(F.col("role") == "repository", F.lit("3 repository"))
+        F.when(role == "service", F.lit("2 service")).when(role == "repository", F.lit("3 repository")).otherwise("1 api")
     )
-    rows = module_table.withColumn("step", step).where("step IS NOT NULL")
+    rows = module_table.where(role.isin("route", "controller", "service", "repository")).withColumn("step", step)
     sizes = rows.groupBy("step").agg(F.count(F.lit(1)).alias("modules"))
     listed = (
         facts.top_per_group(rows, ["step"], [F.col("name"), F.col("module_id")], shown)
@@ -205,9 +204,11 @@ def request_flow(module_table: DataFrame, shown: int = 6) -> DataFrame:
     )
     more = F.when(F.col("modules") > shown, F.concat(F.lit(", and "), F.col("modules") - shown, F.lit(" more"))).otherwise("")
     steps = sizes.join(listed, "step").select("step", "modules", F.concat("details", more).alias("details"))
-    entry = steps.where("step = '1 api'").select(F.lit("0 client").alias("step"), F.lit(0).cast("long").alias("modules"), F.lit("").alias("details"))
-    has_entry = steps.where("step = '1 api'").select(F.count(F.lit(1)).alias("n")).scalar()
-    return steps.where(has_entry > 0).unionByName(entry)
+    entries = module_table.where(role.isin("route", "controller")).select(F.count(F.lit(1)).alias("n")).scalar()
+    client = module_table.sparkSession.range(1).select(
+        F.lit("0 client").alias("step"), F.lit(0).cast("long").alias("modules"), F.lit("").alias("details")
+    )
+    return steps.unionByName(client).where(entries > 0)
 
 
 def cross_layer_counts(edges: DataFrame, layers: DataFrame) -> DataFrame:
