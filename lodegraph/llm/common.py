@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
     for batch in batches:
         start, held = 0, 0
         values = batch.column(batch.schema.get_field_index(column))
-        sizes = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
         for row, size in enumerate(sizes):
             if held and held + size > limit:
                 yield batch.slice(start, row - start)
