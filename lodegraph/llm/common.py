@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.session import scratch_folder
+
 #: Bytes of text that a Python step works on at a time.
 SLICE_BYTES = 4_000_000
 
@@ -54,3 +56,10 @@ def stream_with_side(side: DataFrame, rows: DataFrame, key: str, partitions: int
 
 def partitions_for(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table below the cluster's checkpoint folder, and read again."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

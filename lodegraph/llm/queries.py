@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe
+from lodegraph.llm import bpe, lines, simhash
 from lodegraph.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -33,3 +33,39 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that at least five documents share, dropped from all but the last of them."""
+    kept = lines.drop_frequent_lines(table(spark, folder, "documents"), ["doc_id"], min_chars=40, min_docs=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+CHECKS["op3_line_dedup"] = """
+with split_lines as (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place
+    from documents
+), keyed as (
+    select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line_key
+    from split_lines
+), frequent as (
+    select line_key, max(doc_id) as last_doc from keyed where length(line_key) >= 40
+    group by line_key having count(distinct doc_id) >= 5
+), judged as (
+    select k.*, f.line_key is not null and k.doc_id <> f.last_doc as dropped
+    from keyed k left join frequent f using (line_key)
+)
+select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by place) filter (not dropped), '')) as kept_sha256
+from judged group by doc_id
+"""
+
+
+@query
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of documents whose fingerprints differ in two bits or less."""
+    classes = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, bits=2, blocks=4, equal=2)
+    return classes.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
