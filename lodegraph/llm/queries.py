@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, lines, simhash
+from lodegraph.llm import bpe, decontaminate, lines, quality, simhash
 from lodegraph.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -69,3 +69,16 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of documents whose fingerprints differ in two bits or less."""
     classes = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, bits=2, blocks=4, equal=2)
     return classes.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark passages that documents hold, with up to one edit in ten characters."""
+    return decontaminate.passages_in(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents, and whether they are kept."""
+    scored = quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"), ["doc_id"])
+    return scored.withColumn("keep", F.col("score") >= 0.5)
