@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, decontaminate, lines, quality, simhash
+from lodegraph.llm import bpe, decontaminate, fingerprints, lines, quality, simhash
 from lodegraph.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -82,3 +82,9 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of all documents, and whether they are kept."""
     scored = quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"), ["doc_id"])
     return scored.withColumn("keep", F.col("score") >= 0.5)
+
+
+@query
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how near these are."""
+    return fingerprints.fingerprint_versions(table(spark, folder, "documents"))
