@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import slices
+from lodegraph.llm.common import slices, stored
 from lodegraph.llm.components import components
 from lodegraph.session import checkpoint
 
@@ -75,19 +75,21 @@ def fingerprints(df: DataFrame, shingle: int, words: int = 1, key: str = "doc_id
 
 
 def block_keys(parts: list[str], blocks: int, equal: int) -> Column:
-    """One key for each choice of ``equal`` of the ``blocks`` of each 64-bit part."""
+    """One key for each choice of ``equal`` of the ``blocks`` of each 64-bit part, as a hash of choice and bits."""
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     keys = []
     for part in parts:
         for chosen in combinations(range(blocks), equal):
             mask = sum((1 << cuts[i + 1]) - (1 << cuts[i]) for i in chosen)
             mask -= (mask >> 63) << 64
-            keys.append(F.struct(F.lit(len(keys)).alias("choice"), F.col(part).bitwiseAND(F.lit(mask)).alias("bits")))
+            keys.append(F.xxhash64(F.lit(len(keys)), F.col(part).bitwiseAND(F.lit(mask))))
     return F.explode(F.array(*keys))
 
 
-def distance(parts: list[str], a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in parts), F.lit(0))
+def around(part: str) -> Column:
+    """A value and those that differ from it in one bit."""
+    flips = [0, *(1 << i for i in range(63)), -(1 << 63)]
+    return F.transform(F.array(*(F.lit(m).cast("bigint") for m in flips)), lambda m: F.col(part).bitwiseXOR(m))
 
 
 def links(classes: DataFrame, parts: list[str], bits: int, blocks: int, equal: int) -> DataFrame:
@@ -100,35 +102,30 @@ def links(classes: DataFrame, parts: list[str], bits: int, blocks: int, equal: i
     distance two at most), which is exact and linear.  For other settings its members are compared with its least
     and its greatest member only; members of such a group meet others under the remaining keys.
     """
-    member = F.struct("node", *parts)
-    keyed = classes.select(block_keys(parts, blocks, equal).alias("key"), member.alias("x"))
-    keyed = keyed.select("key.choice", "key.bits", "x")
-    key = ["choice", "bits"]
-    shared = keyed.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("first"), F.max("x").alias("last")
-    ).where("n > 1")
-    shared = checkpoint(shared)
-    near = distance(parts, "a", "b") <= bits
-    members = keyed.join(shared.select(*key, "n"), key)
-    members = checkpoint(members)
+    keyed = classes.select("node", block_keys(parts, blocks, equal).alias("key"))
+    shared = keyed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.max("node").alias("last")
+    )
+    shared = stored(shared.where("n > 1"), "block-keys")
+    members = stored(keyed.join(shared.where("n > 2"), "key"), "block-members")
+    pairs = shared.select(F.col("first").alias("a"), F.col("last").alias("b"))
     few = members.where(F.col("n") <= PAIRED)
-    left, right = few.select(*key, F.col("x").alias("a")), few.select(*key, F.col("x").alias("b"))
-    found = left.join(right, key).where(F.col("a.node") < F.col("b.node")).where(near)
-    found = found.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    left, right = few.select("key", F.col("node").alias("a")), few.select("key", F.col("node").alias("b"))
+    pairs = pairs.unionByName(left.join(right, "key").where("a < b").select("a", "b"))
     many = members.where(F.col("n") > PAIRED)
     if len(parts) == 1 and bits == 2:
-        flips = F.array(F.lit(0).cast("bigint"), *(F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)))
-        value = F.col(f"x.{parts[0]}")
-        around = many.select(F.col("x.node").alias("node"), value.alias("f")).distinct()
-        around = around.select("node", F.explode(F.transform(flips, lambda m: F.col("f").bitwiseXOR(m))).alias("z"))
-        hubs = around.groupBy("z").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        rest = around.join(hubs, "z").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        near = many.select("node").distinct().join(classes, "node").select("node", F.explode(around(*parts)).alias("z"))
+        hubs = near.groupBy("z").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        pairs = pairs.unionByName(near.join(hubs, "z").select("a", F.col("node").alias("b")))
     else:
-        large = shared.where(F.col("n") > PAIRED)
-        ends = large.select(*key, F.col("first").alias("a")).unionByName(large.select(*key, F.col("last").alias("a")))
-        rest = many.select(*key, F.col("x").alias("b")).join(ends, key).where(near)
-        rest = rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    return found.unionByName(rest).where("a <> b").distinct()
+        pairs = pairs.unionByName(many.select(F.col("first").alias("a"), F.col("node").alias("b")))
+        pairs = pairs.unionByName(many.select(F.col("node").alias("a"), F.col("last").alias("b")))
+    pairs = pairs.where("a < b").distinct()
+    # the fingerprints come back to what is left, and are verified
+    for end in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("node").alias(end), F.struct(*parts).alias(f"{end}_print")), end)
+    differ = (F.bit_count(F.col(f"a_print.{p}").bitwiseXOR(F.col(f"b_print.{p}"))) for p in parts)
+    return pairs.where(sum(differ, F.lit(0)) <= bits).select("a", "b")
 
 
 def near_duplicates(
