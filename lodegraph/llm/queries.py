@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, decontaminate, fingerprints, lines, quality, simhash
+from lodegraph.llm import bpe, decontaminate, fingerprints, lines, quality, secret_scan, simhash
 from lodegraph.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -88,3 +88,15 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and how near these are."""
     return fingerprints.fingerprint_versions(table(spark, folder, "documents"))
+
+
+@query
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of secrets in all documents."""
+    found = secret_scan.scan(table(spark, folder, "documents"), ["doc_id"])
+    return found.select(
+        "doc_id",
+        *(secret_scan.count_of("base", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(secret_scan.written("base"), 256).alias("base_sha256"),
+        secret_scan.written("spans").alias("spans"),
+    )
