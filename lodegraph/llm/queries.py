@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, decontaminate, fingerprints, lines, quality, secret_scan, simhash
-from lodegraph.llm.common import table
+from lodegraph.llm import bpe, decontaminate, fingerprints, lines, quality, secret_scan, simhash, warc
+from lodegraph.llm.common import stored, table
+from lodegraph.session import scratch_folder
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -100,3 +101,37 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secret_scan.written("base"), 256).alias("base_sha256"),
         secret_scan.written("spans").alias("spans"),
     )
+
+
+@query
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written as archives and read back."""
+    path = scratch_folder(spark, "warc")
+    pages = table(spark, folder, "pages")
+    payload = F.coalesce("html", F.lit("")).cast("binary").alias("_html")
+    typed = warc.assign_types(pages.select("page_id", "url", payload), "page_id", "_html")
+    warc.write(typed, path, "page_id", "url", "_html")
+    found = stored(warc.read(spark, path).drop("payload", "target"), "warc-records")
+    fault = F.col("error").isNotNull()
+    return warc.with_referred_lengths(found).select(
+        F.col("key").alias("page_id"),
+        "payload_bytes",
+        F.when(fault, F.raise_error(F.col("error")).cast("string")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+CHECKS["op7_warc"] = """
+with payloads as (
+    select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest
+    from pages
+), compared as (
+    select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) end as last_page
+    from payloads
+)
+select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
+       case when page_id < last_page then 'revisit' else 'response' end as record_type,
+       case when page_id < last_page then last_page end as refers_to
+from compared
+"""
