@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, decontaminate, fingerprints, lines, quality, secret_scan, simhash, warc
+from lodegraph.llm import bpe, decontaminate, fingerprints, license_scan, lines, quality, secret_scan, simhash, warc
 from lodegraph.llm.common import stored, table
 from lodegraph.session import scratch_folder
 
@@ -135,3 +135,59 @@ select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
        case when page_id < last_page then last_page end as refers_to
 from compared
 """
+
+
+@query
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices of all documents, best first; a document without any has one row without a licence."""
+    found = license_scan.scan(table(spark, folder, "documents"), ["doc_id"])
+    return found.select("doc_id", F.explode_outer("notices").alias("x")).select("doc_id", "x.*")
+
+
+def _license_check() -> str:
+    """The same over all runs of lines, without anchors."""
+    rows, least = [], license_scan.LEAST
+    for name, text in license_scan.TEMPLATES:
+        bigrams = license_scan.bigrams_of(text)
+        listed = ", ".join(f"'{b}'" for b in bigrams)
+        size = len(bigrams)
+        rows.append(f"('{name}', [{listed}], {size * least / (2 - least)!r}, {size * (2 - least) / least!r})")
+    return f"""
+with templates(license, bigrams, low, high) as (values {", ".join(rows)}
+), lines as (
+    select doc_id, unnest(string_split(lower(coalesce(text, '')), chr(10))) as line,
+           generate_subscripts(string_split(lower(coalesce(text, '')), chr(10)), 1) - 1 as place
+    from documents
+), worded as (
+    select doc_id, place, list_filter(string_split(regexp_replace(line, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '),
+                                      lambda w: w <> '') as words
+    from lines
+), counted as (
+    select *, sum(len(words)) over (partition by doc_id order by place) as upto from worded where len(words) > 0
+), runs as (
+    select a.doc_id, a.place as first_line, b.place as last_line, b.upto - a.upto + len(a.words) - 1 as n
+    from counted a join counted b on a.doc_id = b.doc_id and b.place >= a.place
+    where b.upto - a.upto + len(a.words) - 1
+          between (select min(low) from templates) and (select max(high) from templates)
+), texts as (
+    select r.doc_id, r.first_line, r.last_line, r.n, flatten(list(c.words order by c.place)) as words
+    from runs r join counted c on c.doc_id = r.doc_id and c.place between r.first_line and r.last_line
+    group by all
+), sets as (
+    select doc_id, first_line, last_line, n,
+           list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) as own
+    from texts
+), compared as (
+    select doc_id, license, first_line, last_line,
+           round(2.0 * len(list_intersect(own, bigrams)) / (len(own) + len(bigrams)), 9) as dice
+    from sets join templates on n between low and high
+), best as (
+    select doc_id, license, dice, first_line, last_line from compared where dice >= {least}
+    qualify row_number() over (partition by doc_id, license order by dice desc, first_line, last_line) = 1
+)
+select doc_id, license, dice, first_line::int as first_line, last_line::int as last_line
+from documents left join best using (doc_id)
+"""
+
+
+CHECKS["op9_licenses"] = _license_check()
