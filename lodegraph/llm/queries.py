@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, decontaminate, fingerprints, license_scan, lines, quality, secret_scan, simhash, warc
+from lodegraph.llm import bpe, decontaminate, fingerprints, html_extract, license_scan, lines, quality, secret_scan, simhash, warc
 from lodegraph.llm.common import stored, table
 from lodegraph.session import scratch_folder
 
@@ -191,3 +191,10 @@ from documents left join best using (doc_id)
 
 
 CHECKS["op9_licenses"] = _license_check()
+
+
+@query
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    found = html_extract.extract(table(spark, folder, "pages"), ["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
