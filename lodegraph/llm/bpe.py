@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import slices
+from lodegraph.llm.common import schema_of, slices
 
 #: No token, and no rank.
 NOTHING = 1_000_000_000
@@ -261,8 +261,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids], names=[*keep, "ids"])
 
     rows = df.select(F.col(text).alias("_text"), *keep)
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(step, f"{schema}, ids array<int>")
+    return rows.mapInArrow(step, schema_of(df, keep, "ids array<int>"))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
@@ -276,5 +275,4 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFram
             texts = [b"".join(map(pieces.__getitem__, x or ())) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*names, "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(step, f"{schema}, decoded binary")
+    return df.mapInArrow(step, schema_of(df, names, "decoded binary"))

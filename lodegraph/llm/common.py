@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodegraph.session import scratch_folder
 
@@ -23,6 +24,12 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def schema_of(df: DataFrame, keep: list[str], added: str) -> T.StructType:
+    """The columns ``keep`` of ``df`` and the ``added`` ones."""
+    kept = [T.StructField(c, df.schema[c].dataType) for c in keep]
+    return T.StructType([*kept, *T.StructType.fromDDL(added)])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in order, cut so that a slice holds about ``limit`` bytes of ``column``.
 
@@ -41,7 +48,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(start, batch.num_rows - start)
 
 
-def stream_with_side(side: DataFrame, rows: DataFrame, key: str, partitions: int, step, schema: str) -> DataFrame:
+def stream_with_side(side: DataFrame, rows: DataFrame, key: str, partitions: int, step, schema) -> DataFrame:
     """Run ``step`` over both inputs, dealt out by ``key``; of each key the rows of ``side`` come first.
 
     ``step`` gets Arrow batches with the columns of both inputs (null where an input lacks one) and ``_rank``, which

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import slices
+from lodegraph.llm.common import schema_of, slices
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -41,7 +41,7 @@ BLOCK = frozenset(
     " footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section"
     " select summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINER = frozenset("article body div main section table tbody td tr center blockquote".split())
+CONTAINER = frozenset("article body div main section table td center blockquote".split())
 OUT = frozenset(
     "aside audio button canvas dialog footer form head header menu nav object select svg math video fieldset".split()
 )
@@ -60,8 +60,8 @@ CLOSES = {
     "option": ("option", "select"),
 }
 CLOSES = {tag: (frozenset(a.split()), frozenset(b.split())) for tag, (a, b) in CLOSES.items()}
-#: An end tag closes nothing outside the innermost of these.
-WALLS = frozenset("td th table body html".split())
+#: An end tag closes nothing outside the innermost of these; one of a table's parts, nothing outside its table.
+WALLS, TABLE = frozenset("td th table".split()), frozenset("table tbody td tfoot th thead tr body html".split())
 
 #: Parts of class names and ids of what is no main text, however much of a page it is.
 NAMES_OUT = re.compile(
@@ -76,6 +76,8 @@ NAMES_BESIDE = re.compile(
 )
 #: The share of a page's text from which on such a name leaves nothing out.
 MOST = 0.6
+#: What a block counts in a container, for each container between them.
+DECAY = 0.6
 #: Plain pages have their text here.
 ROOT = "html"
 
@@ -133,7 +135,7 @@ class Page:
                     if tags[stack[place]] == tag:
                         close(place)
                         break
-                    if tags[stack[place]] in WALLS:
+                    if tags[stack[place]] == "table" or (tags[stack[place]] in WALLS and tag not in TABLE):
                         break
                 continue
             if tag in RAW:
@@ -214,7 +216,7 @@ class Page:
         return ">".join(reversed(labels))
 
     def best(self) -> tuple[int, float] | None:
-        """The container with the highest score: text in its blocks, and half of that one level further down."""
+        """The container with the highest score: text in its blocks, and a share of that in each level further down."""
         scores: dict[int, float] = {}
         for element, text, linked in self.blocks:
             if self.out[element]:
@@ -223,7 +225,7 @@ class Page:
             while element >= 0 and share > 0.2:
                 if self.tags[element] in CONTAINER or element == 0:
                     scores[element] = scores.get(element, 0.0) + value * share
-                    share /= 2
+                    share *= DECAY
                 element = self.parents[element]
         if not scores:
             return None
@@ -298,5 +300,4 @@ def extract(df: DataFrame, keep: list[str], url: str = "url", html: str = "html"
 
     # a hot host is split by the engine's skew handling
     placed = pages.join(winners, "_host", "left").select("_html", "_path", *(f"_{i}_keep" for i in range(len(keep))))
-    fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
-    return placed.mapInArrow(step, f"{fields}text string")
+    return placed.mapInArrow(step, schema_of(df, keep, "text string"))

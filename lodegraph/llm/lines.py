@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm import perfect_hash
-from lodegraph.llm.common import partitions_for, slices, stored, stream_with_side
+from lodegraph.llm.common import partitions_for, schema_of, slices, stored, stream_with_side
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Documents of a chunk and lines of a shard, on average.
@@ -190,6 +190,5 @@ def drop_frequent_lines(
     hits = stream_with_side(
         arrays, probes, "shard", width, _probe(min_docs), "chunk int, h bigint, f bigint, last bigint"
     )
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"{fields}, n_lines bigint, n_dropped bigint, kept_text string"
+    schema = schema_of(df, keep, "n_lines bigint, n_dropped bigint, kept_text string")
     return stream_with_side(hits, docs, "chunk", width, _drop(min_chars, keep), schema)

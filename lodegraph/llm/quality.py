@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import slices
+from lodegraph.llm.common import schema_of, slices
 
 #: Labelled rows to fit on (every fifth of them calibrates), and rows of the unlabelled pool.
 LABELLED, POOL = 12_000, 6_000
@@ -204,9 +204,8 @@ def features_of(df: DataFrame, facts: list[str], keep: list[str], text: str) ->
             columns = [*batch.columns[1 + len(facts) :], *(pa.array(v, pa.binary()) for v in views)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "text_view", "page_view"])
 
-    fields = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keep)
     rows = df.select(F.col(text).alias("_text"), *(F.col(c).cast("string").alias(f"_{c}") for c in facts), *keep)
-    return rows.mapInArrow(step, f"{fields}text_view binary, page_view binary")
+    return rows.mapInArrow(step, schema_of(df, keep, "text_view binary, page_view binary"))
 
 
 def train(docs: DataFrame, labels: DataFrame, facts: list[str], key: str, text: str) -> list[dict | None]:
@@ -261,6 +260,5 @@ def score_documents(
             )
 
     names = ["text_score", "page_score", "toxic_score", "score"]
-    fields = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
     rows = features_of(docs, facts, keep, text)
-    return rows.mapInArrow(step, fields + ", ".join(f"{n} double" for n in names))
+    return rows.mapInArrow(step, schema_of(docs, keep, ", ".join(f"{n} double" for n in names)))
