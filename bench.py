@@ -25,7 +25,7 @@ HEADLINE = (
     "c5_c6_c7_c8_c9_dispositions",
     "f1_f2_normalize_path",
     "f17_edge_id",
-    "g1_impact_inbound_capped",
+    "g1_impact_inbound",
     "g4_guard_hops",
     "h1_tree_digest",
     "j3_evidence_per_parent",

@@ -27,11 +27,9 @@ def endpoint_nodes(nodes: DataFrame, edges: DataFrame, kinds: tuple) -> DataFram
     return nodes.where(wanted).unionByName(nodes.where(~wanted).join(ends, "stable_key", "left_semi"))
 
 
-def visible_edges(edges: DataFrame, focus: str, limit: int = 500) -> DataFrame:
-    """All edges of a small graph; only those at the focus node once there are more than ``limit``."""
-    total = edges.select(F.count(F.lit(1)).alias("n")).scalar()
-    touching = (F.col("subject_key") == focus) | (F.col("object_key") == focus)
-    return edges.where(touching | (total <= limit))
+def visible_edges(edges: DataFrame, focus: str | None = None) -> DataFrame:
+    """The edges at the focus node; all edges without one."""
+    return edges if focus is None else neighbours(edges, focus)
 
 
 def declared_only(dependencies: DataFrame) -> DataFrame:

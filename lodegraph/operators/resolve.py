@@ -244,9 +244,11 @@ def reference_candidates(symbols: DataFrame, bindings: DataFrame, files: DataFra
 
     ``symbols``: key, path, name, default_export.  ``bindings``: source_path,
     specifier, imported, local.  Work is shared by all bindings that import the
-    same name from the same candidate set.
+    same name from the same candidate set.  A binding whose own file is not stored
+    has no targets.
     """
-    named = bindings.withColumn("group", import_group("specifier", "source_path")).where("group IS NOT NULL")
+    present = files.select(F.col("path").alias("source_path")).distinct()
+    named = bindings.join(present, "source_path", "left_semi").withColumn("group", import_group("specifier", "source_path")).where("group IS NOT NULL")
     located = group_candidates(named.select("source_path", "specifier", "group"), files).distinct()
     wanted = named.select("group", "imported").distinct().join(located.withColumnRenamed("target", "path"), "group")
     by_default = wanted.where("imported = 'default'").join(symbols.where("default_export"), "path")

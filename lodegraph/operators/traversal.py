@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from lodegraph.session import checkpoint
 
 IMPACT_PREDICATES = ("depends_on", "imports")
-MAX_DEPTH = 10
-MAX_STEPS = 100
 
 COMPACT_EVERY = 16
 
@@ -22,60 +20,56 @@ def impact(
     edges: DataFrame,
     start: str,
     direction: str,
-    depth: int = MAX_DEPTH,
-    cap: int = MAX_STEPS,
+    depth: int | None = None,
+    limit: int | None = None,
     predicates: tuple = IMPACT_PREDICATES,
 ) -> DataFrame:
-    """Bounded breadth-first walk with one canonical shortest edge per node.
+    """Breadth-first walk with one canonical shortest edge per node.
 
-    At most ``cap`` steps are kept over all levels, so the frontier and the
-    visited set never exceed ``cap + 1`` rows and may be broadcast.
+    The walk goes on until nothing new is found, or to ``depth`` levels.  ``limit`` keeps the first steps of the
+    finished walk in order of depth and edge; ``limit_reached`` tells whether there were more.  The edges are stored
+    once, dealt out by the end that a level looks up, so that levels shuffle their frontier only.
     """
     near, far = ("subject_key", "object_key") if direction == "outbound" else ("object_key", "subject_key")
     spark = edges.sparkSession
-    usable = edges.where(F.col("predicate").isin(*predicates)).select(*EDGE_ORDER)
+    usable = checkpoint(edges.where(F.col("predicate").isin(*predicates)).select(*EDGE_ORDER).repartition(near))
     frontier = spark.range(1).select(F.lit(start).alias("_key"))
-    visited = frontier
-    levels: list[DataFrame] = []
-    total, truncated = 0, False
-    for level in range(1, depth + 1):
-        waiting = (
-            usable.join(F.broadcast(frontier), usable[near] == F.col("_key"), "left_semi")
-            .join(F.broadcast(visited), usable[far] == F.col("_key"), "left_anti")
+    visited, steps, total, level = frontier, None, 0, 0
+    while depth is None or level < depth:
+        level += 1
+        found = checkpoint(
+            usable.join(frontier, usable[near] == F.col("_key"), "left_semi")
             .groupBy(F.col(far).alias("node_key"))
             .agg(F.min(F.struct(*EDGE_ORDER)).alias("edge"))
-            .orderBy("edge")
-            .limit(cap - total + 1)
+            .join(visited, F.col("node_key") == visited["_key"], "left_anti")
         )
-        found = checkpoint(waiting)
         size = found.count()
         if size == 0:
             break
-        if total + size > cap:
-            truncated = True
-            found = found.orderBy("edge").limit(cap - total)
-            size = cap - total
         total += size
-        levels.append(found.select(F.lit(level).alias("depth"), "node_key", F.col("edge.edge_id").alias("edge_id")))
-        if truncated:
-            break
+        step = found.select(F.lit(level).alias("depth"), "node_key", "edge")
+        steps = step if steps is None else steps.unionByName(step)
         frontier = found.select(F.col("node_key").alias("_key"))
         visited = visited.unionByName(frontier)
-    if not levels:
+        if level % COMPACT_EVERY == 0:
+            visited = checkpoint(visited)
+    if steps is None:
         return spark.createDataFrame([], "depth int, node_key string, edge_id string, limit_reached boolean")
-    steps = levels[0]
-    for found in levels[1:]:
-        steps = steps.unionByName(found)
-    return steps.withColumn("limit_reached", F.lit(truncated))
+    reached = limit is not None and total > limit
+    if reached:
+        steps = steps.orderBy("depth", "edge").limit(limit)
+    return steps.select("depth", "node_key", F.col("edge.edge_id").alias("edge_id"), F.lit(reached).alias("limit_reached"))
 
 
-def impact_both(nodes: DataFrame, edges: DataFrame, start: str, depth: int = MAX_DEPTH, cap: int = MAX_STEPS) -> DataFrame:
+def impact_both(
+    nodes: DataFrame, edges: DataFrame, start: str, depth: int | None = None, limit: int | None = None
+) -> DataFrame:
     """Inbound and outbound walk; no rows when the start node does not exist."""
     if nodes.where(F.col("stable_key") == start).limit(1).count() == 0:
         empty = "direction string, depth int, node_key string, edge_id string, limit_reached boolean"
         return nodes.sparkSession.createDataFrame([], empty)
     sides = [
-        impact(edges, start, side, depth, cap).withColumn("direction", F.lit(side)) for side in ("inbound", "outbound")
+        impact(edges, start, side, depth, limit).withColumn("direction", F.lit(side)) for side in ("inbound", "outbound")
     ]
     return sides[0].unionByName(sides[1])
 

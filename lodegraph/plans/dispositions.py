@@ -95,8 +95,11 @@ def first_bindings(bindings: DataFrame) -> DataFrame:
     return first_per_key(flat, ["path", "local"], [F.col("position")], ["specifier"])
 
 
-def _candidate_paths(specifier: str, path: str) -> Column:
-    """Array of repository paths the specifier could name, seen from each folder above the importer."""
+def _candidate_paths(specifier: str, path: str, folders: bool) -> Column:
+    """Array of repository paths the specifier could name, seen from each folder above the importer.
+
+    With ``folders`` aliases are taken as names of folders, as they are written.
+    """
     spec, source = F.col(specifier), F.col(path)
     above = F.transform(paths.ancestors(source), lambda a: F.when(a == "", a).otherwise(F.concat(a, F.lit("/"))))
     parts = F.split(spec, r"\.")
@@ -111,8 +114,9 @@ def _candidate_paths(specifier: str, path: str) -> Column:
     )
     aliased = spec.rlike("^[@~#]/")
     target = F.rtrim(F.substring_index(spec.substr(F.lit(3), F.length(spec)), "?", 1), F.lit("/"))
-    endings = [F.lit("")] + [F.lit(e) for e in roles.SCRIPT_EXTENSIONS]
-    endings += [F.lit(f"/index{e}") for e in roles.SCRIPT_EXTENSIONS]
+    endings = [F.lit("")] if folders else [F.lit("")] + [F.lit(e) for e in roles.SCRIPT_EXTENSIONS]
+    if not folders:
+        endings += [F.lit(f"/index{e}") for e in roles.SCRIPT_EXTENSIONS]
     tails = F.transform(F.array(*endings), lambda e: F.concat(target, e))
     slashed = F.flatten(
         F.transform(
@@ -131,11 +135,16 @@ def _candidate_paths(specifier: str, path: str) -> Column:
 def in_repository(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Distinct (specifier, path) that name a stored file, or by alias a folder with files, of an enclosing folder."""
     wanted = imports.select("specifier", "path").distinct()
-    tried = wanted.select("specifier", "path", F.explode(F.array_distinct(_candidate_paths("specifier", "path"))).alias("place"))
+
+    def tried(folders: bool) -> DataFrame:
+        places = F.array_distinct(_candidate_paths("specifier", "path", folders))
+        return wanted.select("specifier", "path", F.explode(places).alias("place"))
+
     stored = files.select(F.col("path").alias("place")).distinct()
     folders = files.select(F.explode(paths.ancestors("path", include_root=False)).alias("place")).distinct()
-    hit = tried.join(stored, "place", "left_semi")
-    by_folder = tried.where(roles.is_script("path")).join(folders, "place", "left_semi")
+    hit = tried(False).join(stored, "place", "left_semi")
+    # a folder is named as it is, without endings
+    by_folder = tried(True).where(roles.is_script("path")).join(folders, "place", "left_semi")
     return hit.unionByName(by_folder).select("specifier", "path").distinct()
 
 

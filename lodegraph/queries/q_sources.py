@@ -24,7 +24,9 @@ def stored_facts(spark, folder):
         F.lit("observed").alias("truth_class"),
         F.lit(None).cast("map<string,string>").alias("properties"),
     )
-    tables.append_facts(nodes, store, "nodes")
+    # facts come in two batches that overlap
+    tables.append_facts(nodes.where("stable_key < 'part:5'"), store, "nodes", ["stable_key"])
+    tables.append_facts(nodes, store, "nodes", ["stable_key"])
     from lodegraph import schemas
 
     stored = spark.read.schema(schemas.NODES).parquet(f"{store}/nodes")
@@ -209,7 +211,7 @@ def markdown_report(spark, folder):
 
 @query(
     "s14_purged_facts",
-    """WITH f AS (SELECT DISTINCT 'order:'||lpad(CAST(o_orderkey AS VARCHAR),9,'0') AS s FROM orders JOIN lineitem ON l_orderkey=o_orderkey WHERE o_orderstatus='P' ORDER BY s LIMIT 20),
+    """WITH f AS (SELECT DISTINCT 'order:'||lpad(CAST(o_orderkey AS VARCHAR),9,'0') AS s FROM orders JOIN lineitem ON l_orderkey=o_orderkey WHERE o_orderstatus='P'),
       l AS (SELECT 'order:'||lpad(CAST(l_orderkey AS VARCHAR),9,'0') AS s FROM lineitem) SELECT s AS snapshot_id, count(*) AS n FROM l WHERE s NOT IN (SELECT s FROM f) GROUP BY s""",
 )
 def purged_facts(spark, folder):
@@ -308,7 +310,31 @@ def stream_ingest(spark, folder):
     out = scratch_folder(spark, "ingest")
     rows = _event_stream(spark, folder).select("user_id", "event_type", F.lit("events").alias("producer"), "event_id")
     jobs.ingest_facts(rows, ["user_id", "event_type"], ["producer"], ["event_id"], out).awaitTermination()
-    return spark.read.parquet(f"{out}/facts").drop("batch")
+    return jobs.ingested(spark, out, ["user_id", "event_type"])["facts"].drop("batch")
+
+
+@query(
+    "t3_stream_replays_and_conflicts",
+    """WITH r AS (SELECT doc_id, lang, source FROM documents UNION ALL SELECT doc_id, lang, source FROM documents),
+       k AS (SELECT source, count(DISTINCT lang) AS n FROM r GROUP BY 1)
+       SELECT 'evidence' AS kind, source, CAST(doc_id AS VARCHAR) AS item FROM (SELECT DISTINCT source, doc_id FROM r)
+       UNION ALL SELECT 'conflict', source, NULL FROM k WHERE n > 1
+       UNION ALL SELECT 'fact', source, min(lang) FROM r WHERE source IN (SELECT source FROM k WHERE n = 1) GROUP BY source""",
+)
+def stream_replays_and_conflicts(spark, folder):
+    """Documents arrive in several batches, each of them twice; most sources have more than one language."""
+    out = scratch_folder(spark, "replays")
+    rows = b.table(spark, folder, "documents").select("doc_id", "lang", "source")
+    for _ in range(2):
+        rows.repartition(3, "doc_id").write.mode("append").parquet(f"{out}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/in")
+    jobs.ingest_facts(stream, ["source"], ["lang"], ["doc_id"], out).awaitTermination()
+    found = jobs.ingested(spark, out, ["source"])
+    return (
+        found["evidence"].select(F.lit("evidence").alias("kind"), "source", F.col("doc_id").cast("string").alias("item"))
+        .unionByName(found["conflicts"].select(F.lit("conflict").alias("kind"), "source", F.lit(None).cast("string").alias("item")))
+        .unionByName(found["facts"].select(F.lit("fact").alias("kind"), "source", F.col("lang").alias("item")))
+    )
 
 
 @query(

@@ -22,18 +22,39 @@ def load_facts(spark: SparkSession, folder: str, *snapshot_ids: str) -> dict[str
     return tables
 
 
-def append_facts(table: DataFrame, folder: str, name: str) -> None:
-    """Write rows into the partitions of their snapshots; a rerun replaces those partitions.
+#: Tasks that write one snapshot of a table.
+WRITERS = 16
 
-    Rows are spread by all their columns before writing, so one large snapshot is
-    written by many tasks.
+
+def append_facts(table: DataFrame, folder: str, name: str, identity: list[str]) -> None:
+    """Add rows to the partitions of their snapshots; rows that are stored already are not stored again.
+
+    ``identity`` names a row within its snapshot.  A stored row with another content, or two such new rows, are a
+    conflict: nothing is written then.  A rerun adds what is missing, so it may follow a failure.  Rows are spread by
+    a hash of their identity, and one snapshot is written by ``WRITERS`` tasks.
     """
-    (
-        table.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("snapshot_id")
-        .parquet(f"{folder}/{name}")
-    )
+    key = ["snapshot_id", *identity]
+    rest = [f for f in table.schema if f.name not in key]
+    # maps have no order of their own
+    cells = [F.array_sort(F.map_entries(f.name)) if f.dataType.typeName() == "map" else F.col(f.name) for f in rest]
+    new, content = table.dropDuplicates(key), F.sha2(F.to_json(F.struct(F.lit(1), *cells)), 256)
+    both = table.select(*key, content.alias("_content"))
+    path = f"{folder}/{name}"
+    if stored_already(table.sparkSession, path):
+        touched = table.select("snapshot_id").distinct()
+        old = table.sparkSession.read.schema(table.schema).parquet(path).join(touched, "snapshot_id", "left_semi")
+        both = both.unionByName(old.select(*key, content.alias("_content")))
+        new = new.join(old.select(*key), key, "left_anti")
+    clash = both.groupBy(*key).agg(F.min("_content").alias("a"), F.max("_content").alias("b")).where("NOT a <=> b")
+    if first := clash.select(*key).first():
+        raise ValueError(f"{name}: rows with one identity differ, such as {first.asDict()}")
+    salt = F.pmod(F.xxhash64(*key), F.lit(WRITERS))
+    new.repartition("snapshot_id", salt).write.mode("append").partitionBy("snapshot_id").parquet(path)
+
+
+def stored_already(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def merge_batches(batches: list[DataFrame], keys: list[str], scalars: list[str], evidence: list[str]):
@@ -41,19 +62,9 @@ def merge_batches(batches: list[DataFrame], keys: list[str], scalars: list[str],
     return facts.consolidate(reduce(lambda a, b: a.unionByName(b), batches), keys, scalars, evidence)
 
 
-def purge(table: DataFrame, snapshots: DataFrame, batch: int = 20) -> DataFrame:
-    """The table without the facts of a batch of failed snapshots.
-
-    ``batch`` bounds the work of one call as the feature defines; repeat for the rest.
-    """
-    failed = (
-        snapshots.where("state = 'failed'")
-        .join(table.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
-        .orderBy("snapshot_id")
-        .limit(batch)
-        .select("snapshot_id")
-    )
-    return table.join(failed, "snapshot_id", "left_anti")
+def purge(table: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The table without the facts of failed snapshots."""
+    return table.join(snapshots.where("state = 'failed'").select("snapshot_id"), "snapshot_id", "left_anti")
 
 
 def orphans(stored: DataFrame, known: DataFrame, key: str, size: str) -> DataFrame:
@@ -70,10 +81,6 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_json(df: DataFrame, folder: str) -> None:
-    df.write.mode("overwrite").json(folder)
-
-
 def markdown_table(rows: DataFrame, section: int, columns: list[str], order: list[Column]) -> DataFrame:
     """(section, position, line): header, rule and one line per row.
 

@@ -4,7 +4,7 @@ Both jobs write every micro-batch to a folder named by its batch id, so a batch
 that runs again after a failure replaces its own output and nothing else.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -60,25 +60,35 @@ def count_hits(
 def ingest_facts(
     stream: DataFrame, keys: list[str], scalars: list[str], evidence: list[str], folder: str
 ) -> StreamingQuery:
-    """Merge facts that arrive file by file: one row per new key, distinct evidence, conflicts aside.
+    """Merge facts that arrive file by file; ``ingested`` reads the result, whatever the batches were.
 
-    A key stored by an earlier batch is not stored again; a different scalar for it is a conflict.
+    A key is stored with its first row; the same key with another scalar, in this or any later batch, is a conflict
+    from then on.  A key or a piece of evidence that is stored is not stored again.  Only keys and evidence of the
+    batch meet the stores, which are joined by key.
     """
 
     def on_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stored = None
-        if number > 0 and _exists(spark, f"{folder}/facts"):
-            stored = spark.read.parquet(f"{folder}/facts").where(F.col("batch") < number)
+
+        def earlier(name: str) -> DataFrame | None:
+            path = f"{folder}/{name}"
+            return spark.read.parquet(path).where(F.col("batch") < number) if number and _exists(spark, path) else None
+
         new, spans, clashes = facts.consolidate(batch, keys, scalars, evidence)
+        stored, seen, told = (earlier(n) for n in ("facts", "evidence", "conflicts"))
+        clashes = clashes.select(*keys)
         if stored is not None:
             known = stored.select(*keys, *[F.col(s).alias(f"_old_{s}") for s in scalars])
             differs = F.lit(False)
             for s in scalars:
                 differs = differs | ~F.col(s).eqNullSafe(F.col(f"_old_{s}"))
-            late = new.join(known, keys).where(differs).select(*keys, "n_rows")
-            clashes = clashes.unionByName(late)
-            new = new.join(stored.select(*keys), keys, "left_anti")
+            clashes = clashes.unionByName(_matching(new, known, keys, "inner").where(differs).select(*keys)).distinct()
+            new = _matching(new, stored, keys, "left_anti")
+        if told is not None:
+            clashes = _matching(clashes, told, keys, "left_anti")
+            new = _matching(new, told, keys, "left_anti")
+        if seen is not None:
+            spans = _matching(spans, seen, [*keys, *evidence], "left_anti")
         for name, rows in (("facts", new), ("evidence", spans), ("conflicts", clashes)):
             rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
 
@@ -88,3 +98,19 @@ def ingest_facts(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def _matching(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join in which null keys are equal; of an inner join the other columns of both sides."""
+    other = right.withColumnsRenamed({k: f"_{k}_" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(other[f"_{k}_"])
+    return left.join(other, same, how).drop(*(f"_{k}_" for k in keys))
+
+
+def ingested(spark: SparkSession, folder: str, keys: list[str]) -> dict[str, DataFrame]:
+    """What has been ingested: facts without a conflict, evidence, and the keys in conflict."""
+    found = {n: spark.read.parquet(f"{folder}/{n}") for n in ("facts", "evidence", "conflicts")}
+    found["facts"] = _matching(found["facts"], found["conflicts"].drop("batch"), keys, "left_anti")
+    return found

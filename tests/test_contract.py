@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = (
-    "a6_merged_dependencies", "b2_row_labels", "c1_c4_file_role_and_layer", "f1_f2_normalize_path", "g1_impact_inbound_capped",
+    "a6_merged_dependencies", "b2_row_labels", "c1_c4_file_role_and_layer", "f1_f2_normalize_path", "g1_impact_inbound",
     "h1_tree_digest", "j8_r11_smallest_containing_span", "j11_first_support", "m2_dependency_nodes", "r1_unique_candidate",
     "r7_resolve_imports", "s10_npm_declarations", "v8_edges", "w5_lineage_sequence",
 )
@@ -38,7 +38,7 @@ NAMES = list(entry.queries()) if os.environ.get("LODEGRAPH_ALL") else SAMPLE
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_check(spark, connection, name):
-    sql = entry.oracle_sql()[name]
+    sql = entry.oracle_sql().get(name)
     # small tables may leave a rule without rows, so only a difference fails
     good, note = check(spark, FOLDER, name, entry.queries()[name], sql, connection)
     assert good or note.startswith("rows 0 "), note

@@ -44,15 +44,13 @@ def test_slices_number_a_hot_text_key(spark):
         assert got[i] == seen[k]
 
 
-def test_impact_cap_boundary(spark):
-    exact = edge_table(spark, [(f"n{i:03d}", "root") for i in range(100)])
-    rows = traversal.impact(exact, "root", "inbound").collect()
-    assert len(rows) == 100 and not rows[0].limit_reached
-    # one more node a level deeper: the cap counts steps across levels
-    deeper = exact.unionByName(edge_table(spark, [("z", "n000")]))
-    rows = traversal.impact(deeper, "root", "inbound").collect()
-    assert len(rows) == 100 and rows[0].limit_reached and {r.depth for r in rows} == {1}
-    assert not traversal.impact(deeper, "root", "inbound", depth=1).first().limit_reached
+def test_impact_limit_applies_to_the_finished_walk(spark):
+    edges = edge_table(spark, [(f"n{i:03d}", "root") for i in range(100)] + [("z", "n000"), ("zz", "z")])
+    rows = traversal.impact(edges, "root", "inbound").collect()
+    assert len(rows) == 102 and not rows[0].limit_reached and max(r.depth for r in rows) == 3
+    rows = traversal.impact(edges, "root", "inbound", limit=101).collect()
+    assert len(rows) == 101 and rows[0].limit_reached and {r.depth for r in rows} == {1, 2}
+    assert not traversal.impact(edges, "root", "inbound", depth=1, limit=100).first().limit_reached
 
 
 def test_impact_diamond_self_edge_and_predicates(spark):
@@ -184,8 +182,8 @@ def test_consolidate_null_conflict(spark):
 
 def test_visible_edges_switch(spark):
     edges = edge_table(spark, [("a", "b"), ("c", "d")])
-    assert facts.visible_edges(edges, "a", 2).count() == 2
-    assert facts.visible_edges(edges, "a", 1).count() == 1
+    assert facts.visible_edges(edges).count() == 2
+    assert facts.visible_edges(edges, "a").count() == 1
 
 
 def test_scores(spark):

@@ -74,8 +74,28 @@ def test_ingest_drops_replays_and_reports_conflicts(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
     out = str(tmp_path / "out")
     jobs.ingest_facts(stream, ["k"], ["v"], ["e"], out).awaitTermination()
-    assert sorted((r.k, r.v) for r in spark.read.parquet(f"{out}/facts").collect()) == [("a", "1"), ("b", "1"), ("c", "2")]
-    assert [r.k for r in spark.read.parquet(f"{out}/conflicts").collect()] == ["b"]
+    found = jobs.ingested(spark, out, ["k"])
+    assert sorted((r.k, r.v) for r in found["facts"].collect()) == [("a", "1"), ("c", "2")]
+    assert [r.k for r in found["conflicts"].collect()] == ["b"]
+    assert sorted((r.k, r.e) for r in found["evidence"].collect()) == [("a", "x"), ("a", "y"), ("b", "x"), ("c", "z")]
+
+
+def test_ingest_does_not_depend_on_the_cuts(spark, tmp_path):
+    """A key that conflicts stays so when it comes again; null keys and scalars are values."""
+    schema = "k string, v string, e string"
+    rows = [("a", "1", "x"), ("a", "2", "y"), ("a", "1", "x"), (None, "1", "x"), (None, "1", None), ("n", None, "x"), ("n", "1", "x"), ("o", "1", "x")]
+    results = []
+    for i, cut in enumerate((1, 3, 8)):
+        source, out = tmp_path / f"in{i}", str(tmp_path / f"out{i}")
+        for at in range(0, len(rows), cut):
+            spark.createDataFrame(rows[at : at + cut], schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        jobs.ingest_facts(stream, ["k"], ["v"], ["e"], out).awaitTermination()
+        found = jobs.ingested(spark, out, ["k"])
+        parts = (found["facts"].select("k", "v"), found["conflicts"].select("k"), found["evidence"].select("k", "e"))
+        results.append([sorted(map(str, x.collect())) for x in parts])
+    assert results[0] == results[1] == results[2]
+    assert len(results[0][0]) == 2 and len(results[0][1]) == 2 and len(results[0][2]) == 6
 
 
 def test_over_budget(spark):

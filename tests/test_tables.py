@@ -1,5 +1,6 @@
 """Stored tables: partition pruning, rewrites, sinks; and plans that must keep their shape."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodegraph import schemas
@@ -18,7 +19,7 @@ def test_load_prunes_partitions_and_columns(spark, tmp_path):
     nodes = spark.createDataFrame(
         [(s, f"file:{i}", "file", str(i), None, "observed", None) for s in ("s1", "s2", "s3") for i in range(3)], schemas.NODES
     )
-    tables.append_facts(nodes, folder, "nodes")
+    tables.append_facts(nodes, folder, "nodes", ["stable_key"])
     for name, schema in schemas.FACT_TABLES.items():
         if name != "nodes":
             # an empty write leaves only the schema
@@ -39,10 +40,15 @@ def test_rewriting_a_snapshot_keeps_the_others(spark, tmp_path):
             [(snapshot, f"file:{i}", "file", str(i), None, "observed", None) for i in range(count)], schemas.NODES
         )
 
-    tables.append_facts(rows("s1", 2).unionByName(rows("s2", 2)), folder, "nodes")
-    tables.append_facts(rows("s2", 5), folder, "nodes")
+    tables.append_facts(rows("s1", 2).unionByName(rows("s2", 2)), folder, "nodes", ["stable_key"])
+    tables.append_facts(rows("s2", 5).where("stable_key <> 'file:0'"), folder, "nodes", ["stable_key"])
+    tables.append_facts(rows("s2", 5), folder, "nodes", ["stable_key"])
     stored = spark.read.schema(schemas.NODES).parquet(f"{folder}/nodes")
     assert {r.snapshot_id: r["count"] for r in stored.groupBy("snapshot_id").count().collect()} == {"s1": 2, "s2": 5}
+    changed = rows("s2", 7).withColumn("node_kind", F.lit("symbol"))
+    with pytest.raises(ValueError, match="rows with one identity differ"):
+        tables.append_facts(changed, folder, "nodes", ["stable_key"])
+    assert spark.read.schema(schemas.NODES).parquet(f"{folder}/nodes").count() == 7
 
 
 def test_markdown_file_order(spark, tmp_path):
@@ -58,7 +64,6 @@ def test_purge_takes_failed_only(spark):
     table = spark.createDataFrame([("f1",), ("f2",), ("ok",), ("ok",)], "snapshot_id string")
     states = spark.createDataFrame([("f1", "failed"), ("f2", "failed"), ("ok", "completed"), ("gone", "failed")], "snapshot_id string, state string")
     assert sorted(r[0] for r in tables.purge(table, states).collect()) == ["ok", "ok"]
-    assert sorted(r[0] for r in tables.purge(table, states, batch=1).collect()) == ["f2", "ok", "ok"]
 
 
 def test_no_query_uses_a_cartesian_product(spark):
