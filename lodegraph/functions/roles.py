@@ -78,9 +78,8 @@ PYTHON_FRAMEWORKS = (("fastapi", "FastAPI"), ("django", "Django"), ("flask", "Fl
 CLIENT_FRAMEWORKS = ("React", "Next.js", "Vue")
 SERVER_FRAMEWORKS = ("FastAPI", "Django", "Flask")
 
-# License phrases in order, looked for in the head of a license file.
+# License phrases in order, looked for in a license file.
 LICENSES = (("mit license", "MIT"), ("apache license", "Apache-2.0"), ("gnu general public license", "GPL"))
-LICENSE_HEAD = 500
 
 # File extensions of scripts and of assets a bundler imports.
 SCRIPT_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts")
@@ -142,9 +141,9 @@ def is_readme(path) -> Column:
     return F.lower(paths.basename(path)).startswith("readme")
 
 
-def license_name(text) -> Column:
-    """License of a license file, judged as defined by the head of the file only."""
-    head = F.lower(F.substring(_col(text), 1, LICENSE_HEAD))
+def license_name(text, head: int | None = None) -> Column:
+    """License of a license file, by its whole text or its first ``head`` characters."""
+    head = F.lower(_col(text) if head is None else F.substring(_col(text), 1, head))
     return first_match([(head.contains(phrase), F.lit(name)) for phrase, name in LICENSES], F.lit("Custom"))
 
 

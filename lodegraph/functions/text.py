@@ -7,9 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Size limits in bytes.
-SOURCE_LIMIT = 512 * 1024
-PREVIEW_LIMIT = 512 * 1024
+# Fixed value: the size limit in bytes that services put on sources and previews.
+SERVICE_LIMIT = 512 * 1024
 
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
@@ -50,12 +49,6 @@ def logical_line_count(text) -> Column:
     return F.length(_col(text)) - F.length(F.translate(_col(text), "\n", "")) + 1
 
 
-def preview(content, limit: int = PREVIEW_LIMIT) -> Column:
-    """(text, truncated) of a bounded preview; ``limit`` is the feature's own bound."""
-    content = _col(content)
-    return F.struct(F.substring(content, 1, limit).alias("text"), (F.length(content) > limit).alias("truncated"))
-
-
 def escape_html(text) -> Column:
     # the ampersand goes first so that it does not touch the others' output
     result = _col(text)
@@ -73,10 +66,6 @@ def strip_discriminator(name) -> Column:
     return F.regexp_replace(_col(name), r"#\d+$", "")
 
 
-def title_case(text) -> Column:
-    return F.initcap(F.translate(_col(text), "-", " "))
-
-
 def producer_parts(producer, separator: str = "@") -> Column:
     """(name, version) split at the last separator; version is empty without one."""
     producer = _col(producer)

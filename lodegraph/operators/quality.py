@@ -166,12 +166,11 @@ def edges_sound(
     return union_all([_violations(df, "V8", "edge_id", detail) for df, detail in parts])
 
 
-def recomputed_assertion_ids(assertions: DataFrame, derivations: DataFrame, inline: int = 1000) -> DataFrame:
+def recomputed_assertion_ids(assertions: DataFrame, derivations: DataFrame) -> DataFrame:
     """(snapshot_id, assertion_id, recomputed) for assertions that have derivations.
 
-    The id hashes one document that lists all references.  Up to ``inline`` references
-    are put together by built-in functions; longer lists are hashed piece by piece in
-    sorted order, so that no list is ever held as a whole.
+    The id hashes one document that lists all references.  It is hashed piece by piece in sorted order, so that no
+    list is ever held as a whole, however long it is.
     """
     key = ["snapshot_id", "assertion_id"]
     references = (
@@ -179,7 +178,6 @@ def recomputed_assertion_ids(assertions: DataFrame, derivations: DataFrame, inli
         .select("snapshot_id", F.col("parent_id").alias("assertion_id"), "ref_kind", "ref_identity")
         .distinct()
     )
-    sizes = references.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     rest = identity.canonical_json(
         predicate="predicate",
         producer="producer",
@@ -189,19 +187,8 @@ def recomputed_assertion_ids(assertions: DataFrame, derivations: DataFrame, inli
         truth_class="truth_class",
         value="value",
     )
-    bodies = assertions.select(*key, rest.alias("_rest")).join(sizes, key)
-    short = references.join(sizes.where(F.col("_n") <= inline), key, "left_semi")
-    texts = short.groupBy(*key).agg(
-        F.collect_list(F.struct(F.col("ref_kind").alias("kind"), F.col("ref_identity").alias("identity"))).alias("_refs")
-    )
-    head, tail = F.lit('{"derived_from":'), F.substring("_rest", 2, 2147483647)
-    document = F.concat(head, identity.derived_from_json(F.col("_refs")), F.lit(","), tail)
-    inlined = bodies.join(texts, key).select(
-        *key, F.concat(F.lit("assertion:"), identity.sha256_of(document)).alias("recomputed")
-    )
-
     pieces = (
-        references.join(bodies.where(F.col("_n") > inline), key)
+        references.join(assertions.select(*key, rest.alias("_rest")), key)
         .select(
             *key,
             "_rest",
@@ -214,36 +201,36 @@ def recomputed_assertion_ids(assertions: DataFrame, derivations: DataFrame, inli
     )
 
     def hash_runs(batches):
-        current, digest, rest_text, done = None, None, None, []
+        owner, digest, tail = None, None, None
 
-        def close():
-            digest.update(("]," + rest_text[1:]).encode())
-            done.append((*current, "assertion:sha256:" + digest.hexdigest()))
+        def closed():
+            digest.update(("]," + tail[1:]).encode())
+            return (*owner, "assertion:sha256:" + digest.hexdigest())
 
         for batch in batches:
             done = []
-            for row in batch.itertuples(index=False):
-                owner = (row[0], row[1])
-                if owner != current:
-                    if current is not None:
-                        close()
-                    current, rest_text = owner, row[2]
-                    digest = hashlib.sha256(('{"derived_from":[' + row[5]).encode())
-                else:
-                    digest.update(("," + row[5]).encode())
-            yield pd.DataFrame(done, columns=["snapshot_id", "assertion_id", "recomputed"])
-        if current is not None:
-            done = []
-            close()
+            owners = batch["snapshot_id"].str.cat(batch["assertion_id"], sep="\0")
+            starts = (owners != owners.shift()).to_numpy().nonzero()[0].tolist()
+            for start, end in zip(starts, [*starts[1:], len(batch)], strict=True):
+                # a run of references of one assertion, which may have begun in the batch before
+                text = ",".join(batch["_text"].iloc[start:end])
+                first = (batch["snapshot_id"].iloc[start], batch["assertion_id"].iloc[start])
+                if first == owner:
+                    digest.update(("," + text).encode())
+                    continue
+                if owner is not None:
+                    done.append(closed())
+                owner, tail = first, batch["_rest"].iloc[start]
+                digest = hashlib.sha256(('{"derived_from":[' + text).encode())
             yield pd.DataFrame(done, columns=["snapshot_id", "assertion_id", "recomputed"])
+        if owner is not None:
+            yield pd.DataFrame([closed()], columns=["snapshot_id", "assertion_id", "recomputed"])
 
-    return inlined.unionByName(
-        pieces.mapInPandas(hash_runs, "snapshot_id string, assertion_id string, recomputed string")
-    )
+    return pieces.mapInPandas(hash_runs, "snapshot_id string, assertion_id string, recomputed string")
 
 
 def assertions_sound(
-    nodes: DataFrame, assertions: DataFrame, derivations: DataFrame, producers: DataFrame, inline: int = 1000
+    nodes: DataFrame, assertions: DataFrame, derivations: DataFrame, producers: DataFrame
 ) -> DataFrame:
     """Subject exists, there is a derivation, the id recomputes, the producer is declared; V9."""
     key = ["snapshot_id", "assertion_id"]
@@ -251,7 +238,7 @@ def assertions_sound(
         "snapshot_id", F.col("stable_key").alias("subject_key"), F.col("node_kind").alias("subject_kind")
     )
     no_subject = assertions.join(subjects, ["snapshot_id", "subject_key", "subject_kind"], "left_anti")
-    fresh = recomputed_assertion_ids(assertions, derivations, inline)
+    fresh = recomputed_assertion_ids(assertions, derivations)
     checked = assertions.join(fresh, key, "left")
     unknown = undeclared(assertions, producers, F.concat_ws("@", "producer", "producer_version"))
     parts = (

@@ -43,9 +43,6 @@ DISTRIBUTIONS = {
     "markdown": ("markdown",), "google.protobuf": ("protobuf",),
 }
 
-# Alias prefixes that stand for the importing package's source folder.
-ALIAS_PREFIXES = ("@/", "~/", "#/")
-
 
 def _col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)

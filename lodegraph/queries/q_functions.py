@@ -256,7 +256,7 @@ def asset_import(spark, folder):
 
 @query(
     "c12_license",
-    "SELECT doc_id, CASE WHEN contains(head,'mit license') THEN 'MIT' WHEN contains(head,'apache license') THEN 'Apache-2.0' WHEN contains(head,'gnu general public license') THEN 'GPL' ELSE 'Custom' END AS license FROM (SELECT doc_id, lower(substr(text,1,500)) AS head FROM documents)",
+    "SELECT doc_id, CASE WHEN contains(head,'mit license') THEN 'MIT' WHEN contains(head,'apache license') THEN 'Apache-2.0' WHEN contains(head,'gnu general public license') THEN 'GPL' ELSE 'Custom' END AS license FROM (SELECT doc_id, lower(text) AS head FROM documents)",
 )
 def licenses(spark, folder):
     return b.table(spark, folder, "documents").select("doc_id", roles.license_name("text").alias("license"))
@@ -264,7 +264,7 @@ def licenses(spark, folder):
 
 @query(
     "c13_architecture_type",
-    """WITH t AS (SELECT p_brand, list(DISTINCT CASE p_type WHEN 'ECONOMY' THEN 'React' WHEN 'SMALL' THEN 'FastAPI' WHEN 'PROMO' THEN 'Vue' ELSE p_type END) AS fw FROM part WHERE p_size > 45 GROUP BY p_brand)
+    """WITH t AS (SELECT p_brand, list(DISTINCT CASE p_type WHEN 'ECONOMY' THEN 'React' WHEN 'SMALL' THEN 'FastAPI' WHEN 'PROMO' THEN 'Vue' ELSE p_type END) AS fw FROM part GROUP BY p_brand)
       SELECT p_brand, CASE WHEN list_has_any(fw,['React','Next.js','Vue']) THEN 'Client Application' WHEN list_has_any(fw,['FastAPI','Django','Flask']) THEN 'Backend Service' END AS architecture_type FROM t""",
 )
 def architecture_type(spark, folder):
@@ -273,7 +273,6 @@ def architecture_type(spark, folder):
     # at most six distinct names per brand, so the set stays small whatever the row count
     return (
         b.table(spark, folder, "part")
-        .where("p_size > 45")
         .groupBy("p_brand")
         .agg(F.collect_set(name).alias("frameworks"))
         .select("p_brand", roles.architecture_type("frameworks").alias("architecture_type"))

@@ -63,7 +63,7 @@ def inventory_paths(spark, folder):
 
 @query(
     "s6_source_triage",
-    """SELECT doc_id, CASE WHEN lang='de' THEN 'RI-SEC-PATH-ESCAPE' WHEN octet_length(encode(text)) > 3000 THEN 'RI-LIMIT-SKIP' WHEN lang='es' THEN 'RI-SRC-BINARY' WHEN lang='fr' THEN 'RI-SRC-MALFORMED' END AS code FROM documents""",
+    """SELECT doc_id, CASE WHEN lang='de' THEN 'RI-SEC-PATH-ESCAPE' WHEN lang='es' THEN 'RI-SRC-BINARY' WHEN lang='fr' THEN 'RI-SRC-MALFORMED' END AS code FROM documents""",
 )
 def source_triage(spark, folder):
     lang, raw = F.col("lang"), F.encode("text", "UTF-8")
@@ -77,7 +77,7 @@ def source_triage(spark, folder):
     )
     path = F.when(lang == "de", F.concat(F.lit("../"), "path")).otherwise(F.col("path"))
     files = b.named_documents(spark, folder).select("doc_id", path.alias("path"), content.alias("content"))
-    return inventory.triage(files, limit=3000).select("doc_id", "code")
+    return inventory.triage(files).select("doc_id", "code")
 
 
 @query(
@@ -100,7 +100,7 @@ def logical_lines(spark, folder):
 
 @query(
     "s8_previews",
-    b.ctes("named") + """SELECT doc_id, octet_length(encode(text)) AS size, false AS truncated, false AS is_binary, false AS is_image, md5(text) AS digest FROM named""",
+    b.ctes("named") + """SELECT doc_id, octet_length(encode(text)) AS size, false AS truncated, contains(text, chr(0)) AS is_binary, regexp_matches(path, '\.(png|jpg|jpeg|gif|webp|svg|ico|bmp)$') AS is_image, md5(text) AS digest FROM named""",
 )
 def previews(spark, folder):
     files = b.named_documents(spark, folder).select(

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.functions import paths
-from lodegraph.functions.text import LINE_BREAK, PREVIEW_LIMIT, SOURCE_LIMIT
+from lodegraph.functions.text import LINE_BREAK
 
 # Folders and artefacts that are not part of a repository.
 IGNORED_FOLDERS = (
@@ -50,15 +50,15 @@ def distinct_paths(files: DataFrame, path: str = "path") -> DataFrame:
     return files.select(cleaned.alias("path")).where("path IS NOT NULL AND path <> ''").distinct().orderBy("path")
 
 
-def triage(files: DataFrame, limit: int = SOURCE_LIMIT) -> DataFrame:
+def triage(files: DataFrame, limit: int | None = None) -> DataFrame:
     """Diagnostic code of each file (null when it is usable text), first rule first.
 
-    Path escape, then size, then NUL bytes, then invalid UTF-8.
+    Path escape, then size where a ``limit`` in bytes is given, then NUL bytes, then invalid UTF-8.
     """
     content = F.col("content")
     code = (
         F.when(~paths.is_valid_path("path"), "RI-SEC-PATH-ESCAPE")
-        .when(F.length(content) > limit, "RI-LIMIT-SKIP")
+        .when(F.lit(False) if limit is None else F.length(content) > limit, "RI-LIMIT-SKIP")
         .when(_has_nul(content), "RI-SRC-BINARY")
         .when(~F.is_valid_utf8(content.cast("string")), "RI-SRC-MALFORMED")
     )
@@ -87,15 +87,15 @@ def line_counts(documents: DataFrame, key: str, text: str = "text") -> DataFrame
 IMAGES = ("png", "jpg", "jpeg", "gif", "webp", "svg", "ico", "bmp")
 
 
-def previews(files: DataFrame, limit: int = PREVIEW_LIMIT) -> DataFrame:
-    """Flags and bounded text of each file; ``limit`` is the preview's own bound in bytes."""
+def previews(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Flags and text of each file, whole or up to ``limit`` bytes."""
     content = F.col("content")
-    head = F.substring(content, 1, limit)
+    head = content if limit is None else F.substring(content, 1, limit)
     binary = _has_nul(head)
     return files.select(
         "path",
         F.length(content).alias("size"),
-        (F.length(content) > limit).alias("truncated"),
+        (F.length(head) < F.length(content)).alias("truncated"),
         binary.alias("is_binary"),
         F.coalesce(paths.extension("path").isin(*IMAGES), F.lit(False)).alias("is_image"),
         F.when(~binary, F.make_valid_utf8(head.cast("string"))).alias("text"),
@@ -216,10 +216,3 @@ def extractor_conflicts(files: DataFrame, extractors: dict[str, Column]) -> Data
     return files.select("path", claims.alias("claims")).where(F.size("claims") > 1).select(
         "path", F.array_join("claims", ",").alias("claims")
     )
-
-
-def run_extractors(files: DataFrame, extractors: dict) -> DataFrame:
-    """Union of the facts of all extractors: name -> (predicate, function of a files DataFrame)."""
-    from lodegraph.operators.resolve import union_all
-
-    return union_all([build(files.where(test)) for test, build in extractors.values()])

@@ -114,7 +114,7 @@ def test_triage_and_scan(spark, tmp_path):
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_bytes(data)
     files = inventory.scan_tree(spark, str(tmp_path))
-    got = {r.path: r.code for r in inventory.triage(files).select("path", "code").collect()}
+    got = {r.path: r.code for r in inventory.triage(files, text.SERVICE_LIMIT).select("path", "code").collect()}
     assert got == {
         "src/a.py": None, "src/nul.py": "RI-SRC-BINARY", "src/bad.py": "RI-SRC-MALFORMED", "src/empty.py": None,
         "src/big.py": "RI-LIMIT-SKIP", "src/edge.py": None, "src/zero.py": None,

@@ -143,9 +143,20 @@ def test_long_reference_lists_hash_alike(spark):
     assertions = spark.createDataFrame(
         [("s", f"a{i}", "symbol", f"k{i}", "p", ("c", "h"), "inferred", "x", "1") for i in range(7)], schemas.ASSERTIONS
     )
-    short = {tuple(r) for r in quality.recomputed_assertion_ids(assertions, derivations, 1000).collect()}
-    streamed = {tuple(r) for r in quality.recomputed_assertion_ids(assertions, derivations, 2).collect()}
-    assert short == streamed and len(short) == 7
+    listed = F.collect_list(F.struct(F.col("ref_kind").alias("kind"), F.col("ref_identity").alias("identity")))
+    texts = derivations.groupBy(F.col("parent_id").alias("assertion_id")).agg(listed.alias("refs"))
+    built_in = identity.assertion_id(
+        "subject_kind", "subject_key", "predicate", "value", "truth_class", "producer", "producer_version",
+        identity.derived_from_json(F.col("refs")),
+    )
+    want = {tuple(r) for r in assertions.join(texts, "assertion_id").select("snapshot_id", "assertion_id", built_in).collect()}
+    streamed = {tuple(r) for r in quality.recomputed_assertion_ids(assertions, derivations).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        cut = {tuple(r) for r in quality.recomputed_assertion_ids(assertions, derivations).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert want == streamed == cut and len(want) == 7
 
 
 def test_graph_hash_ignores_order_and_duplicates(spark, sound):
