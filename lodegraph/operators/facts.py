@@ -32,6 +32,30 @@ def visible_edges(edges: DataFrame, focus: str | None = None) -> DataFrame:
     return edges if focus is None else neighbours(edges, focus)
 
 
+def edge_list(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges with the names of both ends, in their order; an end without a name goes by its key."""
+    named = nodes.select("stable_key", "name")
+    for end, out in (("subject_key", "source"), ("object_key", "target")):
+        names = named.select(F.col("stable_key").alias(end), F.col("name").alias(out))
+        edges = edges.join(names, end, "left").withColumn(out, F.coalesce(out, end))
+    return edges.orderBy("source", "target", "edge_id")
+
+
+# Severities from the gravest on.
+SEVERITIES = ("fatal", "error", "warning", "info")
+
+
+def diagnostic_list(diagnostics: DataFrame, key: str) -> DataFrame:
+    """Diagnostics with ``rank``, gravest first, then by code, place and key."""
+    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")).cast("int") - 1
+    return diagnostics.withColumn("rank", rank).orderBy("rank", "code", "path", "span_start", key)
+
+
+def node_list(nodes: DataFrame, order: Column) -> DataFrame:
+    """Nodes by the order of their layer, then by name and key; nodes without a layer come last."""
+    return nodes.orderBy(order.asc_nulls_last(), "name", "stable_key")
+
+
 def declared_only(dependencies: DataFrame) -> DataFrame:
     """Dependencies that a manifest declares: a declaration list or, in old rows, a manifest path."""
     return dependencies.where((F.coalesce(F.size("declarations"), F.lit(0)) > 0) | F.col("manifest_path").isNotNull())

@@ -18,11 +18,49 @@ def latest_sealed(snapshots: DataFrame, key: str, columns: list[str]) -> DataFra
     return first_per_key(done, [key], order, columns)
 
 
-def sequence_lineages(revisions: DataFrame, keys: list[str], time: str, tie: str) -> tuple[DataFrame, DataFrame]:
+# The forms of revisions that belong to a lineage.
+COMMIT = "^[0-9a-f]{40}$"
+REFERENCE = "^refs/(?:heads|tags)/[A-Za-z0-9._/-]+$"
+SOURCES = (
+    r"^https://(?i:github\.com)/([^/\n]+)/([^/\n]+?)(?:\.git)?/?$",
+    r"^git@(?i:github\.com):([^/\n]+)/([^/\n]+?)(?:\.git)?$",
+)
+SAFE = "^[A-Za-z0-9._-]+$"
+
+
+def source_key(url) -> Column:
+    """``github.com/owner/name`` in lower case of an address in one of the accepted forms; else null."""
+    url = F.btrim(url if isinstance(url, Column) else F.col(url), F.lit(" \t\n\r\x0b\x0c"))
+    keys = []
+    for form in SOURCES:
+        owner, name = F.regexp_extract(url, form, 1), F.regexp_extract(url, form, 2)
+        safe = owner.rlike(SAFE) & name.rlike(SAFE) & ~owner.contains("..") & ~name.contains("..")
+        keys.append(F.when(safe, F.lower(F.concat(F.lit("github.com/"), owner, F.lit("/"), name))))
+    return F.coalesce(*keys)
+
+
+def eligible(revisions: DataFrame) -> DataFrame:
+    """Revisions that may join a lineage, with their ``source_key``.
+
+    ``revisions``: source, source_url, revision_kind, revision_value, revision_ref and others.  Only git commits of
+    a parsable source on a branch or tag belong to one; all others stand alone.
+    """
+    fits = (
+        (F.col("source") == "github")
+        & (F.col("revision_kind") == "git")
+        & F.col("revision_value").rlike(COMMIT)
+        & F.col("revision_ref").rlike(REFERENCE)
+    )
+    return revisions.where(fits).withColumn("source_key", source_key("source_url")).where("source_key IS NOT NULL")
+
+
+def sequence_lineages(
+    revisions: DataFrame, keys: list[str], time: str, tie: str, name: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(members, lineages).
 
     Members get ``sequence_no`` from 1 in (time, tie) order.  Lineages get the latest and
-    first member and the next number.
+    first member and the next number, and with ``name`` the first member's name for display.
     """
     month = F.date_trunc("month", F.col(time))
     members = ranked(revisions, keys, [F.col(time), F.col(tie)], month, "sequence_no")
@@ -30,6 +68,7 @@ def sequence_lineages(revisions: DataFrame, keys: list[str], time: str, tie: str
         F.max(F.struct(time, tie))[tie].alias("latest"),
         F.min(F.struct(time, tie))[tie].alias("first"),
         (F.count(F.lit(1)) + 1).alias("next_sequence"),
+        *([F.min(F.struct(time, tie, name))[name].alias("display_name")] if name else []),
     )
     return members, lineages
 

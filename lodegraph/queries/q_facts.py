@@ -320,6 +320,36 @@ def edge_list_view(spark, folder):
     return b.edges(spark, folder).select(*columns).orderBy(*order)
 
 
+@query(
+    "k8_edge_list_by_names",
+    b.ctes("edges", "nodes") + """SELECT e.edge_id, coalesce(s.name, e.subject_key) AS source, coalesce(o.name, e.object_key) AS target
+      FROM edges e LEFT JOIN nodes s ON s.stable_key=e.subject_key LEFT JOIN nodes o ON o.stable_key=e.object_key""",
+)
+def edge_list_by_names(spark, folder):
+    return facts.edge_list(b.nodes(spark, folder), b.edges(spark, folder)).select("edge_id", "source", "target")
+
+
+@query(
+    "k8_k2_node_list",
+    b.ctes("nodes") + """SELECT stable_key, name, CASE node_kind WHEN 'region' THEN 0 WHEN 'nation' THEN 1 WHEN 'customer' THEN 2 WHEN 'order' THEN 3 END AS layer FROM nodes""",
+)
+def node_list(spark, folder):
+    layers = F.array(*map(F.lit, ("region", "nation", "customer", "order")))
+    place = F.array_position(layers, F.col("node_kind"))
+    nodes = b.nodes(spark, folder).withColumn("layer", F.when(place > 0, (place - 1).cast("int")))
+    return facts.node_list(nodes, F.col("layer")).select("stable_key", "name", "layer")
+
+
+@query(
+    "k8_k2_diagnostic_list",
+    b.ctes("diag") + """SELECT event_id, code, path, span_start, CASE severity WHEN 'fatal' THEN 0 WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END AS rank FROM diag""",
+)
+def diagnostic_list(spark, folder):
+    return facts.diagnostic_list(b.diagnostics(spark, folder), "event_id").select(
+        "event_id", "code", "path", "span_start", "rank"
+    )
+
+
 @query(
     "u1_set_operations",
     """SELECT 'both' AS side, doc_id FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'unlabelled', doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)

@@ -27,11 +27,9 @@ def stored_facts(spark, folder):
     # facts come in two batches that overlap
     tables.append_facts(nodes.where("stable_key < 'part:5'"), store, "nodes", ["stable_key"])
     tables.append_facts(nodes, store, "nodes", ["stable_key"])
-    from lodegraph import schemas
-
-    stored = spark.read.schema(schemas.NODES).parquet(f"{store}/nodes")
+    stored = tables.load_facts(spark, store, "part", "supplier")
     return (
-        stored.where(F.col("snapshot_id").isin("part", "supplier"))
+        stored["nodes"]
         .groupBy("snapshot_id")
         .agg(F.count("*").alias("n"), F.min("stable_key").alias("first_key"))
     )
@@ -50,6 +48,21 @@ def merged_batches(spark, folder):
     return tables.merge_batches(batches, ["l_partkey"], ["flag"], ["path"])[0]
 
 
+@query(
+    "s4_scanned_tree",
+    "SELECT lang AS folder, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1",
+)
+def scanned_tree(spark, folder):
+    """Documents written as text files below a folder for each language; some folders are ignored ones."""
+    root = scratch_folder(spark, "tree")
+    rows = b.table(spark, folder, "documents").select("text", "lang")
+    for lang, name in (("en", "en"), ("fr", "src/fr"), ("de", "node_modules/de"), ("es", "src/.venv/es")):
+        rows.where(F.col("lang") == lang).select("text").write.text(f"{root}/{name}")
+    files = inventory.scan_tree(spark, root)
+    name = F.element_at(F.split("path", "/"), -2).alias("folder")
+    return files.groupBy(name).agg(F.sum(F.length("content")).cast("bigint").alias("bytes"))
+
+
 @query(
     "s4_s5_inventory_paths",
     b.ctes("named") + """, p AS (SELECT '/'||CASE lang WHEN 'de' THEN 'build/' WHEN 'es' THEN 'lib/._' ELSE './' END||path AS path FROM named) SELECT DISTINCT replace(path,'/./','') AS path FROM p WHERE path NOT LIKE '/build/%' AND path NOT LIKE '/lib/.~_%' ESCAPE '~'""",
@@ -100,7 +113,7 @@ def logical_lines(spark, folder):
 
 @query(
     "s8_previews",
-    b.ctes("named") + """SELECT doc_id, octet_length(encode(text)) AS size, false AS truncated, contains(text, chr(0)) AS is_binary, regexp_matches(path, '\.(png|jpg|jpeg|gif|webp|svg|ico|bmp)$') AS is_image, md5(text) AS digest FROM named""",
+    b.ctes("named") + """SELECT doc_id, octet_length(encode(text)) AS size, false AS truncated, contains(text, chr(0)) AS is_binary, regexp_matches(path, '[.](png|jpg|jpeg|gif|webp|svg|ico|bmp)$') AS is_image, md5(text) AS digest FROM named""",
 )
 def previews(spark, folder):
     files = b.named_documents(spark, folder).select(

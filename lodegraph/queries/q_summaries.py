@@ -377,6 +377,44 @@ def lineage_pointers(spark, folder):
     return _lineages(spark, folder)[1]
 
 
+@query(
+    "w5_eligible_lineages",
+    """WITH r AS (SELECT o_orderkey AS revision_id, o_custkey AS owner_id, o_orderdate AS created_at, o_orderpriority AS name,
+        CASE WHEN o_orderkey%5=0 THEN 'upload' ELSE 'github' END AS source, CASE WHEN o_orderkey%11=0 THEN 'archive' ELSE 'git' END AS kind,
+        CASE WHEN o_orderkey%7=0 THEN 'short' ELSE sha1(CAST(o_orderkey AS VARCHAR)) END AS value,
+        CASE o_orderstatus WHEN 'O' THEN 'refs/heads/main' WHEN 'F' THEN 'refs/tags/v1' ELSE 'HEAD' END AS ref,
+        o_orderkey%4 AS form FROM orders),
+      e AS (SELECT *, 'github.com/own/repo-'||owner_id%3 AS source_key FROM r WHERE source='github' AND kind='git' AND value<>'short' AND ref<>'HEAD' AND form<>3)
+      SELECT owner_id, source_key, ref AS revision_ref, arg_max(revision_id, (created_at, revision_id)) AS latest, arg_min(revision_id, (created_at, revision_id)) AS first,
+        count(*)+1 AS next_sequence, arg_min(name, (created_at, revision_id)) AS display_name FROM e GROUP BY ALL""",
+)
+def eligible_lineages(spark, folder):
+    """Orders as imported revisions whose sources are written in several ways, some of them foreign."""
+    key = F.col("o_orderkey")
+    repo = F.concat(F.lit("repo-"), F.col("o_custkey") % 3)
+    form = key % 4
+    url = (
+        F.when(form == 0, F.concat(F.lit(" https://GitHub.com/Own/"), repo, F.lit(".git/ ")))
+        .when(form == 1, F.concat(F.lit("git@github.com:own/"), repo, F.lit(".git")))
+        .when(form == 2, F.concat(F.lit("https://github.com/OWN/"), repo))
+        .otherwise(F.concat(F.lit("https://example.com/own/"), repo))
+    )
+    status = F.col("o_orderstatus")
+    rows = b.table(spark, folder, "orders").select(
+        key.alias("revision_id"),
+        F.col("o_custkey").alias("owner_id"),
+        F.col("o_orderdate").alias("created_at"),
+        F.col("o_orderpriority").alias("name"),
+        F.when(key % 5 == 0, "upload").otherwise("github").alias("source"),
+        F.when(key % 11 == 0, "archive").otherwise("git").alias("revision_kind"),
+        F.when(key % 7 == 0, "short").otherwise(F.sha1(key.cast("string"))).alias("revision_value"),
+        F.when(status == "O", "refs/heads/main").when(status == "F", "refs/tags/v1").otherwise("HEAD").alias("revision_ref"),
+        url.alias("source_url"),
+    )
+    keys = ["owner_id", "source_key", "revision_ref"]
+    return lineage.sequence_lineages(lineage.eligible(rows), keys, "created_at", "revision_id", "name")[1]
+
+
 @query(
     "w6_lineage_history",
     b.ctes("rev") + f", {_MEMBERS_SQL} SELECT revision_id, owner_id, branch, sequence_no, sequence_no=max(sequence_no) OVER (PARTITION BY owner_id, branch) AS is_current FROM mem",

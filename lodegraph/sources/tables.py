@@ -14,10 +14,15 @@ from lodegraph.operators import facts
 
 
 def load_facts(spark: SparkSession, folder: str, *snapshot_ids: str) -> dict[str, DataFrame]:
-    """All fact tables, pruned to the partitions of the given snapshots (all when none is given)."""
+    """All fact tables, pruned to the partitions of the given snapshots (all when none is given).
+
+    A table that nothing has been written to is empty.
+    """
     tables = {}
     for name, schema in schemas.FACT_TABLES.items():
-        table = spark.read.schema(schema).parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        found = stored_already(spark, path)
+        table = spark.read.schema(schema).parquet(path) if found else spark.createDataFrame([], schema)
         tables[name] = table.where(F.col("snapshot_id").isin(*snapshot_ids)) if snapshot_ids else table
     return tables
 

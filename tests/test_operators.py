@@ -226,3 +226,26 @@ def test_guard_chain_prunes_and_keeps_first_parent(spark):
     hops = {(r.subject_key, r.object_key) for r in parts["hops"].collect()}
     assert hops == {("g", "a"), ("a", "m"), ("m", "s")}
     assert {(r.kind, r.key) for r in parts["claims"].collect()} == {("route", "r"), ("middleware", "g"), ("model", "m"), ("service", "s")}
+
+
+def test_list_orders(spark):
+    nodes = spark.createDataFrame([("b", "x", 1), ("a", "x", 1), ("c", None, None), ("d", "w", 2)], "stable_key string, name string, layer int")
+    assert [r.stable_key for r in facts.node_list(nodes, F.col("layer")).collect()] == ["a", "b", "d", "c"]
+    edges = edge_table(spark, [("c", "a"), ("d", "b"), ("a", "d")])
+    listed = facts.edge_list(nodes, edges).collect()
+    assert [(r.source, r.target) for r in listed] == [("c", "x"), ("w", "x"), ("x", "w")]
+    rows = [(1, "info", "A", "p", 1), (2, "fatal", "B", "p", 1), (3, "fatal", "A", "p", None), (4, "fatal", "A", "p", 1)]
+    diagnostics = spark.createDataFrame(rows, "id int, severity string, code string, path string, span_start int")
+    assert [r.id for r in facts.diagnostic_list(diagnostics, "id").collect()] == [3, 4, 2, 1]
+
+
+def test_sources_of_lineages(spark):
+    cases = {
+        "https://github.com/Own/Repo.git": "github.com/own/repo", " git@GITHUB.com:a/b.c ": "github.com/a/b.c",
+        "https://github.com/a/b/": "github.com/a/b", "http://github.com/a/b": None, "https://github.com/a/b/c": None,
+        "https://github.com/a..b/c": None, "git@github.com:a/b/": None, "": None,
+    }
+    from lodegraph.operators import lineage
+
+    df = spark.createDataFrame([(u,) for u in cases], "url string").select("url", lineage.source_key("url").alias("k"))
+    assert {r.url: r.k for r in df.collect()} == cases
