@@ -1,11 +1,12 @@
 """Module graph lifted from file, symbol and dependency facts."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions import paths, roles
 from lodegraph.operators import facts, summaries
 from lodegraph.operators.resolve import union_all
+from lodegraph.session import checkpoint
 
 # Manifest and lockfile names that never form a module.
 MANIFESTS = (
@@ -67,40 +68,58 @@ def module_folders(members: DataFrame) -> DataFrame:
     return members.select(F.explode(paths.ancestors("path")).alias("folder"), "module_id").distinct()
 
 
-def _endpoints(edges: DataFrame, side: str, members: DataFrame, edge_evidence: DataFrame, node_evidence: DataFrame):
-    """(edge_id, node_id) for one side of the edges."""
-    rows = edges.select("edge_id", F.col(f"{side}_kind").alias("kind"), F.col(f"{side}_key").alias("key"))
-    rows = rows.withColumn("path", paths.path_of_key("kind", "key"))
-    places = members.select("path", F.col("module_id").alias("node_id"))
-    folders = module_folders(members).withColumnRenamed("module_id", "node_id")
+def _ends(edges: DataFrame, members: DataFrame, edge_evidence: DataFrame, node_evidence: DataFrame) -> DataFrame:
+    """(edge_id, side, node_id) for both sides of the edges, in one pass.
 
-    direct = rows.where("kind = 'dependency'").select("edge_id", F.col("key").alias("node_id"))
-    in_file = rows.where("kind IN ('file', 'symbol')").select("edge_id", "path").join(places, "path")
-    scopes = (
-        rows.where("kind = 'repository'")
-        .select("edge_id")
-        .join(edge_evidence, "edge_id")
-        .select("edge_id", paths.directory("path").alias("folder"))
-        .where("folder <> ''")
-        .distinct()
-    )
-    in_scope = scopes.join(folders, "folder")
+    Each side asks for files or folders by level: what the edge's own evidence says (of subjects only), without any
+    what the node's evidence says, and if no file answers, the folder that the key names.
+    """
+    sides = edges.select(
+        "edge_id",
+        F.inline(
+            F.array(
+                *(
+                    F.struct(F.lit(s).alias("side"), F.col(f"{s}_kind").alias("kind"), F.col(f"{s}_key").alias("key"))
+                    for s in ("subject", "object")
+                )
+            )
+        ),
+    ).withColumn("path", paths.path_of_key("kind", "key"))
+    plain = F.col("kind").isin("file", "symbol")
+    scope = F.col("kind") == "repository"
+    other = ~F.col("kind").isin("dependency", "repository", "file", "symbol")
+    asks_edge = scope | (other & (F.col("side") == "subject"))
+
+    def asking(rows: DataFrame, what: str, value, level: int) -> DataFrame:
+        return rows.select(
+            "edge_id", "side", F.lit(level).alias("level"), F.lit(what).alias("what"), value.alias("value")
+        )
 
-    others = rows.where("kind NOT IN ('dependency', 'repository', 'file', 'symbol')")
-    by_node = others.join(node_evidence.select(F.col("stable_key").alias("key"), F.col("path").alias("_at")), "key").select(
-        "edge_id", F.col("_at").alias("path")
+    seen = sides.where(asks_edge).join(edge_evidence.select("edge_id", F.col("path").alias("_at")), "edge_id", "left")
+    blind = sides.where(other & (F.col("side") == "object")).unionByName(
+        seen.where(other & F.col("_at").isNull()).drop("_at")
+    )
+    by_node = blind.join(node_evidence.select(F.col("stable_key").alias("key"), F.col("path").alias("_at")), "key")
+    asked = union_all(
+        [
+            asking(sides.where(plain), "file", F.col("path"), 1),
+            asking(seen.where(scope), "folder", F.nullif(paths.directory("_at"), F.lit("")), 1),
+            asking(seen.where(other), "file", F.col("_at"), 1),
+            asking(by_node, "file", F.col("_at"), 1),
+            asking(sides.where(other), "folder", F.col("path"), 2),
+        ]
+    ).where("value IS NOT NULL")
+    places = members.select(F.lit("file").alias("what"), F.col("path").alias("value"), F.col("module_id").alias("node_id"))
+    folders = module_folders(members).select(
+        F.lit("folder").alias("what"), F.col("folder").alias("value"), F.col("module_id").alias("node_id")
     )
-    if side == "subject":
-        # the edge's own evidence comes first, the node's only without it
-        by_edge = others.select("edge_id").join(edge_evidence.select("edge_id", "path"), "edge_id")
-        seen = by_edge.unionByName(by_node.join(by_edge.select("edge_id").distinct(), "edge_id", "left_anti"))
-    else:
-        seen = by_node
-    exact = seen.distinct().join(places, "path").select("edge_id", "node_id")
-    rest = others.where("path IS NOT NULL").join(exact.select("edge_id").distinct(), "edge_id", "left_anti")
-    in_folder = rest.select("edge_id", F.col("path").alias("folder")).join(folders, "folder")
-    parts = [direct, in_file, in_scope, exact, in_folder]
-    return union_all([p.select("edge_id", "node_id") for p in parts]).distinct()
+    answers = asked.distinct().join(places.unionByName(folders), ["what", "value"])
+    # both the levels and the distinct nodes of a side are found where its edge is
+    at_edge = answers.select("edge_id", "side", "level", "node_id").repartition("edge_id")
+    best = F.min("level").over(Window.partitionBy("edge_id", "side"))
+    found = at_edge.withColumn("_best", best).where("level = _best").select("edge_id", "side", "node_id").distinct()
+    direct = sides.where("kind = 'dependency'").select("edge_id", "side", F.col("key").alias("node_id"))
+    return found.unionByName(direct)
 
 
 def lift_edges(
@@ -124,12 +143,14 @@ def lift_edges(
     only_root = root_rows.where("_root = _all").select("edge_id")
     usable = edges.join(only_root, "edge_id", "left_anti")
     ids = known.select(F.col("node_id")).distinct()
-    source = _endpoints(usable, "subject", members, edge_evidence, node_evidence).join(ids, "node_id", "left_semi")
-    target = _endpoints(usable, "object", members, edge_evidence, node_evidence).join(ids, "node_id", "left_semi")
-    pairs = source.withColumnRenamed("node_id", "source").join(target.withColumnRenamed("node_id", "target"), "edge_id")
+    # stored once: the edges, the diagnostics and all their users start from here
+    ends = checkpoint(_ends(usable, members, edge_evidence, node_evidence).join(ids, "node_id", "left_semi"))
+    source = ends.where("side = 'subject'").select("edge_id", F.col("node_id").alias("source"))
+    target = ends.where("side = 'object'").select("edge_id", F.col("node_id").alias("target"))
+    pairs = source.join(target, "edge_id")
     lifted = usable.select("edge_id", "predicate").join(pairs.where("source <> target"), "edge_id")
     # an edge has a pair exactly when both of its sides are known
-    mapped = source.select("edge_id").distinct().join(target.select("edge_id").distinct(), "edge_id", "left_semi")
+    mapped = ends.groupBy("edge_id").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b")
     unmapped = usable.select("edge_id").join(mapped, "edge_id", "left_anti")
     diagnostics = root_rows.select("edge_id", F.lit("ARCH-REL-REPO-SCOPED").alias("code"), F.lit("info").alias("severity")).unionByName(
         unmapped.select("edge_id", F.lit("ARCH-REL-ENDPOINT-UNMAPPED").alias("code"), F.lit("warning").alias("severity"))
@@ -157,13 +178,14 @@ def relationship_states(nodes: DataFrame, lifted: DataFrame, unresolved: DataFra
     whole = members.select("module_id").distinct().join(open_files, "module_id", "left_anti")
 
     def flag(df: DataFrame, column: str, name: str) -> DataFrame:
-        return df.select(F.col(column).alias("node_id")).distinct().withColumn(name, F.lit(True))
+        return df.select(F.col(column).alias("node_id"), F.lit(name).alias("mark"))
 
-    marked = (
-        nodes.join(flag(connected, "node_id", "_connected"), "node_id", "left")
-        .join(flag(unresolved, "node_id", "_unresolved"), "node_id", "left")
-        .join(flag(whole, "module_id", "_whole"), "node_id", "left")
+    marks = (
+        union_all([flag(connected, "node_id", "connected"), flag(unresolved, "node_id", "unresolved"), flag(whole, "module_id", "whole")])
+        .groupBy("node_id")
+        .agg(*(F.max(F.col("mark") == m).alias(f"_{m}") for m in ("connected", "unresolved", "whole")))
     )
+    marked = nodes.join(marks, "node_id", "left")
     state = (
         F.when(F.col("_connected"), "connected")
         .when(F.col("_unresolved"), "unresolved")
