@@ -8,8 +8,14 @@ from lodegraph.queries import bindings as b
 from lodegraph.queries.registry import query
 from lodegraph.session import checkpoint
 
-def _snap():
-    return F.lit("s1").alias("snapshot_id")
+
+def _snap(number: str | None = None):
+    """The snapshot of a row: one of two by a number of the row, or the same for all."""
+    return (F.lit("s1") if number is None else F.concat(F.lit("s"), F.col(number) % 2)).alias("snapshot_id")
+
+
+def _both_snapshots():
+    return F.explode(F.array(F.lit("s0"), F.lit("s1"))).alias("snapshot_id")
 
 
 @query(
@@ -74,9 +80,9 @@ def v4(spark, folder):
     return quality.keys_normalized(nodes)
 
 
-def _line_evidence(spark, folder, kind="edge"):
+def _line_evidence(spark, folder, kind="edge", number=None):
     return b.table(spark, folder, "lineitem").select(
-        _snap(),
+        _snap(number),
         F.lit(kind).alias("parent_kind"),
         F.concat(F.lit("order:"), "l_orderkey").alias("parent_id"),
         F.concat(F.lit("part/"), "l_partkey").alias("path"),
@@ -106,7 +112,7 @@ def v5(spark, folder):
 
 def _order_nodes(spark, folder):
     return b.table(spark, folder, "orders").select(
-        _snap(),
+        _snap("o_orderkey"),
         F.concat(F.lit("order:"), "o_orderkey").alias("stable_key"),
         F.lit("order").alias("node_kind"),
         F.lit("observed").alias("truth_class"),
@@ -115,23 +121,23 @@ def _order_nodes(spark, folder):
 
 @query(
     "v6_observed_nodes_have_evidence",
-    "SELECT 's1' AS snapshot_id, 'V6' AS rule, 'order:'||o_orderkey AS key, '' AS detail FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
+    "SELECT 's'||o_orderkey%2 AS snapshot_id, 'V6' AS rule, 'order:'||o_orderkey AS key, '' AS detail FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
 )
 def v6(spark, folder):
-    return quality.nodes_have_evidence(_order_nodes(spark, folder), _line_evidence(spark, folder, "node"))
+    return quality.nodes_have_evidence(_order_nodes(spark, folder), _line_evidence(spark, folder, "node", "l_orderkey"))
 
 
 @query(
     "v7_observations",
     """WITH e AS (SELECT l_orderkey, count(*) AS n, arg_min(l_partkey, ('part/'||l_partkey, l_linenumber)) AS p, min(l_linenumber) AS s FROM lineitem GROUP BY 1)
-      SELECT 's1' AS snapshot_id, 'V7' AS rule, 'order:'||o_orderkey AS key, CASE WHEN coalesce(n,0)<>1 THEN 'evidence count' WHEN o_orderstatus='P' THEN 'subject' ELSE 'identity' END AS detail
+      SELECT 's'||o_orderkey%2 AS snapshot_id, 'V7' AS rule, 'order:'||o_orderkey AS key, CASE WHEN coalesce(n,0)<>1 THEN 'evidence count' WHEN o_orderstatus='P' THEN 'subject' ELSE 'identity' END AS detail
       FROM orders LEFT JOIN e ON l_orderkey=o_orderkey""",
 )
 def v7(spark, folder):
     orders = b.table(spark, folder, "orders")
     customers = F.concat(F.lit("customer:"), "o_custkey")
     observations = orders.select(
-        _snap(),
+        _snap("o_orderkey"),
         F.concat(F.lit("order:"), "o_orderkey").alias("observation_id"),
         F.lit("call").alias("observed_kind"),
         F.when(F.col("o_orderstatus") == "P", "symbol").otherwise("customer").alias("subject_kind"),
@@ -140,31 +146,32 @@ def v7(spark, folder):
         F.lit(1).alias("ordinal"),
     )
     nodes = b.table(spark, folder, "customer").select(
-        _snap(), F.concat(F.lit("customer:"), "c_custkey").alias("stable_key"), F.lit("customer").alias("node_kind")
+        _both_snapshots(), F.concat(F.lit("customer:"), "c_custkey").alias("stable_key"), F.lit("customer").alias("node_kind")
     )
-    snapshots = spark.range(1).select(_snap(), F.lit("git").alias("revision_kind"), F.lit("0" * 40).alias("revision_value"))
-    return quality.observations_sound(snapshots, nodes, observations, _line_evidence(spark, folder, "observation"))
+    snapshots = spark.range(2).select(_snap("id"), F.lit("git").alias("revision_kind"), F.lit("0" * 40).alias("revision_value"))
+    return quality.observations_sound(snapshots, nodes, observations, _line_evidence(spark, folder, "observation", "l_orderkey"))
 
 
 @query(
     "v8_edges",
     """WITH l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS (SELECT *, 'edge:sha256:'||sha256('order:'||l_orderkey||chr(31)||'imports'||chr(31)||'part:'||l_partkey) AS id FROM l),
       p AS (SELECT p_partkey, p_type FROM part), o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders)
-      SELECT 's1' AS snapshot_id, 'V8' AS rule, id AS key, 'object' AS detail FROM e JOIN p ON p_partkey=l_partkey WHERE p_type='PROMO'
-      UNION ALL SELECT 's1','V8',id,'no evidence' FROM e JOIN o ON o_orderkey=l_orderkey WHERE o_orderstatus='P'
-      UNION ALL SELECT 's1','V8',id,'no source observation' FROM e JOIN o ON o_orderkey=l_orderkey WHERE o_orderpriority='5-LOW'""",
+      SELECT 's'||l_orderkey%2 AS snapshot_id, 'V8' AS rule, id AS key, 'object' AS detail FROM e JOIN p ON p_partkey=l_partkey WHERE p_type='PROMO'
+      UNION ALL SELECT 's'||l_orderkey%2,'V8',id,'no evidence' FROM e JOIN o ON o_orderkey=l_orderkey WHERE o_orderstatus='P'
+      UNION ALL SELECT 's'||l_orderkey%2,'V8',id,'no source observation' FROM e JOIN o ON o_orderkey=l_orderkey WHERE o_orderpriority='5-LOW'""",
 )
 def v8(spark, folder):
     # sealed edges are a stored table that each part of the rule scans
     edges = checkpoint(
         b.edges(spark, folder)
         .where("subject_kind = 'order' AND object_kind = 'part'")
-        .select(_snap(), "*", F.lit("resolver").alias("producer"), F.lit("1").alias("producer_version"))
+        .withColumn("_order", F.substring_index("subject_key", ":", -1).cast("bigint"))
+        .select(_snap("_order"), "*", F.lit("resolver").alias("producer"), F.lit("1").alias("producer_version"))
     )
     kept_parts = b.table(spark, folder, "part").where("p_type <> 'PROMO'")
     nodes = _order_nodes(spark, folder).unionByName(
         kept_parts.select(
-            _snap(),
+            _both_snapshots(),
             F.concat(F.lit("part:"), "p_partkey").alias("stable_key"),
             F.lit("part").alias("node_kind"),
             F.lit("observed").alias("truth_class"),
@@ -175,15 +182,15 @@ def v8(spark, folder):
     )
     marked = edges.join(orders, "subject_key")
     evidence = marked.where("o_orderstatus <> 'P'").select(
-        _snap(), F.lit("edge").alias("parent_kind"), F.col("edge_id").alias("parent_id")
+        "snapshot_id", F.lit("edge").alias("parent_kind"), F.col("edge_id").alias("parent_id")
     )
     derivations = marked.select(
-        _snap(),
+        "snapshot_id",
         F.lit("edge").alias("parent_kind"),
         F.col("edge_id").alias("parent_id"),
         F.when(F.col("o_orderpriority") == "5-LOW", "node").otherwise("observation").alias("ref_kind"),
     )
-    producers = spark.range(1).select(_snap(), F.lit("resolver@1").alias("producer"))
+    producers = spark.range(2).select(_snap("id"), F.lit("resolver@1").alias("producer"))
     return quality.edges_sound(nodes, edges, evidence, derivations, producers)
 
 
@@ -199,7 +206,7 @@ def _label_assertions(spark, folder):
         identity.derived_from_json(reference),
     )
     assertions = labels.select(
-        _snap(),
+        _snap("doc_id"),
         F.when(F.col("lang") == "de", F.lit("stale:")).otherwise("").alias("_stale"),
         identifier.alias("_id"),
         F.lit("document").alias("subject_kind"),
@@ -212,7 +219,7 @@ def _label_assertions(spark, folder):
         "lang",
     ).withColumn("assertion_id", F.concat("_stale", "_id"))
     derivations = assertions.where("lang <> 'fr'").select(
-        _snap(),
+        "snapshot_id",
         F.lit("assertion").alias("parent_kind"),
         F.col("assertion_id").alias("parent_id"),
         F.lit("node").alias("ref_kind"),
@@ -224,14 +231,14 @@ def _label_assertions(spark, folder):
 @query(
     "v9_assertions",
     """WITH a AS (SELECT d.doc_id, lang, toxic, CASE lang WHEN 'de' THEN 'stale:' ELSE '' END||'assertion:sha256:'||sha256('{"derived_from":[{"kind":"node","stable_key":"doc:'||d.doc_id||'"}],"predicate":"classified_as","producer":"labels","producer_version":"1","schema_version":"ri.v1","subject":{"kind":"document","stable_key":"doc:'||d.doc_id||'"},"truth_class":"inferred","value":{"classification":"'||quality||'","confidence":"heuristic"}}') AS id FROM labels l JOIN documents d USING (doc_id))
-      SELECT 's1' AS snapshot_id, 'V9' AS rule, id AS key, 'no derivation' AS detail FROM a WHERE lang='fr' UNION ALL SELECT 's1','V9',id,'identity' FROM a WHERE lang='de'""",
+      SELECT 's'||doc_id%2 AS snapshot_id, 'V9' AS rule, id AS key, 'no derivation' AS detail FROM a WHERE lang='fr' UNION ALL SELECT 's'||doc_id%2,'V9',id,'identity' FROM a WHERE lang='de'""",
 )
 def v9(spark, folder):
     assertions, derivations = _label_assertions(spark, folder)
     nodes = b.table(spark, folder, "documents").select(
-        _snap(), F.concat(F.lit("doc:"), "doc_id").alias("stable_key"), F.lit("document").alias("node_kind")
+        _snap("doc_id"), F.concat(F.lit("doc:"), "doc_id").alias("stable_key"), F.lit("document").alias("node_kind")
     )
-    producers = spark.range(1).select(_snap(), F.lit("labels@1").alias("producer"))
+    producers = spark.range(2).select(_snap("id"), F.lit("labels@1").alias("producer"))
     return quality.assertions_sound(nodes, assertions, derivations, producers)
 
 

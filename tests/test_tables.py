@@ -67,7 +67,7 @@ def test_purge_takes_failed_only(spark):
 
 
 def test_no_query_uses_a_cartesian_product(spark):
-    names = ("r1_unique_candidate", "r9_three_tiers", "j8_r11_smallest_containing_span", "j11_first_support", "b1_multiset_match", "r6_absolute_import_files")
+    names = ("r1_unique_candidate", "r9_three_tiers", "j8_r11_smallest_containing_span", "j11_first_support", "b1_multiset_match", "r6_absolute_import_files", "v7_observations", "v8_edges", "v9_assertions")
     for name in names:
         text = plan(catalog.QUERIES[name](spark, FOLDER))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
