@@ -4,6 +4,8 @@ Set LODEGRAPH_ALL=1 to run every query; ``python tests/oracle.py`` does the same
 """
 
 import os
+import subprocess
+import sys
 
 import pytest
 from oracle import check, duck
@@ -23,6 +25,24 @@ def test_every_check_has_a_query():
     assert len(entry.queries()) > 200
 
 
+def test_library_without_the_llm_folder():
+    code = """
+import sys
+
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name.startswith("lodegraph.llm") or name == "corpus_pipeline":
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as entry
+
+assert len(entry.queries()) > 200 and "pipeline" not in entry.queries()
+assert not any(n.startswith("op") for n in entry.queries())
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=True)
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and set(rows[0].asDict()) == {"depth", "node_key", "edge_id", "limit_reached"}
