@@ -16,16 +16,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import schema_of, slices
+from lodegraph.llm.common import release, schema_of, short_batches, slices
 
 #: No token, and no rank.
 NOTHING = 1_000_000_000
@@ -33,7 +35,7 @@ NOTHING = 1_000_000_000
 #: share a slot at every shift.
 BUCKETS, SLOTS = 32_749, 131_071
 #: Parts of texts whose ids a task remembers, and their longest length; they bound memory, not results.
-REMEMBERED, REMEMBERED_CHARS = 600_000, 60
+REMEMBERED, REMEMBERED_CHARS = 450_000, 60
 
 #: Longest word in bytes whose pairs are scanned at each merge; longer ones keep their pairs in a heap.
 SCANNED = 64
@@ -180,6 +182,9 @@ class Encoder(dict):
         self.base = max(ranks.values(), default=0) + 1
         self.singles = [ranks[bytes([b])] for b in range(256)]
         self.pairs = {left * self.base + right: rank for (left, right), rank in pair_ranks(ranks).items()}
+        self.signs = {x: tuple(self.fold(x.encode())) for x in ".,;:!?"} if b"." in ranks else {}
+        self.line_end = tuple(self.fold(b"\n")) if b"\n" in ranks else ()
+        self.first: dict[str, tuple[int, ...]] = {}
 
     def fold(self, word: bytes) -> list[int]:
         """Merge the leftmost pair of least rank until no pair has a rank."""
@@ -226,6 +231,14 @@ class Encoder(dict):
         return tuple(chain.from_iterable(self.fold(word.encode()) for word in self.find(part)))
 
     def __missing__(self, part: str) -> tuple[int, ...]:
+        # a sign after a last letter, and a line end between others than white space, are words of their own
+        if part[-1:] in self.signs and part[-2:-1].isalpha():
+            return self[part[:-1]] + self.signs[part[-1]]
+        if "\n" in part:
+            lines = part.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                rest = (self.line_end + self.bare(x) for x in lines[1:])
+                return tuple(chain(self[lines[0]], chain.from_iterable(rest)))
         ids = self.split(" " + part)
         if len(part) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
@@ -233,6 +246,17 @@ class Encoder(dict):
             self[part] = ids
         return ids
 
+    def bare(self, word: str) -> tuple[int, ...]:
+        """Ids of a part without a space in front."""
+        ids = self.first.get(word)
+        if ids is None:
+            ids = self.split(word)
+            if len(self.first) >= REMEMBERED // 8:
+                self.first.clear()
+            if len(word) <= REMEMBERED_CHARS:
+                self.first[word] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
@@ -257,22 +281,30 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str]
             _ENCODERS[name] = Encoder(*shared.value)
         encoder = _ENCODERS[name]
         for batch in slices(batches, "_text"):
-            ids = pa.array([encoder.encode(x or "") for x in batch.column(0).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids], names=[*keep, "ids"])
-
+            ids, ends = array("i"), [0]
+            for text in batch.column(0).to_pylist():
+                ids.extend(encoder.encode(text or ""))
+                ends.append(len(ids))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], names=[*keep, "ids"])
+        release()
+
+    short_batches(df.sparkSession)
     rows = df.select(F.col(text).alias("_text"), *keep)
     return rows.mapInArrow(step, schema_of(df, keep, "ids array<int>"))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
-    """All columns of ``df`` and ``decoded``, the bytes of its ids; an unknown id is an error."""
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
-    names = df.columns
+    """All columns of ``df`` and ``decoded``, the bytes of its ids; null ids have no bytes.
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = {rank: token for token, rank in shared.value.items()}
-        for batch in batches:
-            texts = [b"".join(map(pieces.__getitem__, x or ())) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*names, "decoded"])
-
-    return df.mapInArrow(step, schema_of(df, names, "decoded binary"))
+    The binary pieces are a literal that higher-order functions look up by id; an id outside the vocabulary is an
+    error.
+    """
+    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token.hex()
+    found = let(
+        F.split(F.lit(",".join(pieces)), ","),
+        lambda table: F.transform(F.col(ids), lambda i: F.element_at(table, i + 1)),
+    )
+    return df.withColumn("decoded", F.coalesce(F.unhex(F.array_join(found, "")), F.unhex(F.lit(""))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +49,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(start, batch.num_rows - start)
 
 
+#: Rows of the batches that tasks exchange with Python: texts are long, and a batch is held several times over.
+BATCH_ROWS = 1_000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Make the session's Arrow batches no longer than ``BATCH_ROWS``."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Give memory that the last task needed back, as Python workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def stream_with_side(side: DataFrame, rows: DataFrame, key: str, partitions: int, step, schema) -> DataFrame:
     """Run ``step`` over both inputs, dealt out by ``key``; of each key the rows of ``side`` come first.
 
@@ -57,6 +75,7 @@ def stream_with_side(side: DataFrame, rows: DataFrame, key: str, partitions: int
     both = side.withColumn("_rank", F.lit(0)).unionByName(
         rows.withColumn("_rank", F.lit(1)), allowMissingColumns=True
     )
+    short_batches(side.sparkSession)
     dealt = both.repartition(partitions, key).sortWithinPartitions(key, "_rank")
     return dealt.mapInArrow(step, schema)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import slices
+from lodegraph.llm.common import short_batches, slices
 
 Q = 8
 #: Edits allowed per character of a passage.
@@ -219,6 +219,7 @@ def passages_in(
 
     Words are counted from 0 in the document's words; ``passage`` is what stands there, in normal form.
     """
+    short_batches(df.sparkSession)
     spark = df.sparkSession
     kinds = df.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     schema = f"id {kinds[0]}, item {kinds[1]}, edits int, start_word int, end_word int, passage string"

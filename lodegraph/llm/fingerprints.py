@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import partitions_for, slices
+from lodegraph.llm.common import partitions_for, short_batches, slices
 
 #: Cells of a fingerprint, and how many times more the next larger sketch has.
 CELLS, GROWTH = 12, 4
@@ -171,6 +171,7 @@ def with_next(docs: DataFrame, key: str, text: str, step, schema: str) -> DataFr
     looked at only.  Only keys are sampled and counted beforehand; texts are shuffled once.  Rows without a key come
     last; of rows that share one, the order follows a hash of their texts.
     """
+    short_batches(docs.sparkSession)
     spark = docs.sparkSession
     least = -(2**63)
     order = F.coalesce(F.col(key), F.lit(least))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import slices
+from lodegraph.llm.common import short_batches, slices
 
 VERSION = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -107,6 +107,7 @@ def write(df: DataFrame, path: str, key: str, url: str, payload: str, segment: i
             records = [r for k, u, p, d, f, n in rows for r in records_of(k, u, p or b"", d, f, n, segment)]
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
 
+    short_batches(df.sparkSession)
     columns = [F.col(key), F.col(url), F.col(payload).alias("_payload"), F.col("_digest"), F.col("_refers")]
     # ids need not be the same when a lost task runs again: what counts is what one task writes
     rows = df.select(*columns, F.substring(F.replace(F.uuid(), F.lit("-")), 1, 16).alias("_nonce"))
