@@ -26,13 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import schema_of, slices
+from lodegraph.llm.common import release, schema_of, short_batches, slices
 
 #: Labelled rows to fit on (every fifth of them calibrates), and rows of the unlabelled pool.
-LABELLED, POOL = 12_000, 6_000
+LABELLED, POOL = 8_000, 4_000
 ROUNDS = 2
 #: A view teaches the other one where its calibrated chance is this far from even.
 SURE = 0.98
+#: Words whose features a task remembers; bounds memory, not results.
+REMEMBERED = 200_000
 #: Size of the hashed feature spaces.
 WIDTH = 1 << 18
 #: A feature counts if this many fitted rows have it.
@@ -64,7 +66,7 @@ class Words(dict):
             found.append(slot("s " + signs[:8]))
         if len(core) > 1 and core.isupper():
             found.append(slot("capitals"))
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         self[word] = tuple(found)
         return self[word]
@@ -96,8 +98,8 @@ class Rows:
 
     def __init__(self, features: list[np.ndarray]):
         self.n = len(features)
-        self.features = np.concatenate([*features, np.zeros(0, np.int32)]).astype(np.int64)
-        self.row = np.repeat(np.arange(self.n), [len(x) for x in features])
+        self.features = np.concatenate([*features, np.zeros(0, np.int32)])
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in features])
 
     def logit(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.features], minlength=self.n) + weights[WIDTH]
@@ -115,14 +117,17 @@ def fit(rows: Rows, target: np.ndarray, taught: np.ndarray) -> np.ndarray:
     """
     on = taught[rows.row]
     features, row = rows.features[on], rows.row[on]
-    kept = (np.bincount(features, minlength=WIDTH) >= SUPPORT)[features]
-    used, features = np.unique(features[kept], return_inverse=True)
-    row, n = row[kept], max(1, int(taught.sum()))
+    used = np.flatnonzero(np.bincount(features, minlength=WIDTH) >= SUPPORT)
+    place = np.full(WIDTH, -1, np.int32)
+    place[used] = np.arange(len(used))
+    features = place[features]
+    kept = features >= 0
+    features, row, n = features[kept], row[kept], max(1, int(taught.sum()))
     share = float(np.clip(target[taught].mean(), 0.5 / n, 1 - 0.5 / n)) if taught.any() else 0.5
     yes = np.bincount(features, target[row], minlength=len(used))
     no = np.bincount(features, minlength=len(used)) - yes
     ratio = np.log((yes + SMOOTH * share) / share) - np.log((no + SMOOTH * (1 - share)) / (1 - share))
-    values = ratio[features]
+    values = ratio.astype(np.float32)[features]
 
     def forward(w: np.ndarray) -> np.ndarray:
         return np.bincount(row, w[features] * values, minlength=rows.n)
@@ -189,22 +194,30 @@ def co_train(views: list[Rows], labels: np.ndarray) -> dict:
     return {"models": [m.astype(np.float32) for m in models], "scales": scales, "joint": joint}
 
 
+def views_of(batch: pa.RecordBatch, facts: int, words: Words) -> list[list[np.ndarray]]:
+    """Both views of the texts in column 0; the facts follow it."""
+    texts = [x or "" for x in batch.column(0).to_pylist()]
+    given = list(zip(*(batch.column(1 + i).to_pylist() for i in range(facts)), strict=True))
+    pages = [page_view(x, given[i] if facts else []) for i, x in enumerate(texts)]
+    return [[text_view(x, words) for x in texts], pages]
+
+
+def with_text(df: DataFrame, facts: list[str], keep: list[str], text: str) -> DataFrame:
+    short_batches(df.sparkSession)
+    return df.select(F.col(text).alias("_text"), *(F.col(c).cast("string").alias(f"_{c}") for c in facts), *keep)
+
+
 def features_of(df: DataFrame, facts: list[str], keep: list[str], text: str) -> DataFrame:
     """Columns ``keep`` and the features of both views, as packed numbers."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in slices(batches, "_text"):
-            texts = [x or "" for x in batch.column(0).to_pylist()]
-            given = list(zip(*(batch.column(1 + i).to_pylist() for i in range(len(facts))), strict=True))
-            views = (
-                [text_view(x, words).tobytes() for x in texts],
-                [page_view(x, given[i] if facts else []).tobytes() for i, x in enumerate(texts)],
-            )
-            columns = [*batch.columns[1 + len(facts) :], *(pa.array(v, pa.binary()) for v in views)]
+            views = views_of(batch, len(facts), words)
+            columns = [*batch.columns[1 + len(facts) :], *(pa.array([x.tobytes() for x in v], pa.binary()) for v in views)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "text_view", "page_view"])
 
-    rows = df.select(F.col(text).alias("_text"), *(F.col(c).cast("string").alias(f"_{c}") for c in facts), *keep)
+    rows = with_text(df, facts, keep, text)
     return rows.mapInArrow(step, schema_of(df, keep, "text_view binary, page_view binary"))
 
 
@@ -221,9 +234,11 @@ def train(docs: DataFrame, labels: DataFrame, facts: list[str], key: str, text:
     rows = features_of(chosen, facts, [key, *TARGETS], text).toArrow().to_pylist()
     rows.sort(key=lambda r: (r[key], xxhash.xxh64_intdigest(r["text_view"]), str([r[t] for t in TARGETS])))
     views = [Rows([np.frombuffer(r[v], np.int32) for r in rows]) for v in ("text_view", "page_view")]
+    known = {t: [-1 if r[t] is None else int(r[t] > 0) for r in rows] for t in TARGETS}
+    del rows
     models: list[dict | None] = []
     for target in TARGETS:
-        marks = np.array([-1 if r[target] is None else int(r[target] > 0) for r in rows], np.int64)
+        marks = np.array(known[target], np.int64)
         models.append(co_train(views, marks) if (marks >= 0).any() else None)
     return models
 
@@ -238,11 +253,9 @@ def score_documents(
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, facts, key, text))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for batch in batches:
-            views = [
-                Rows([np.frombuffer(x, np.int32) for x in batch.column(len(keep) + i).to_pylist()]) for i in range(2)
-            ]
+        models, words = shared.value, Words()
+        for batch in slices(batches, "_text"):
+            views = [Rows(v) for v in views_of(batch, len(facts), words)]
             scores = []
             for default, model in zip((1.0, 0.0), models, strict=True):
                 if model is None:
@@ -256,9 +269,11 @@ def score_documents(
             (text_score, page_score, good), (_, _, toxic) = scores
             out = [text_score, page_score, toxic, good * (1 - toxic)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], *(pa.array(x.astype(np.float64)) for x in out)], names=[*keep, *names]
+                [*batch.columns[1 + len(facts) :], *(pa.array(x.astype(np.float64)) for x in out)], names=[*keep, *names]
             )
+        words.clear()
+        release()
 
     names = ["text_score", "page_score", "toxic_score", "score"]
-    rows = features_of(docs, facts, keep, text)
+    rows = with_text(docs, facts, keep, text)
     return rows.mapInArrow(step, schema_of(docs, keep, ", ".join(f"{n} double" for n in names)))
