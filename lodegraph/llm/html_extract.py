@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import schema_of, slices
+from lodegraph.llm.common import schema_of, short_batches, slices
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -298,6 +298,7 @@ def extract(df: DataFrame, keep: list[str], url: str = "url", html: str = "html"
             texts = [Page(x or "").main_text(path) for x, path in pairs]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    # a hot host is split by the engine's skew handling
-    placed = pages.join(winners, "_host", "left").select("_html", "_path", *(f"_{i}_keep" for i in range(len(keep))))
+    short_batches(df.sparkSession)
+    # a merge join's hot hosts are split by the engine, which those of a join that turns into a broadcast are not
+    placed = pages.join(winners.hint("merge"), "_host", "left").select("_html", "_path", *(f"_{i}_keep" for i in range(len(keep))))
     return placed.mapInArrow(step, schema_of(df, keep, "text string"))
