@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm import perfect_hash
-from lodegraph.llm.common import partitions_for, schema_of, slices, stored, stream_with_side
+from lodegraph.llm.common import partitions_for, schema_of, short_batches, slices, stored, stream_with_side
 
 SPACE = " \t\n\x0b\x0c\r"
-#: Documents of a chunk and lines of a shard, on average.
-CHUNK, SHARD = 2_000, 50_000
+#: Documents of a chunk, and indexed lines and probes of a shard, on average.
+CHUNK, SHARD, PROBES = 2_000, 50_000, 200_000
 
 
 def line_keys(text: str, min_chars: int) -> list[bytes | None]:
@@ -167,6 +167,7 @@ def drop_frequent_lines(
     the largest id only.  A key is the line without white space at its ends and with A-Z in lower case.
     """
     spark = df.sparkSession
+    short_batches(spark)
     width = partitions_for(spark)
     chunks = df.count() // CHUNK + 1
     kept = [F.col(c).alias(f"_{i}_keep") for i, c in enumerate(keep)]
@@ -181,7 +182,8 @@ def drop_frequent_lines(
 
     often = lines.groupBy("h", "f").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
     often = stored(often.where(F.col("n") >= min_docs), "frequent-lines")
-    shards = often.count() // SHARD + 1
+    # neither the arrays nor the probes of a shard grow with the corpus
+    shards = max(often.count() // SHARD, lines.count() // PROBES) + 1
     shard = F.pmod("h", F.lit(shards)).cast("int").alias("shard")
     arrays = often.select(shard, "*").groupBy("shard").applyInArrow(
         _index, "shard int, sizes binary, bits binary, prints binary, counts binary, lasts binary"
