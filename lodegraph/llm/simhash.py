@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import slices, stored
+from lodegraph.llm.common import release, short_batches, slices, stored
 from lodegraph.llm.components import components
 from lodegraph.session import checkpoint
 
@@ -66,7 +66,9 @@ def fingerprints(df: DataFrame, shingle: int, words: int = 1, key: str = "doc_id
             parts = np.array(rows, np.uint64).reshape(-1, words).astype(np.int64)
             columns = [pa.array(parts[:, k]) for k in range(words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *names])
+        release()
 
+    short_batches(df.sparkSession)
     names = [f"f{k}" for k in range(words)]
     kind = df.schema[key].dataType.simpleString()
     schema = f"id {kind}, " + ", ".join(f"{n} bigint" for n in names)
@@ -92,11 +94,13 @@ def around(part: str) -> Column:
     return F.transform(F.array(*(F.lit(m).cast("bigint") for m in flips)), lambda m: F.col(part).bitwiseXOR(m))
 
 
-def links(classes: DataFrame, parts: list[str], bits: int, blocks: int, equal: int) -> DataFrame:
+def links(
+    classes: DataFrame, parts: list[str], bits: int, blocks: int, equal: int, paired: int = PAIRED
+) -> DataFrame:
     """Verified links (a, b) between the ``node`` values of distinct fingerprints.
 
     Complete for ``bits <= blocks - equal`` in the sense that matters for classes: fingerprints at a distance of
-    ``bits`` or less are linked directly or by a chain of links.  A block key with up to ``PAIRED`` fingerprints
+    ``bits`` or less are linked directly or by a chain of links.  A block key with up to ``paired`` fingerprints
     gives all its pairs.  In a larger one, for a single part and two bits, fingerprints are linked through the
     values that lie one bit from both (any two at distance two have such a value, and two that share one are at
     distance two at most), which is exact and linear.  For other settings its members are compared with its least
@@ -109,10 +113,10 @@ def links(classes: DataFrame, parts: list[str], bits: int, blocks: int, equal: i
     shared = stored(shared.where("n > 1"), "block-keys")
     members = stored(keyed.join(shared.where("n > 2"), "key"), "block-members")
     pairs = shared.select(F.col("first").alias("a"), F.col("last").alias("b"))
-    few = members.where(F.col("n") <= PAIRED)
+    few = members.where(F.col("n") <= paired)
     left, right = few.select("key", F.col("node").alias("a")), few.select("key", F.col("node").alias("b"))
     pairs = pairs.unionByName(left.join(right, "key").where("a < b").select("a", "b"))
-    many = members.where(F.col("n") > PAIRED)
+    many = members.where(F.col("n") > paired)
     if len(parts) == 1 and bits == 2:
         near = many.select("node").distinct().join(classes, "node").select("node", F.explode(around(*parts)).alias("z"))
         hubs = near.groupBy("z").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -137,12 +141,13 @@ def near_duplicates(
     words: int = 1,
     key: str = "doc_id",
     text: str = "text",
+    paired: int = PAIRED,
 ) -> DataFrame:
     """(key, f0, ..., component_id) of each row; ``component_id`` is the smallest key reachable over links."""
     parts = [f"f{k}" for k in range(words)]
     prints = checkpoint(fingerprints(df, shingle, words, key, text))
     classes = checkpoint(prints.groupBy(*parts).agg(F.min(key).alias("node")))
-    roots = components(links(classes.where("node is not null"), parts, bits, blocks, equal))
+    roots = components(links(classes.where("node is not null"), parts, bits, blocks, equal, paired))
     named = classes.join(roots, "node", "left").select(*parts, F.coalesce("root", "node").alias("component_id"))
     # the hot fingerprint of a group of copies is split by the engine's skew handling
     return prints.join(named, parts)

@@ -45,13 +45,13 @@ def test_lines_as_brute_force(kept):
 
 
 def test_one_of_each_as_brute_force(kept):
-    """The same classes as from all pairs of 128-bit fingerprints."""
+    """The same classes as from all pairs of 192-bit fingerprints."""
     texts = {r["doc_id"]: r["text"] for r in kept[1].collect()}
     from lodegraph.llm.simhash import simhash
 
-    prints = {d: (lambda p: p[0] | p[1] << 64)(simhash((t or "").encode(), 5, 2)) for d, t in texts.items()}
+    prints = {d: sum(p << 64 * k for k, p in enumerate(simhash((t or "").encode(), 5, 3))) for d, t in texts.items()}
     assert all(p & (1 << 64) - 1 == brute_print(texts[d], 5) for d, p in list(prints.items())[:40])
-    classes = brute_classes(prints, 22)
+    classes = brute_classes(prints, 33)
     ids = {r[0] for r in kept[2].select("doc_id").collect()}
     first = {d for d, root in classes.items() if d == root}
     assert first <= ids and len(ids - first) <= 0.02 * len(ids)

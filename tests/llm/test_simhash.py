@@ -92,8 +92,8 @@ def test_stage_settings_find_near_copies(spark):
             copy[draw.randrange(300)] = "changed"
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = simhash.near_duplicates(df, shingle=5, bits=22, blocks=8, equal=3, words=2)
+    got = simhash.near_duplicates(df, shingle=5, bits=33, blocks=8, equal=3, words=3)
     roots = {r["doc_id"]: r["component_id"] for r in got.collect()}
-    assert sum(roots[2 * i + 1] == 2 * i for i in range(60)) >= 51
+    assert sum(roots[2 * i + 1] == 2 * i for i in range(60)) >= 55
     assert all(roots[2 * i] == 2 * i for i in range(60))
     assert got.where(F.col("component_id").isNull()).count() == 0
