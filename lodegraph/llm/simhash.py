@@ -5,7 +5,7 @@ cut into blocks, and two that differ in few bits agree on all bits of some block
 every choice of that many blocks, and the Hamming distance of what meets is verified.
 
 Only distinct fingerprints are joined, so copies cost nothing.  A block key that very many distinct fingerprints
-share is not expanded into pairs, see ``links``.
+share is not expanded into pairs where there is an exact way without, see ``links``.
 
 Defined results: a null text is empty; a text without words has fingerprint zero and links like any other; a row
 without id belongs to its fingerprint's class but gives no class of its own an id; rows that repeat an id share its
@@ -30,22 +30,25 @@ from lodegraph.session import checkpoint
 SEED = 42
 #: Shingles whose bits are counted at a time; bounds memory for very long texts.
 COUNTED = 50_000
-#: Block keys with more distinct fingerprints than this are linked without forming pairs.
+#: Block keys with more distinct fingerprints than this are linked without forming pairs, for one part and two bits.
 PAIRED = 32
 
 
-def simhash(text: bytes, shingle: int, words: int = 1) -> list[int]:
-    """Fingerprint of a text in ``words`` 64-bit parts; part k hashes with seed 42 + k."""
+def grams_of(text: bytes, shingle: int) -> list[bytes]:
+    """The shingles of a text in order, repeats included."""
     tokens = text.lower().split()  # of bytes: A-Z only, and the six white space bytes
     if not tokens:
-        return [0] * words
+        return []
     joined = b" ".join(tokens)
     if len(tokens) <= shingle:
-        grams = [joined]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        starts = [0, *(ends[: len(tokens) - shingle] + 1).tolist()]
-        grams = [joined[a:b] for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+        return [joined]
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = [0, *(ends[: len(tokens) - shingle] + 1).tolist()]
+    return [joined[a:b] for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def print_of(grams: list[bytes], words: int = 1) -> list[int]:
+    """Fingerprint of shingles in ``words`` 64-bit parts; part k hashes with seed 42 + k."""
     parts = []
     for k in range(words):
         ones = np.zeros(64, np.int64)
@@ -57,6 +60,10 @@ def simhash(text: bytes, shingle: int, words: int = 1) -> list[int]:
     return parts
 
 
+def simhash(text: bytes, shingle: int, words: int = 1) -> list[int]:
+    return print_of(grams_of(text, shingle), words)
+
+
 def fingerprints(df: DataFrame, shingle: int, words: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, f0, f1, ...) of each row: the 64-bit parts of its fingerprint as signed numbers."""
 
@@ -103,8 +110,7 @@ def links(
     ``bits`` or less are linked directly or by a chain of links.  A block key with up to ``paired`` fingerprints
     gives all its pairs.  In a larger one, for a single part and two bits, fingerprints are linked through the
     values that lie one bit from both (any two at distance two have such a value, and two that share one are at
-    distance two at most), which is exact and linear.  For other settings its members are compared with its least
-    and its greatest member only; members of such a group meet others under the remaining keys.
+    distance two at most), which is exact and linear.  For other settings it gives all its pairs, too.
     """
     keyed = classes.select("node", block_keys(parts, blocks, equal).alias("key"))
     shared = keyed.groupBy("key").agg(
@@ -113,17 +119,15 @@ def links(
     shared = stored(shared.where("n > 1"), "block-keys")
     members = stored(keyed.join(shared.where("n > 2"), "key"), "block-members")
     pairs = shared.select(F.col("first").alias("a"), F.col("last").alias("b"))
-    few = members.where(F.col("n") <= paired)
+    exact = len(parts) == 1 and bits == 2
+    few = members.where(F.col("n") <= paired) if exact else members
     left, right = few.select("key", F.col("node").alias("a")), few.select("key", F.col("node").alias("b"))
     pairs = pairs.unionByName(left.join(right, "key").where("a < b").select("a", "b"))
-    many = members.where(F.col("n") > paired)
-    if len(parts) == 1 and bits == 2:
-        near = many.select("node").distinct().join(classes, "node").select("node", F.explode(around(*parts)).alias("z"))
+    if exact:
+        many = members.where(F.col("n") > paired).select("node").distinct()
+        near = many.join(classes, "node").select("node", F.explode(around(*parts)).alias("z"))
         hubs = near.groupBy("z").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
         pairs = pairs.unionByName(near.join(hubs, "z").select("a", F.col("node").alias("b")))
-    else:
-        pairs = pairs.unionByName(many.select(F.col("first").alias("a"), F.col("node").alias("b")))
-        pairs = pairs.unionByName(many.select(F.col("node").alias("a"), F.col("last").alias("b")))
     pairs = pairs.where("a < b").distinct()
     # the fingerprints come back to what is left, and are verified
     for end in ("a", "b"):

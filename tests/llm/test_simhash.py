@@ -97,3 +97,22 @@ def test_stage_settings_find_near_copies(spark):
     assert sum(roots[2 * i + 1] == 2 * i for i in range(60)) >= 55
     assert all(roots[2 * i] == 2 * i for i in range(60))
     assert got.where(F.col("component_id").isNull()).count() == 0
+
+
+def test_links_inside_a_group_that_shares_its_keys(spark):
+    """Fingerprints of three parts that share keys without being near, and near ones among them."""
+    draw = random.Random(5)
+    shared, by_node = draw.getrandbits(24), {}
+    for i in range(0, 80, 2):  # the first 24 bits of each part are boilerplate
+        parts = [shared | draw.getrandbits(40) << 24 for _ in range(3)]
+        by_node[i] = tuple(parts)
+        if i % 8 == 4:
+            # all other blocks differ, in twelve bits
+            flips = sum(1 << b for b in (24, 32, 40, 48))
+            by_node[i + 1] = tuple(p ^ flips ^ (1 << 56) for p in parts)
+    signed = [(n, *(v - (1 << 64) if v >> 63 else v for v in p)) for n, p in by_node.items()]
+    df = spark.createDataFrame(signed, "node bigint, f0 bigint, f1 bigint, f2 bigint")
+    found = {tuple(r) for r in simhash.links(df, ["f0", "f1", "f2"], bits=33, blocks=8, equal=3, paired=8).collect()}
+    whole = {n: sum(v << 64 * k for k, v in enumerate(p)) for n, p in by_node.items()}
+    assert found == {(a, b) for a in whole for b in whole if a < b and (whole[a] ^ whole[b]).bit_count() <= 33}
+    assert len(found) >= 10
