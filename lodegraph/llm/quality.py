@@ -1,18 +1,20 @@
 """Quality classifier by co-training.
 
 Two classifiers see different sides of a document: the text view its words, the page view its source, language,
-length and layout.  They are fitted on labelled rows; then, over rounds, each view labels the documents of an
-unlabelled pool that it is sure about, and these train the other view.  Sureness is measured after calibration on
-labelled rows that no view is fitted on.  At the end both calibrated views are combined, and all documents scored.
+length and layout.  They are fitted on labelled rows; then, over rounds, each view labels all other documents that it
+is sure about, and these train the other view.  Sureness is measured after calibration on labelled rows that no view
+is fitted on.  At the end both calibrated views are combined, and all documents scored.
 
 There are two targets, good quality and toxicity; a document's score is the chance that it is good and not toxic.
 
-Bounds: ``LABELLED`` labelled rows and ``POOL`` unlabelled ones are taken, those with the smallest hash of their
-id; their features (hashed, so bounded by their words) are fitted on the driver.  Scoring reads every document.
+Bounds: ``LABELLED`` labelled rows are taken, those with the smallest hash of their id; their features (hashed, so
+bounded by their words) are fitted on the driver.  The unlabelled part has no bound: in each round Spark scores every
+other document and sums, for each feature and class, the documents that teach it; the driver gets these sums only,
+whose size does not depend on the input.  Features that few labelled rows have weigh as the others do on average.
 
 Defined results: null texts are empty and null metadata is a value like any other; labelled rows with a null label
 teach nothing for that target; an id labelled twice counts twice; a target without labels is taken as good quality
-and as not toxic.  Every row gives one row, rows without id included.
+and as not toxic.  Every row gives one row, rows without id included; they teach as unlabelled ones do.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import release, schema_of, short_batches, slices
+from lodegraph.llm.common import release, schema_of, short_batches, slices, stored, summed
 
-#: Labelled rows to fit on (every fifth of them calibrates), and rows of the unlabelled pool.
-LABELLED, POOL = 8_000, 4_000
+#: Labelled rows to fit on (every fifth of them calibrates).
+LABELLED = 8_000
 ROUNDS = 2
 #: A view teaches the other one where its calibrated chance is this far from even.
 SURE = 0.98
@@ -109,24 +111,31 @@ def chance(logit: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit(rows: Rows, target: np.ndarray, taught: np.ndarray) -> np.ndarray:
+def fit(rows: Rows, target: np.ndarray, taught: np.ndarray, more: np.ndarray) -> np.ndarray:
     """Logistic regression over the rows in ``taught``; the last weight is the constant.
 
     A feature weighs in by the log ratio of its shares among both classes, smoothed towards none, so that rare
-    features say little unless they are very one-sided.  The steps are accelerated gradient descent.
+    features say little unless they are very one-sided.  The shares count the rows in ``taught`` and those of
+    ``more``: for each class the documents with each feature, and the documents.  The steps are accelerated gradient
+    descent; features that fewer than ``SUPPORT`` rows of ``taught`` have get the mean weight of the others.
     """
     on = taught[rows.row]
     features, row = rows.features[on], rows.row[on]
-    used = np.flatnonzero(np.bincount(features, minlength=WIDTH) >= SUPPORT)
+    own = np.bincount(features, minlength=WIDTH)
+    n_all = max(1, int(taught.sum() + more[:, WIDTH].sum()))
+    share = float(np.clip((target[taught].sum() + more[1, WIDTH]) / n_all, 0.5 / n_all, 1 - 0.5 / n_all))
+    yes = np.bincount(features, target[row], minlength=WIDTH) + more[1, :WIDTH]
+    no = own + more[0, :WIDTH] + more[1, :WIDTH] - yes
+    ratios = np.log((yes + SMOOTH * share) / share) - np.log((no + SMOOTH * (1 - share)) / (1 - share))
+    ratios[yes + no < SUPPORT] = 0.0
+    used = np.flatnonzero(own >= SUPPORT)
     place = np.full(WIDTH, -1, np.int32)
     place[used] = np.arange(len(used))
     features = place[features]
     kept = features >= 0
     features, row, n = features[kept], row[kept], max(1, int(taught.sum()))
-    share = float(np.clip(target[taught].mean(), 0.5 / n, 1 - 0.5 / n)) if taught.any() else 0.5
-    yes = np.bincount(features, target[row], minlength=len(used))
-    no = np.bincount(features, minlength=len(used)) - yes
-    ratio = np.log((yes + SMOOTH * share) / share) - np.log((no + SMOOTH * (1 - share)) / (1 - share))
+    ratio = ratios[used]
+    own_share = float(np.clip(target[taught].mean(), 0.5 / n, 1 - 0.5 / n)) if taught.any() else 0.5
     values = ratio.astype(np.float32)[features]
 
     def forward(w: np.ndarray) -> np.ndarray:
@@ -142,7 +151,7 @@ def fit(rows: Rows, target: np.ndarray, taught: np.ndarray) -> np.ndarray:
         size = float(np.linalg.norm(w)) or 1.0
         w /= size
     rate = 1 / (0.25 * size * 1.1 + PENALTY)
-    w, look, constant, pace = np.zeros(len(used)), np.zeros(len(used)), float(np.log(share / (1 - share))), 1.0
+    w, look, constant, pace = np.zeros(len(used)), np.zeros(len(used)), float(np.log(own_share / (1 - own_share))), 1.0
     for _ in range(STEPS):
         error = np.where(taught, chance(forward(look) + constant) - target, 0.0)
         after = look - rate * (back(error) + PENALTY * look)
@@ -150,6 +159,7 @@ def fit(rows: Rows, target: np.ndarray, taught: np.ndarray) -> np.ndarray:
         look, w, pace = after + (pace - 1) / faster * (after - w), after, faster
         constant -= error.sum() / n
     out = np.zeros(WIDTH + 1)
+    out[:WIDTH] = ratios * (np.average(w, weights=own[used]) if len(used) else 0.0)
     out[used], out[WIDTH] = w * ratio, constant
     return out
 
@@ -167,31 +177,45 @@ def calibrate(logits: list[np.ndarray], target: np.ndarray) -> np.ndarray:
     return b
 
 
-def co_train(views: list[Rows], labels: np.ndarray) -> dict:
+def learn(views: list[Rows], labels: np.ndarray, more: np.ndarray) -> dict:
     """Weights of both views and of their combination, for one target.
 
-    ``labels`` is 0 or 1 for labelled rows and -1 for the pool.
+    ``labels`` is 0, 1 or -1 for none; ``more`` has for each view what ``fit`` takes.
     """
     known = np.flatnonzero(labels >= 0)
     held = np.zeros(len(labels), bool)
     held[known[::5]] = True
-    targets = [np.where(labels > 0, 1.0, 0.0) for _ in views]
-    taught = [(labels >= 0) & ~held for _ in views]
-    pool = labels < 0
-    for step in range(ROUNDS + 1):
-        models = [fit(view, targets[i], taught[i]) for i, view in enumerate(views)]
-        logits = [view.logit(model) for view, model in zip(views, models, strict=True)]
-        scales = [calibrate([logit[held]], labels[held]) for logit in logits]
-        if step == ROUNDS:
-            break
-        for i, (logit, scale) in enumerate(zip(logits, scales, strict=True)):
-            p = chance(logit * scale[0] + scale[1])
-            sure = pool & ((p >= SURE) | (p <= 1 - SURE))
-            targets[1 - i] = np.where(sure, p >= 0.5, targets[1 - i])
-            taught[1 - i] = taught[1 - i] | sure
+    target, taught = np.where(labels > 0, 1.0, 0.0), (labels >= 0) & ~held
+    models = [fit(view, target, taught, own).astype(np.float32) for view, own in zip(views, more, strict=True)]
+    logits = [view.logit(model) for view, model in zip(views, models, strict=True)]
+    scales = [calibrate([logit[held]], labels[held]) for logit in logits]
     calibrated = [logit * scale[0] + scale[1] for logit, scale in zip(logits, scales, strict=True)]
     joint = calibrate([x[held] for x in calibrated], labels[held])
-    return {"models": [m.astype(np.float32) for m in models], "scales": scales, "joint": joint}
+    return {"models": models, "scales": scales, "joint": joint}
+
+
+def lessons(others: DataFrame, models: list[dict | None]) -> np.ndarray:
+    """What the documents teach that the views are sure about: for each target, taught view and class the documents
+    with each feature, and the documents."""
+    shared, shape = others.sparkSession.sparkContext.broadcast(models), (len(models), 2, 2, WIDTH + 1)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(shape, np.uint32)
+        for batch in batches:
+            views = [Rows([np.frombuffer(x, np.int32) for x in column.to_pylist()]) for column in batch.columns]
+            for target, model in enumerate(shared.value):
+                if model is None:
+                    continue
+                for i, view in enumerate(views):
+                    scale, other = model["scales"][i], views[1 - i]
+                    p = chance(view.logit(model["models"][i]) * scale[0] + scale[1])
+                    for kind, sure in enumerate((p <= 1 - SURE, p >= SURE)):
+                        counts = out[target, 1 - i, kind]
+                        counts[:WIDTH] += np.bincount(other.features[sure[other.row]], minlength=WIDTH).astype(np.uint32)
+                        counts[WIDTH] += int(sure.sum())
+        return out.ravel()
+
+    return summed(others.select("text_view", "page_view"), int(np.prod(shape)), step).reshape(shape)
 
 
 def views_of(batch: pa.RecordBatch, facts: int, words: Words) -> list[list[np.ndarray]]:
@@ -222,24 +246,28 @@ def features_of(df: DataFrame, facts: list[str], keep: list[str], text: str) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, facts: list[str], key: str, text: str) -> list[dict | None]:
-    """The models of both targets, from bounded samples of labelled and unlabelled rows."""
+    """The models of both targets, from a bounded sample of labelled rows and all other rows."""
     order = F.xxhash64(key), F.col(key)
     labelled = labels.where(F.col(key).isNotNull()).select(key, *TARGETS)
     taken = labelled.join(docs.select(key).distinct(), key, "left_semi").orderBy(*order, *TARGETS).limit(LABELLED)
-    pool = docs.select(key).where(F.col(key).isNotNull()).join(labelled, key, "left_anti").distinct()
-    nothing = [F.lit(None).cast(labels.schema[t].dataType).alias(t) for t in TARGETS]
-    # at most LABELLED + POOL rows of three numbers
-    sample = taken.unionByName(pool.orderBy(*order).limit(POOL).select(key, *nothing))
-    chosen = docs.select(key, text, *facts).join(F.broadcast(sample), key)
+    # at most LABELLED rows of three numbers
+    taken = stored(taken, "quality-labels")
+    chosen = docs.join(F.broadcast(taken), key).select(key, text, *facts, *TARGETS)
     rows = features_of(chosen, facts, [key, *TARGETS], text).toArrow().to_pylist()
     rows.sort(key=lambda r: (r[key], xxhash.xxh64_intdigest(r["text_view"]), str([r[t] for t in TARGETS])))
     views = [Rows([np.frombuffer(r[v], np.int32) for r in rows]) for v in ("text_view", "page_view")]
     known = {t: [-1 if r[t] is None else int(r[t] > 0) for r in rows] for t in TARGETS}
     del rows
-    models: list[dict | None] = []
-    for target in TARGETS:
-        marks = np.array(known[target], np.int64)
-        models.append(co_train(views, marks) if (marks >= 0).any() else None)
+    marks = [np.array(known[t], np.int64) for t in TARGETS]
+    if not any((m >= 0).any() for m in marks):
+        return [None] * len(TARGETS)
+    others = docs.join(F.broadcast(taken.select(key).distinct()), key, "left_anti")
+    others = stored(features_of(others, facts, [], text), "quality-features")
+    more = np.zeros((len(TARGETS), 2, 2, WIDTH + 1), np.int64)
+    for step in range(ROUNDS + 1):
+        models = [learn(views, m, own) if (m >= 0).any() else None for m, own in zip(marks, more, strict=True)]
+        if step < ROUNDS:
+            more = lessons(others, models)
     return models
 
 

@@ -35,3 +35,29 @@ def test_edges(spark, edges, nothing):
     assert score_documents(nothing, labels, ["doc_id"]).collect() == []
     unlabelled = score_documents(edges, labels.limit(0), ["doc_id"]).collect()
     assert len(unlabelled) == len(EDGES) and {r["score"] for r in unlabelled} == {1.0}
+
+
+def test_unlabelled_documents_teach_at_any_number(spark):
+    """Words that only unlabelled documents have, few of them, among many others."""
+    import random
+
+    draw = random.Random(3)
+    pick = lambda kind, n: " ".join(f"{kind}{draw.randrange(40)}" for _ in range(n))
+    rows, labels = [], []
+    for i in range(400):
+        good = i % 2
+        rows.append((i, f"{pick('well' if good else 'poor', 12)} {pick('plain', 30)}", "en", "site" if good else "spam"))
+        labels.append((i, good, 0))
+    # their source tells what they are; their words are in no labelled document
+    for i in range(400, 460):
+        good = i % 2
+        rows.append((i, f"{pick('fine' if good else 'foul', 12)} {pick('plain', 30)}", "en", "site" if good else "spam"))
+    for i in range(460, 480):
+        rows.append((i, f"{pick('fine' if i % 2 else 'foul', 12)} {pick('plain', 30)}", "en", "unknown"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    plain = "array_join(transform(sequence(1, 30), j -> 'plain' || pmod(xxhash64(id, j), 40)), ' ') as text"
+    others = spark.range(1_000, 101_000).selectExpr("id as doc_id", plain, "'en' as lang", "'other' || id % 5 as source")
+    docs = docs.unionByName(others)
+    scored = score_documents(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), ["doc_id"])
+    got = {r["doc_id"]: r["text_score"] for r in scored.where("doc_id >= 460 and doc_id < 480").collect()}
+    assert min(got[i] for i in got if i % 2) > max(got[i] for i in got if not i % 2) + 0.2
