@@ -1,17 +1,24 @@
 """Licence notices in texts, with built-in functions only.
 
-A notice is a run of whole lines.  Its words are compared with licence templates by the Dice coefficient over their
-sets of word bigrams, ``2 |A and B| / (|A| + |B|)``.  Two bounds leave few runs to compare:
+A notice is a run of whole lines, or, for licences that no such run has, a run of words, which may start and end anywhere
+in a line and go over any lines.  Its words are compared
+with licence templates by the Dice coefficient over their sets of word bigrams, ``2 |A and B| / (|A| + |B|)``.  Few
+runs need comparing:
 
 * a coefficient of ``LEAST`` is out of reach if the sets differ too much in size; a run is one of a template's
   candidates if its number of bigrams, repeats included, is within these bounds;
+* bigrams at the ends of a run that the template does not have only lower its coefficient, so runs of words start and
+  end with bigrams of the template, and a text needs as many of these as the lower bound of size has bigrams;
 * each template has anchor words, chosen so that a text without any of them shares too few bigrams with it whatever
   its size (with r template bigrams free of anchors, the coefficient is ``2 r / (r + |B|)`` at most).
 
-Both follow from the templates alone.
+All follow from the templates alone.
 
-Defined results: a null or empty text has no notice; of equally good runs the first and then the shortest counts;
-each row is reported by itself, repeated rows included; there is no bound on the length of a text or a line.
+Defined results: a null or empty text has no notice; of equally good runs the one with the first line and then the
+fewest lines counts; each row is reported by itself, repeated rows included; there is no bound on the length of a text
+or a line.
+
+Out of scope are licences without a template below, among them LGPL, AGPL and BSD-2-Clause, and full licence bodies.
 """
 
 from __future__ import annotations
@@ -131,6 +138,7 @@ class Scanner:
         self.templates = [(n, s, len(s) * least / (2 - least), len(s) * (2 - least) / least) for n, s in templates]
         self.low = min(lo for *_, lo, _ in self.templates)
         self.high = max(hi for *_, hi in self.templates)
+        self.bigrams = sorted(set().union(*(s for _, s in templates)))
         self.anchors = sorted(set().union(*(anchors_of(s, least) for _, s in templates)))
 
     def lines(self, text: Column) -> Column:
@@ -200,7 +208,7 @@ class Scanner:
 
         return let(near, within)
 
-    def notices(self, text: Column) -> Column:
+    def in_lines(self, text: Column) -> Column:
         anchors = F.array(*map(F.lit, self.anchors))
 
         def of_lines(lines: Column) -> Column:
@@ -220,9 +228,101 @@ class Scanner:
 
         return let(self.lines(text), lambda x: F.when(F.size(x) > 0, let(of_lines(x), best)).otherwise(no_matches()))
 
+    def words(self, text: Column) -> Column:
+        """(line, word) of each word, in order."""
+
+        def of_line(x: Column, i: Column) -> Column:
+            own = F.filter(F.split(F.regexp_replace(x, SIGNS, " "), " "), lambda w: w != "")
+            return F.transform(own, lambda w: F.struct(i.alias("line"), w.alias("word")))
+
+        return F.flatten(F.transform(F.split(text, "\n", -1), of_line))
+
+    def pairs_of(self, words: Column) -> Column:
+        """(at, pair, first, last) of each bigram: its place, words and their lines."""
+        rest = F.slice(words, F.lit(2), F.size(words))
+        both = F.zip_with(
+            F.slice(words, F.lit(1), F.size(words) - 1),
+            rest,
+            lambda a, b: F.struct(
+                F.concat_ws(" ", a["word"], b["word"]).alias("pair"), a["line"].alias("first"), b["line"].alias("last")
+            ),
+        )
+        return F.transform(
+            both, lambda x, i: F.struct(i.alias("at"), x["pair"].alias("pair"), x["first"].alias("first"), x["last"].alias("last"))
+        )
+
+    def runs(self, pairs: Column, marks: Column, name: str, bigrams: list[str], lo: float, hi: float) -> Column:
+        """Matches of one template; ``marks`` are the pairs that it has, in order."""
+
+        def starting(i: Column) -> Column:
+            a = F.get(marks, i)
+            # as marks are at different places, no end within the bounds is farther
+            ends = F.sequence(i, F.least(i + int(hi), F.size(marks) - 1))
+            span = lambda j: F.get(marks, j)["at"] - a["at"] + 1
+
+            def match(j: Column) -> Column:
+                shared = F.size(F.array_distinct(F.slice(marks, i + 1, j - i + 1)["pair"]))
+                own = F.size(F.array_distinct(F.slice(pairs, a["at"] + 1, span(j))["pair"]))
+                return F.struct(
+                    F.lit(name).alias("license"),
+                    F.round(2.0 * shared / (own + len(bigrams)), 9).alias("dice"),
+                    a["first"].alias("first_line"),
+                    F.get(marks, j)["last"].alias("last_line"),
+                )
+
+            # no run of fewer marks than the lower bound shares enough
+            ends = F.filter(ends, lambda j: (j - i + 1 >= lo) & span(j).between(lo, hi))
+            return F.filter(F.transform(ends, match), lambda x: x["dice"] >= self.least)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(marks) - 1), starting))
+
+    def best(self, found: Column) -> Column:
+        order = F.transform(found, lambda x: F.struct(x["dice"], -x["first_line"], -x["last_line"], x.alias("match")))
+        return F.array_max(order)["match"]
+
+    def of_template(self, pairs: Column, hits: Column, name: str, bigrams: list[str], lo: float, hi: float) -> Column:
+        """The best match of one template, or null."""
+        return let(
+            F.filter(hits, lambda x: x["pair"].isin(bigrams)),
+            lambda marks: F.when(
+                F.size(marks) >= lo, self.best(self.runs(pairs, marks, name, bigrams, lo, hi))
+            ).otherwise(F.lit(None).cast(Match)),
+        )
+
+    def of_license(self, found: Column, name: str) -> Column:
+        return self.best(F.filter(found, lambda x: x["license"] == name))
+
+    def in_words(self, text: Column) -> Column:
+        def of_pairs(pairs: Column) -> Column:
+            def of_hits(hits: Column) -> Column:
+                found = [self.of_template(pairs, hits, *t) for t in self.templates]
+                least = min(lo for *_, lo, _ in self.templates)
+                return F.when(F.size(hits) >= least, F.array(*found)).otherwise(no_matches())
+
+            return let(F.filter(pairs, lambda x: x["pair"].isin(self.bigrams)), of_hits)
+
+        def by_license(found: Column) -> Column:
+            kept = F.array(*(self.of_license(found, name) for name in self.names))
+            return F.filter(kept, lambda x: x.isNotNull())
+
+        def of_words(words: Column) -> Column:
+            return F.when(F.size(words) > 1, let(let(self.pairs_of(words), of_pairs), by_license)).otherwise(no_matches())
+
+        return let(self.words(text), of_words)
+
+    def notices(self, text: Column) -> Column:
+        """Of each licence the best run of lines, or else the best run of words."""
+
+        def merged(lines: Column) -> Column:
+            have = F.transform(lines, lambda x: x["license"])
+            more = F.filter(self.in_words(text), lambda x: ~F.array_contains(have, x["license"]))
+            return F.array_sort(F.concat(lines, more))
+
+        return let(self.in_lines(text), merged)
+
 
 def scan(df: DataFrame, keep: list[str], text: str = "text", templates=TEMPLATES, least: float = LEAST) -> DataFrame:
-    """Columns ``keep`` of each row and ``notices``: for each licence found the best run of lines, as an array of
+    """Columns ``keep`` of each row and ``notices``: for each licence found the best run, as an array of
     (license, dice, first_line, last_line) by licence; lines count from 0."""
     scanner = Scanner([(name, bigrams_of(t)) for name, t in templates], least)
     marked = r"(?<![\p{L}\p{N}])(?:" + "|".join(scanner.anchors) + r")(?![\p{L}\p{N}])"

@@ -44,3 +44,52 @@ def test_texts_without_anchors_stay_under_the_limit():
         free = [b for b in bigrams if not anchors & set(b.split())]
         # a text that has just these bigrams is as near as one without anchors can be
         assert 2 * len(free) / (len(free) + len(bigrams)) < license_scan.LEAST
+
+
+def test_notices_inside_lines(spark):
+    long = " ".join(f"word{i}" for i in range(20_000))
+    body = license_scan.TEMPLATES[1][1]
+    texts = [
+        "Copyright (c) 2021 Jane Doe. Released under the MIT License.",
+        f"{long} Released under the MIT License. {long}",
+        f"first\n{long} {body} {long}\nlast",
+        f"some words before\nof the copyright: Released under\nthe MIT License, and so on {long}",
+        "Released under the. " * 2000 + "Released under the MIT License.",
+    ]
+    got = found(spark, texts)
+    assert got[0] == [("MIT", 0, 0)] and got[1] == [("MIT", 0, 0)]
+    assert got[2] == [("Apache-2.0", 1, 1)] and got[3] == [("MIT", 1, 2)] and ("MIT", 0, 0) in got[4]
+
+
+def brute(text):
+    """The best coefficient of each licence over all runs of words."""
+    words = license_scan.re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+    pairs, best = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)], {}
+    for name, template in license_scan.TEMPLATES:
+        own = set(license_scan.bigrams_of(template))
+        lo, hi = len(own) * 0.7 / 1.3, len(own) * 1.3 / 0.7
+        for a in range(len(pairs)):
+            for b in range(a, min(len(pairs), a + int(hi))):
+                run = set(pairs[a : b + 1])
+                dice = round(2 * len(run & own) / (len(run) + len(own)), 9)
+                if b - a + 1 >= lo and dice >= 0.7:
+                    best[name] = max(best.get(name, 0), dice)
+    return best
+
+
+def test_coefficients_as_from_all_runs(spark):
+    import random
+
+    draw, texts = random.Random(8), []
+    for _, template in license_scan.TEMPLATES:
+        words = template.split()
+        for at in draw.sample(range(len(words)), len(words) // 6):
+            words[at] = "other"
+        texts.append(" ".join(["some words", *words, "and a few", *template.split()[:9], "more"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = license_scan.scan(df, ["id"]).collect()
+    got = {r["id"]: {x["license"]: x["dice"] for x in r["notices"]} for r in rows}
+    want = {i: brute(t) for i, t in enumerate(texts)}
+    assert {i: set(x) for i, x in got.items()} == {i: set(x) for i, x in want.items()}
+    # a whole line that matches goes before a run of words that matches better
+    assert all(x[n] <= want[i][n] for i, x in got.items() for n in x)
