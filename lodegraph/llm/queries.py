@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, decontaminate, fingerprints, html_extract, license_scan, lines, quality, secret_scan, simhash, warc
+from lodegraph.llm import (
+    bpe,
+    decontaminate,
+    fim,
+    fingerprints,
+    html_extract,
+    license_scan,
+    lines,
+    quality,
+    secret_scan,
+    simhash,
+    warc,
+)
 from lodegraph.llm.common import stored, table
 from lodegraph.session import scratch_folder
 
@@ -198,3 +210,45 @@ def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of all pages."""
     found = html_extract.extract(table(spark, folder, "pages"), ["page_id", "url"])
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents rearranged for filling in the middle, and restored."""
+    moved = fim.rearranged(table(spark, folder, "documents"), ["doc_id"], seed=7, share=100, spm=50)
+    return moved.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"),
+    )
+
+
+CHECKS["op11_fill_in_middle"] = """
+with texts as (
+    select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(doc_id::varchar, '')) as digest from documents
+), counted as (
+    select doc_id, text, string_split(text, chr(10)) as parts,
+           ('0x' || digest[1:8])::bigint as h1, ('0x' || digest[9:16])::bigint as h2,
+           ('0x' || digest[25:32])::bigint as h4,
+           case when text = '' then 0 when text[-1] = chr(10) then len(parts) - 1 else len(parts) end as n
+    from texts
+), placed as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+           text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') as plain
+    from counted
+), ends as (
+    select *, least(coalesce(list_sum(list_transform(parts[1:a], lambda x: length(x) + 1)), 0), length(text)) as p,
+           least(coalesce(list_sum(list_transform(parts[1:b], lambda x: length(x) + 1)), 0), length(text)) as m
+    from placed
+), pieces as (
+    select *, substr(text, 1, p::bigint) as prefix, substr(text, p::bigint + 1, (m - p)::bigint) as middle,
+           substr(text, m::bigint + 1) as suffix
+    from ends
+)
+select doc_id, n::bigint as n, case when plain then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form,
+       case when not plain then p::bigint end as prefix_chars, case when not plain then (m - p)::bigint end as middle_chars,
+       sha256(case when plain then text
+                   when h4 % 100 < 50 then '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                   else '<P>' || prefix || '<S>' || suffix || '<M>' || middle end) as output_sha256,
+       sha256(text) as restored_sha256
+from pieces
+"""
