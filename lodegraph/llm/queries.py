@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodegraph.llm import (
     bpe,
     decontaminate,
+    filter_audit,
     fim,
     fingerprints,
     html_extract,
@@ -252,3 +253,53 @@ select doc_id, n::bigint as n, case when plain then 'plain' when h4 % 100 < 50 t
        sha256(text) as restored_sha256
 from pieces
 """
+
+
+@query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from each language, in every order."""
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+CHECKS["op13_filter_audit"] = """
+with texts as (
+    select doc_id, coalesce(text, '') as text, coalesce(lang, '') as part,
+           regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words
+    from documents
+), failing as (
+    select t.part,
+           {'A': len(words) < 100, 'B': 100 * len(list_distinct(words)) < 80 * len(words),
+            'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text),
+            'D': regexp_matches(text, '[#$%&*|]'),
+            'E': doc_id > min(doc_id) over (partition by text)} as f,
+           doc_id in (select doc_id from labels where quality = 1) as good,
+           doc_id in (select doc_id from labels where toxic = 1) as toxic
+    from texts t
+), letters(letter) as (values ('A'), ('B'), ('C'), ('D'), ('E')
+), orders as (
+    select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order
+    from letters a, letters b, letters c, letters d, letters e
+    where len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5
+), sets as (
+    select part, (case when f['A'] then 'A' else '' end) || (case when f['B'] then 'B' else '' end)
+                 || (case when f['C'] then 'C' else '' end) || (case when f['D'] then 'D' else '' end)
+                 || (case when f['E'] then 'E' else '' end) as failed,
+           count(*) as n, count(*) filter (good) as n_good, count(*) filter (toxic) as n_toxic
+    from failing group by all
+), judged as (
+    select part, filter_order, step, n, n_good, n_toxic, failed,
+           contains(failed, filter_order[step]) as here,
+           len(list_intersect(string_split(failed, ''), string_split(filter_order[1:step - 1], ''))) > 0 as gone
+    from sets, orders, range(1, 6) steps(step)
+), steps as (
+    select part, filter_order, step::int as step,
+           coalesce(sum(n) filter (not here and not gone), 0)::bigint as kept,
+           coalesce(sum(n) filter (here and not gone), 0)::bigint as removed,
+           coalesce(sum(n) filter (here and gone), 0)::bigint as redundant,
+           coalesce(sum(n) filter (failed = filter_order[step]), 0)::bigint as unique_fails,
+           coalesce(sum(n_good) filter (here and not gone), 0)::bigint as good_lost,
+           coalesce(sum(n_toxic) filter (here and not gone), 0)::bigint as toxic_lost
+    from judged group by all
+)
+select *, (sum(removed) over (partition by part, filter_order[step]))::bigint as shapley from steps
+"""
