@@ -289,7 +289,7 @@ with texts as (
 ), judged as (
     select part, filter_order, step, n, n_good, n_toxic, failed,
            contains(failed, filter_order[step]) as here,
-           len(list_intersect(string_split(failed, ''), string_split(filter_order[1:step - 1], ''))) > 0 as gone
+           translate(failed, filter_order[1:step - 1], '') <> failed as gone
     from sets, orders, range(1, 6) steps(step)
 ), steps as (
     select part, filter_order, step::int as step,
