@@ -80,29 +80,35 @@ INVERSES = np.cumprod(np.full(BLOCK + 1, pow(_ODD, -1, 1 << 64), np.uint64))
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
 
 
-def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values=None) -> np.ndarray:
-    """64-bit hashes of the runs [start, end) of ``data``, whose places lie within one block."""
-    own = _BYTES[data] if values is None else values
+def _hashes(own: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * POWERS[: len(own)], dtype=np.uint64)])
     return mix((sums[ends] - sums[starts]) * INVERSES[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; equal words have equal hashes, in any text."""
-    data, out, at = np.frombuffer(text, np.uint8), np.empty(len(starts), np.uint64), 0
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs [start, end) of bytes or of other hashes; neither starts nor ends ever decrease.
+
+    Equal runs have equal hashes, wherever they lie.
+    """
+    out, at = np.empty(len(starts), np.uint64), 0
     while at < len(starts):
         first = int(starts[at])
         to = int(np.searchsorted(ends, first + BLOCK, "right"))
-        if to == at:  # a word longer than a block
-            out[at] = xxhash.xxh64_intdigest(memoryview(text)[first : int(ends[at])])
+        if to == at:  # a run longer than a block
+            out[at] = xxhash.xxh64_intdigest(values[first : int(ends[at])].tobytes())
             to += 1
         else:
-            own = data[first : int(ends[to - 1])]
-            out[at:to] = hashes_of(own, starts[at:to] - first, ends[at:to] - first)
+            own = values[first : int(ends[to - 1])]
+            own = _BYTES[own] if own.dtype == np.uint8 else own
+            out[at:to] = _hashes(own, starts[at:to] - first, ends[at:to] - first)
         at = to
     return out
 
 
+def word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return run_hashes(np.frombuffer(text, np.uint8), starts, ends)
+
+
 class WordTable:
     """Open addressing over (document, word), with many words put in at once.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodegraph.llm import (
     bpe,
     decontaminate,
+    factor_spans,
     filter_audit,
     fim,
     fingerprints,
@@ -303,3 +304,38 @@ with texts as (
 )
 select *, (sum(removed) over (partition by part, filter_order[step]))::bigint as shapley from steps
 """
+
+
+@query
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents in runs of 13 that a document with a smaller id holds, removed."""
+    kept = factor_spans.remove_repeats(table(spark, folder, "documents"), ["doc_id"], window=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+CHECKS["op12_substring_dedup"] = """
+with words as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents
+), placed as (
+    select doc_id, unnest(range(1, len(words) + 1)) as place, unnest(words) as word, words from words
+), runs as (
+    select doc_id, place, word,
+           case when place + 12 <= len(words) then array_to_string(words[place:place + 12], ' ') end as run
+    from placed
+), judged as (
+    select doc_id, place, word,
+           run is not null and doc_id > min(doc_id) over (partition by run) as shared
+    from runs
+), covered as (
+    select doc_id, place, word,
+           bool_or(shared) over (partition by doc_id order by place rows between 12 preceding and current row) as gone
+    from judged
+), kept as (
+    select doc_id, count(*) filter (gone) as n_removed,
+           coalesce(string_agg(word, ' ' order by place) filter (not gone), '') as kept
+    from covered group by doc_id
+)
+select doc_id, len(words)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from words left join kept using (doc_id)
+"""
