@@ -1,6 +1,6 @@
 """Per-group Python with bounded memory and little overhead for many small groups."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,3 +55,29 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], schema: str, fn
             yield frame([close()])
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def each_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of one group after another, of batches that are sorted by ``keys``; holds one group at a time."""
+    waiting: list[dict] = []
+
+    def joined() -> dict[str, np.ndarray]:
+        piece = waiting[0] if len(waiting) == 1 else {c: np.concatenate([w[c] for w in waiting]) for c in waiting[0]}
+        waiting.clear()
+        return piece
+
+    for batch in batches:
+        arrays = {c: batch[c].to_numpy() for c in batch.columns}
+        if not len(batch):
+            continue
+        changed = np.zeros(len(batch) - 1, dtype=bool)
+        for k in keys:
+            changed |= arrays[k][1:] != arrays[k][:-1]
+        starts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(batch)]
+        for begin, end in zip(starts, starts[1:]):
+            piece = {c: a[begin:end] for c, a in arrays.items()}
+            if waiting and any(waiting[0][k][0] != piece[k][0] for k in keys):
+                yield joined()
+            waiting.append(piece)
+    if waiting:
+        yield joined()

@@ -2,7 +2,9 @@
 
 import datetime
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,72 @@ def test_against_loop(spark, width, chunk):
     assert counted(frame(spark, rows), width, chunk) == loop(rows, width)
 
 
+@pytest.mark.parametrize("fan", [2, 3, 5])
+def test_hot_key_over_several_levels(spark, monkeypatch, fan):
+    """A key with most hits, in many chunks of less than a window: the tree has several levels."""
+    monkeypatch.setattr(anchored, "FAN", fan)
+    rng = random.Random(fan)
+    rows = [("hot" if rng.random() < 0.6 else f"k{rng.randrange(4)}", rng.randrange(4000) / 4, i) for i in range(800)]
+    assert counted(frame(spark, rows), 17, 6) == loop(rows, 17)
+
+
+def test_hot_key_is_spread(spark, monkeypatch):
+    """No task composes, or runs through, more than one node's children."""
+    monkeypatch.setattr(anchored, "FAN", 4)
+    size = 300
+    entries = spark.range(size).selectExpr(
+        "'hot' AS _key", "id AS _node", "id * 10 AS _entry", "id * 10 + 15 AS _exit"
+    )
+    found = anchored.entry_values(entries, None, 15, size)
+    dealt = re.findall(r"hashpartitioning\((.*?)\)", found._jdf.queryExecution().executedPlan().toString())
+    assert dealt and all("_parent" in columns or "_node" in columns for columns in dealt)
+    state, want = -1, {}
+    for node in range(size):
+        want[node] = state
+        if node * 10 >= state:
+            state = node * 10 + 15
+    assert {r["_node"]: r["_open"] for r in found.collect()} == want
+
+
+def serial(state, *functions):
+    for entry, ends in functions:
+        at = int(np.searchsorted(entry, state))
+        state = int(ends[at]) if at < len(entry) else state
+    return state
+
+
+def test_composition_equals_application():
+    """Composed functions of random chunks give what one after the other gives, for every state that can occur."""
+    rng = random.Random(8)
+    for _ in range(300):
+        width, span = rng.randint(1, 40), rng.randint(1, 30)
+        functions = []
+        for chunk in range(rng.randint(2, 6)):
+            times = np.array(sorted(rng.sample(range(chunk * span, (chunk + 1) * span), rng.randint(1, span))))
+            entry, ends = times, []
+            for t in times:
+                opened = t
+                while True:
+                    later = times[times >= opened + width]
+                    if not len(later):
+                        break
+                    opened = later[0]
+                ends.append(opened + width)
+            functions.append((entry, np.array(ends)))
+        whole = functions[0]
+        for other in functions[1:]:
+            whole = anchored.composed(whole, other, width)
+        first = int(functions[0][0][0])
+        for state in (-1, *range(first, first + width)):
+            assert serial(state, whole) == serial(state, *functions)
+
+
+def test_no_hits_and_nulls(spark):
+    df = frame(spark, [("a", 1, 1)]).unionByName(frame(spark, [(None, 2, 2)])).selectExpr("*", "1 AS x")
+    assert counted(df, 10) == {1: (1, 10)}
+    assert counted(df.where("n > 5"), 10) == {}
+
+
 def test_stream_of_several_batches_equals_batch(spark, tmp_path):
     rng = random.Random(9)
     rows = sorted([(f"k{rng.randrange(4)}", rng.randrange(400), i) for i in range(200)], key=lambda r: (r[1], r[2]))
