@@ -323,7 +323,7 @@ def stream_ingest(spark, folder):
     out = scratch_folder(spark, "ingest")
     rows = _event_stream(spark, folder).select("user_id", "event_type", F.lit("events").alias("producer"), "event_id")
     jobs.ingest_facts(rows, ["user_id", "event_type"], ["producer"], ["event_id"], out).awaitTermination()
-    return jobs.ingested(spark, out, ["user_id", "event_type"])["facts"].drop("batch")
+    return jobs.ingested(spark, out, ["user_id", "event_type"])["facts"]
 
 
 @query(

@@ -1,14 +1,17 @@
-"""Structured Streaming jobs built from the batch operators.
+"""Structured Streaming jobs.
 
-Both jobs write every micro-batch to a folder named by its batch id, so a batch
-that runs again after a failure replaces its own output and nothing else.
+Counts continue the open windows of the batch before; facts are merged by keyed
+state.  A batch that runs again after a failure replaces its own output and
+nothing else.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from lodegraph.operators import facts
 from lodegraph.streaming.anchored import anchored_hits, open_windows
 
 
@@ -57,47 +60,100 @@ def count_hits(
     )
 
 
+class _FirstContent(StatefulProcessor):
+    """State of a key: the content that it came with first, and whether another one has been told."""
+
+    def __init__(self, names: list[str]):
+        self.row, self.content = Row(*names), len(names) - 1  # the content stands behind the columns to hand on
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "content string, clash boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        state = self.first.get()
+        known, clash = state if state is not None else (None, False)
+        changed = False
+        for row in rows:
+            if known is None:
+                known, changed = row[self.content], True
+                yield self.row(*row[: self.content], "fact")
+            elif row[self.content] != known and not clash:
+                clash = changed = True
+                yield self.row(*row[: self.content], "conflict")
+        if changed:
+            self.first.update((known, clash))
+
+    def close(self) -> None:
+        pass
+
+
+def _once_per_batch(names: list[str], schema):
+    """Rows of equal text in the columns ``names``, once for each Arrow batch: copies are combined before the shuffle."""
+
+    def step(batches):
+        for batch in batches:
+            seen, kept = set(), []
+            columns = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
+            for i, row in enumerate(zip(*columns, strict=True)):
+                if row not in seen:
+                    seen.add(row)
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return lambda df: df.mapInArrow(step, schema)
+
+
+class Ingest:
+    """The running queries of an ingest."""
+
+    def __init__(self, queries: list[StreamingQuery]):
+        self.queries = queries
+
+    def awaitTermination(self) -> None:
+        for query in self.queries:
+            query.awaitTermination()
+
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def ingest_facts(
     stream: DataFrame, keys: list[str], scalars: list[str], evidence: list[str], folder: str
-) -> StreamingQuery:
+) -> Ingest:
     """Merge facts that arrive file by file; ``ingested`` reads the result, whatever the batches were.
 
     A key is stored with its first row; the same key with another scalar, in this or any later batch, is a conflict
-    from then on.  A key or a piece of evidence that is stored is not stored again.  Only keys and evidence of the
-    batch meet the stores, which are joined by key.
-    """
+    from then on.  A key or a piece of evidence that is stored is not stored again.
 
-    def on_batch(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+    What has been stored is kept as state by key, in the state store's own files below the checkpoint, so a batch
+    looks up its own keys and never reads the earlier batches.  The state of a key is one content and one flag; a
+    piece of evidence has its state by itself, so no key's evidence is ever in one place.  Copies within a batch are
+    combined before they are shuffled.  Files are committed by the sink's log: a batch that runs again after a failure
+    replaces its own output.
+    """
+    spark = stream.sparkSession
+    content = F.to_json(F.struct(F.lit(1), *scalars), {"ignoreNullFields": "false"}).alias("_content")
+    owner = F.to_json(F.struct(F.lit(1), *keys), {"ignoreNullFields": "false"}).alias("_owner")
+    rows = stream.select(*keys, *scalars, content, owner)
+    rows = rows.transform(_once_per_batch(["_owner", "_content"], rows.schema)).drop("_owner")
+    kinds = T.StructType([*rows.schema.fields[:-1], T.StructField("kind", T.StringType())])
+    kept = rows.groupBy(*keys).transformWithState(
+        _FirstContent(kinds.names), outputStructType=kinds, outputMode="Append", timeMode="None"
+    )
+    spans = stream.select(*keys, *evidence).dropDuplicates()
 
-        def earlier(name: str) -> DataFrame | None:
-            path = f"{folder}/{name}"
-            return spark.read.parquet(path).where(F.col("batch") < number) if number and _exists(spark, path) else None
-
-        new, spans, clashes = facts.consolidate(batch, keys, scalars, evidence)
-        stored, seen, told = (earlier(n) for n in ("facts", "evidence", "conflicts"))
-        clashes = clashes.select(*keys)
-        if stored is not None:
-            known = stored.select(*keys, *[F.col(s).alias(f"_old_{s}") for s in scalars])
-            differs = F.lit(False)
-            for s in scalars:
-                differs = differs | ~F.col(s).eqNullSafe(F.col(f"_old_{s}"))
-            clashes = clashes.unionByName(_matching(new, known, keys, "inner").where(differs).select(*keys)).distinct()
-            new = _matching(new, stored, keys, "left_anti")
-        if told is not None:
-            clashes = _matching(clashes, told, keys, "left_anti")
-            new = _matching(new, told, keys, "left_anti")
-        if seen is not None:
-            spans = _matching(spans, seen, [*keys, *evidence], "left_anti")
-        for name, rows in (("facts", new), ("evidence", spans), ("conflicts", clashes)):
-            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+    def started(df: DataFrame, name: str, *parts: str) -> StreamingQuery:
+        writer = df.writeStream.format("parquet").option("path", f"{folder}/{name}")
+        writer = writer.option("checkpointLocation", f"{folder}/checkpoint-{name}")
+        return writer.partitionBy(*parts).trigger(availableNow=True).start()
 
-    return (
-        stream.writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)  # a query keeps the settings that it starts with
+    try:
+        return Ingest([started(kept, "facts", "kind"), started(spans, "evidence")])
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 def _matching(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -111,6 +167,10 @@ def _matching(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
 
 def ingested(spark: SparkSession, folder: str, keys: list[str]) -> dict[str, DataFrame]:
     """What has been ingested: facts without a conflict, evidence, and the keys in conflict."""
-    found = {n: spark.read.parquet(f"{folder}/{n}") for n in ("facts", "evidence", "conflicts")}
-    found["facts"] = _matching(found["facts"], found["conflicts"].drop("batch"), keys, "left_anti")
-    return found
+    told = spark.read.parquet(f"{folder}/facts")
+    conflicts = told.where("kind = 'conflict'").select(*keys)
+    return {
+        "facts": _matching(told.where("kind = 'fact'").drop("kind"), conflicts, keys, "left_anti"),
+        "evidence": spark.read.parquet(f"{folder}/evidence"),
+        "conflicts": conflicts,
+    }
