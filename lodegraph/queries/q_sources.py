@@ -53,12 +53,15 @@ def merged_batches(spark, folder):
     "SELECT lang AS folder, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1",
 )
 def scanned_tree(spark, folder):
-    """Documents written as text files below a folder for each language; some folders are ignored ones."""
+    """Documents written as text files below a folder for each language; some folders are ignored ones.
+
+    Hidden files are source files as well, so those that Spark's writer adds are left out here.
+    """
     root = scratch_folder(spark, "tree")
     rows = b.table(spark, folder, "documents").select("text", "lang")
     for lang, name in (("en", "en"), ("fr", "src/fr"), ("de", "node_modules/de"), ("es", "src/.venv/es")):
         rows.where(F.col("lang") == lang).select("text").write.text(f"{root}/{name}")
-    files = inventory.scan_tree(spark, root)
+    files = inventory.scan_tree(spark, root).where(F.element_at(F.split("path", "/"), -1).startswith("part-"))
     name = F.element_at(F.split("path", "/"), -2).alias("folder")
     return files.groupBy(name).agg(F.sum(F.length("content")).cast("bigint").alias("bytes"))
 

@@ -5,13 +5,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import paths
 from lodegraph.functions.text import LINE_BREAK
-
-# Folders and artefacts that are not part of a repository.
-IGNORED_FOLDERS = (
-    ".git", ".hg", ".svn", "node_modules", "dist", "build", ".next", ".venv", "venv", "__pycache__", ".cache",
-    ".mypy_cache", ".pytest_cache", ".tox", "vendor", "vendors", "generated", "__MACOSX",
-)
-
+from lodegraph.sources.tree import IGNORED_FOLDERS, SourceTree
 
 def is_source_path(path) -> Column:
     """No ignored folder on the way, no Finder artefact as the name."""
@@ -22,26 +16,21 @@ def is_source_path(path) -> Column:
     return ~(ignored | artefact)
 
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, content) of the source files below ``root``, listed and read by Spark.
+def tree_entries(spark: SparkSession, root: str, content: bool = True, levels: int = 2) -> DataFrame:
+    """(path, kind, size, content) of files, folders and links below ``root``, without what is ignored.
 
-    Spark reads no empty files, so these come from the file index that Spark keeps on
-    the driver anyway; contents never pass the driver.
+    Folders are listed and files are read in the tasks; see ``sources.tree``.  ``content`` is null for folders and
+    links, and for all where only names are wanted.  Links are not followed.  ``root`` is a path or URI of a mounted
+    file system, an object store or HDFS.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").removeprefix("file:")
-
-    def relative(path) -> Column:
-        bare = F.regexp_replace(path, "^file:/*", "/")
-        return bare.substr(F.lit(len(base) + 2), F.length(bare))
-
-    read = raw.select(relative(F.col("path")).alias("path"), F.col("length").alias("size"), "content")
-    index = spark.createDataFrame([(name,) for name in raw.inputFiles()], "name string")
-    listed = index.select(relative(F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B")))).alias("path"))
-    empty = listed.join(read.select("path"), "path", "left_anti").select(
-        "path", F.lit(0).cast("long").alias("size"), F.unhex(F.lit("")).alias("content")
-    )
-    return read.unionByName(empty).where(is_source_path("path"))
+    spark.dataSource.register(SourceTree)
+    options = {"slices": 2 * spark.sparkContext.defaultParallelism, "levels": levels, "content": content}
+    return spark.read.format("source_tree").options(**options).load(root)
+
+
+def scan_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size, content) of the source files below ``root``, empty and hidden ones too."""
+    return tree_entries(spark, root).where("kind = 'file'").select("path", "size", "content")
 
 
 def distinct_paths(files: DataFrame, path: str = "path") -> DataFrame:

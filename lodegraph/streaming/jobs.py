@@ -64,7 +64,8 @@ class _FirstContent(StatefulProcessor):
     """State of a key: the content that it came with first, and whether another one has been told."""
 
     def __init__(self, names: list[str]):
-        self.row, self.content = Row(*names), len(names) - 1  # the content stands behind the columns to hand on
+        # the content and the number of its rows stand behind the columns to hand on
+        self.row, self.content = Row(*names), len(names) - 2
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("first", "content string, clash boolean")
@@ -72,35 +73,41 @@ class _FirstContent(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         state = self.first.get()
         known, clash = state if state is not None else (None, False)
-        changed = False
+        told, more, last = [], 0, None
         for row in rows:
+            content, n = row[self.content :]
+            last, more = row, more + n
             if known is None:
-                known, changed = row[self.content], True
-                yield self.row(*row[: self.content], "fact")
-            elif row[self.content] != known and not clash:
-                clash = changed = True
-                yield self.row(*row[: self.content], "conflict")
-        if changed:
+                known = content
+                told.append((row, "fact"))
+            elif content != known and not clash:
+                clash = True
+                told.append((row, "conflict"))
+        if told:
             self.first.update((known, clash))
+        for row, kind in told or [(last, "more")]:
+            yield self.row(*row[: self.content], more, kind)
+            more = 0
 
     def close(self) -> None:
         pass
 
 
-def _once_per_batch(names: list[str], schema):
-    """Rows of equal text in the columns ``names``, once for each Arrow batch: copies are combined before the shuffle."""
+def _once_per_batch(names: list[str], schema: T.StructType):
+    """One row and their number for the rows of an Arrow batch with equal text in ``names``, before any shuffle."""
 
     def step(batches):
         for batch in batches:
-            seen, kept = set(), []
+            first: dict[tuple, int] = {}
+            count: dict[tuple, int] = {}
             columns = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
             for i, row in enumerate(zip(*columns, strict=True)):
-                if row not in seen:
-                    seen.add(row)
-                    kept.append(i)
-            yield batch.take(pa.array(kept, pa.int64()))
+                first.setdefault(row, i)
+                count[row] = count.get(row, 0) + 1
+            kept = batch.take(pa.array(list(first.values()), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(list(count.values()), pa.int64())], names=[*kept.schema.names, "_n"])
 
-    return lambda df: df.mapInArrow(step, schema)
+    return lambda df: df.mapInArrow(step, T.StructType([*schema, T.StructField("_n", T.LongType())]))
 
 
 class Ingest:
@@ -129,7 +136,7 @@ def ingest_facts(
     What has been stored is kept as state by key, in the state store's own files below the checkpoint, so a batch
     looks up its own keys and never reads the earlier batches.  The state of a key is one content and one flag; a
     piece of evidence has its state by itself, so no key's evidence is ever in one place.  Copies within a batch are
-    combined before they are shuffled.  Files are committed by the sink's log: a batch that runs again after a failure
+    combined before they are shuffled.  ``n_rows`` of a fact are the rows that came for it in all batches, replays too.  Files are committed by the sink's log: a batch that runs again after a failure
     replaces its own output.
     """
     spark = stream.sparkSession
@@ -137,7 +144,8 @@ def ingest_facts(
     owner = F.to_json(F.struct(F.lit(1), *keys), {"ignoreNullFields": "false"}).alias("_owner")
     rows = stream.select(*keys, *scalars, content, owner)
     rows = rows.transform(_once_per_batch(["_owner", "_content"], rows.schema)).drop("_owner")
-    kinds = T.StructType([*rows.schema.fields[:-1], T.StructField("kind", T.StringType())])
+    told = T.StructField("n", T.LongType()), T.StructField("kind", T.StringType())
+    kinds = T.StructType([*rows.schema.fields[:-2], *told])
     kept = rows.groupBy(*keys).transformWithState(
         _FirstContent(kinds.names), outputStructType=kinds, outputMode="Append", timeMode="None"
     )
@@ -156,21 +164,18 @@ def ingest_facts(
         spark.conf.set(PROVIDER, before)
 
 
-def _matching(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """A join in which null keys are equal; of an inner join the other columns of both sides."""
-    other = right.withColumnsRenamed({k: f"_{k}_" for k in keys})
-    same = F.lit(True)
-    for k in keys:
-        same = same & left[k].eqNullSafe(other[f"_{k}_"])
-    return left.join(other, same, how).drop(*(f"_{k}_" for k in keys))
-
-
 def ingested(spark: SparkSession, folder: str, keys: list[str]) -> dict[str, DataFrame]:
     """What has been ingested: facts without a conflict, evidence, and the keys in conflict."""
     told = spark.read.parquet(f"{folder}/facts")
-    conflicts = told.where("kind = 'conflict'").select(*keys)
+    scalars = [c for c in told.columns if c not in (*keys, "n", "kind")]
+    # a key has one row of kind fact, and one of kind conflict at most
+    merged = told.groupBy(*keys).agg(
+        F.first(F.when(F.col("kind") == "fact", F.struct(F.lit(1), *scalars)), ignorenulls=True).alias("_fact"),
+        F.max(F.col("kind") == "conflict").alias("_clash"),
+        F.sum("n").alias("n_rows"),
+    )
     return {
-        "facts": _matching(told.where("kind = 'fact'").drop("kind"), conflicts, keys, "left_anti"),
+        "facts": merged.where("NOT _clash").select(*keys, *(F.col("_fact")[c].alias(c) for c in scalars), "n_rows"),
         "evidence": spark.read.parquet(f"{folder}/evidence"),
-        "conflicts": conflicts,
+        "conflicts": merged.where("_clash").select(*keys),
     }

@@ -3,6 +3,7 @@
 import datetime
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -190,7 +191,8 @@ def expected(rows):
         if first.setdefault((a, b), (v, w)) != (v, w):
             clash.add((a, b))
         spans.add((a, b, e))
-    facts = [(*k, *x) for k, x in first.items() if k not in clash]
+    counts = Counter((a, b) for a, b, *_ in rows)
+    facts = [(*k, *x, counts[k]) for k, x in first.items() if k not in clash]
     return {"facts": sorted(facts, key=repr), "evidence": sorted(spans, key=repr), "conflicts": sorted(clash, key=repr)}
 
 
@@ -229,6 +231,6 @@ def test_ingest_goes_on_after_a_stop(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(str(source))
         jobs.ingest_facts(stream, ["k"], ["v"], ["e"], out).awaitTermination()
     found = jobs.ingested(spark, out, ["k"])
-    assert [tuple(r) for r in found["facts"].collect()] == [("b", "1")]
+    assert [tuple(r) for r in found["facts"].collect()] == [("b", "1", 3)]
     assert [r.k for r in found["conflicts"].collect()] == ["a"]
     assert found["evidence"].count() == 3
