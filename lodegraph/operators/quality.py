@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.functions import identity, paths
+from lodegraph.operators import cycles
 from lodegraph.operators.resolve import union_all
-from lodegraph.session import checkpoint
 
 SHA256 = "^sha256:[0-9a-f]{64}$"
 
@@ -269,34 +269,19 @@ def references_resolve(derivations: DataFrame, identities: DataFrame) -> DataFra
     return _violations(dangling, "V10", "parent_id", F.concat_ws(":", "ref_kind", "ref_identity"))
 
 
-def cyclic_links(links: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
-    """Links that lie on or between cycles.
-
-    Links into a node without outgoing links, or out of one without incoming ones, are
-    peeled until nothing changes.  Rounds follow the longest chain; the driver sees counts.
-    """
-    left = checkpoint(links.select(source, target).distinct())
-    size = left.count()
-    while size:
-        starts = left.select(F.col(source).alias("_s")).distinct()
-        kept = left.join(starts, left[target] == F.col("_s"), "left_semi")
-        ends = kept.select(F.col(target).alias("_t")).distinct()
-        left = checkpoint(kept.join(ends, kept[source] == F.col("_t"), "left_semi"))
-        rest = left.count()
-        if rest == size:
-            break
-        size = rest
-    return left
-
-
-def derivations_acyclic(derivations: DataFrame) -> DataFrame:
-    """The derivation graph has no cycle; V11."""
+def derivation_cycles(derivations: DataFrame) -> DataFrame:
+    """(snapshot_id, fact, component) of every derived fact on a cycle; the component goes by its first fact."""
     links = derivations.where("ref_kind IN ('edge', 'assertion')").select(
         F.struct("snapshot_id", F.concat_ws(":", "parent_kind", "parent_id").alias("fact")).alias("source"),
         F.struct("snapshot_id", F.concat_ws(":", "ref_kind", "ref_identity").alias("fact")).alias("target"),
     )
-    stuck = cyclic_links(links).select("source.snapshot_id", F.col("source.fact").alias("fact")).distinct()
-    return _violations(stuck, "V11", "fact", "cycle")
+    found = cycles.components(links)
+    return found.select("node.snapshot_id", F.col("node.fact").alias("fact"), F.col("component.fact").alias("component"))
+
+
+def derivations_acyclic(derivations: DataFrame) -> DataFrame:
+    """The derivation graph has no cycle; V11."""
+    return _violations(derivation_cycles(derivations), "V11", "fact", "cycle")
 
 
 def diagnostics_sound(diagnostics: DataFrame, producers: DataFrame) -> DataFrame:

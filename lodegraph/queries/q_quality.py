@@ -266,19 +266,32 @@ def v10(spark, folder):
     """SELECT 's1' AS snapshot_id, 'V11' AS rule, 'edge:nation:'||n_nationkey AS key, 'cycle' AS detail FROM nation UNION ALL SELECT DISTINCT 's1','V11','edge:region:'||n_regionkey,'cycle' FROM nation""",
 )
 def v11(spark, folder):
+    return quality.derivations_acyclic(_derivation_ring(spark, folder))
+
+
+def _derivation_ring(spark, folder):
+    """Every region also derives from its nations, which closes a cycle; all other links lie on none."""
     links = b.edges(spark, folder).select("subject_key", "object_key")
-    # every region also derives from its nations, which closes a cycle; all other links must peel away
     back = links.where("object_key LIKE 'region:%'").select(
         F.col("object_key").alias("subject_key"), F.col("subject_key").alias("object_key")
     )
-    derivations = links.unionByName(back).select(
+    return links.unionByName(back).select(
         _snap(),
         F.lit("edge").alias("parent_kind"),
         F.col("subject_key").alias("parent_id"),
         F.lit("edge").alias("ref_kind"),
         F.col("object_key").alias("ref_identity"),
     )
-    return quality.derivations_acyclic(derivations)
+
+
+@query(
+    "v11_cycle_components",
+    """WITH c AS (SELECT n_regionkey, min('edge:nation:'||n_nationkey) AS component FROM nation GROUP BY 1)
+      SELECT 's1' AS snapshot_id, 'edge:nation:'||n_nationkey AS fact, component FROM nation JOIN c USING (n_regionkey)
+      UNION ALL SELECT 's1', 'edge:region:'||n_regionkey, component FROM c""",
+)
+def v11_components(spark, folder):
+    return quality.derivation_cycles(_derivation_ring(spark, folder))
 
 
 @query(

@@ -56,3 +56,10 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     checkpoint_root(spark)
     base = spark.sparkContext.getCheckpointDir()
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the checkpoint folder and read again; unlike a checkpoint it carries no constraints on."""
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph import schemas
 from lodegraph.functions import identity
-from lodegraph.operators import hashing, quality
+from lodegraph.operators import cycles, hashing, quality
 
 NOW = datetime.datetime(2024, 1, 1)
 REVISION = "0" * 40
@@ -125,9 +125,9 @@ def test_line_count_conflict(sound):
 def test_cycle_and_dag(spark, sound):
     schema = "source string, target string"
     dag = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "a")], schema)
-    assert quality.cyclic_links(dag).count() == 0
+    assert cycles.links_on_cycles(dag).count() == 0
     ring = dag.unionByName(spark.createDataFrame([("c", "a"), ("x", "x")], schema))
-    assert {tuple(r) for r in quality.cyclic_links(ring).collect()} == {("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("x", "x")}
+    assert {tuple(r) for r in cycles.links_on_cycles(ring).collect()} == {("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("x", "x")}
     edge = sound["edges"].first().edge_id
     assertion = sound["assertions"].first().assertion_id
     back = spark.createDataFrame([("s", "edge", edge, "assertion", assertion)], schemas.DERIVATIONS)
