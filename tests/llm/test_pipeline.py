@@ -4,11 +4,11 @@ import tiktoken
 from conftest import EDGES, FOLDER
 from pyspark.sql import functions as F
 from test_lines import brute as brute_lines
-from test_simhash import brute_classes, brute_print
 
 import corpus_pipeline
 from lodegraph.llm import bpe
 from lodegraph.llm.decontaminate import MIN_CHARS, normal
+from lodegraph.llm.simhash import grams_of
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -45,16 +45,24 @@ def test_lines_as_brute_force(kept):
 
 
 def test_one_of_each_as_brute_force(kept):
-    """The same classes as from all pairs of 192-bit fingerprints."""
-    texts = {r["doc_id"]: r["text"] for r in kept[1].collect()}
-    from lodegraph.llm.simhash import simhash
-
-    prints = {d: sum(p << 64 * k for k, p in enumerate(simhash((t or "").encode(), 5, 3))) for d, t in texts.items()}
-    assert all(p & (1 << 64) - 1 == brute_print(texts[d], 5) for d, p in list(prints.items())[:40])
-    classes = brute_classes(prints, 33)
-    ids = {r[0] for r in kept[2].select("doc_id").collect()}
-    first = {d for d, root in classes.items() if d == root}
-    assert first <= ids and len(ids - first) <= 0.02 * len(ids)
+    """The smallest id of each class of texts that a chain of similarities of 0.8 connects, from all pairs of sets."""
+    texts = sorted((r["doc_id"], r["text"]) for r in kept[1].collect())
+    sets = [set(grams_of((t or "").encode(), 5)) for _, t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, own in enumerate(sets):
+        for j in range(i):
+            if 0.8 * max(len(own), len(sets[j])) <= min(len(own), len(sets[j])):
+                both = len(own & sets[j])
+                if both >= 0.8 * (len(own) + len(sets[j]) - both) - 1e-9:
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+    assert {r[0] for r in kept[2].select("doc_id").collect()} == {d for i, (d, _) in enumerate(texts) if find(i) == i}
 
 
 def test_benchmark_passages_are_gone(spark, kept):
