@@ -154,41 +154,50 @@ def v7(spark, folder):
 
 @query(
     "v8_edges",
-    """WITH l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS (SELECT *, 'edge:sha256:'||sha256('order:'||l_orderkey||chr(31)||'imports'||chr(31)||'part:'||l_partkey) AS id FROM l),
-      p AS (SELECT p_partkey, p_type FROM part), o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders)
-      SELECT 's'||l_orderkey%2 AS snapshot_id, 'V8' AS rule, id AS key, 'object' AS detail FROM e JOIN p ON p_partkey=l_partkey WHERE p_type='PROMO'
-      UNION ALL SELECT 's'||l_orderkey%2,'V8',id,'no evidence' FROM e JOIN o ON o_orderkey=l_orderkey WHERE o_orderstatus='P'
-      UNION ALL SELECT 's'||l_orderkey%2,'V8',id,'no source observation' FROM e JOIN o ON o_orderkey=l_orderkey WHERE o_orderpriority='5-LOW'""",
+    b.ctes("edges") + """, e AS (SELECT *, 's'||CAST(split_part(subject_key,':',2) AS BIGINT)%2 AS s FROM edges),
+      promo AS (SELECT 'part:'||p_partkey AS k FROM part WHERE p_type='PROMO'), o AS (SELECT 'order:'||o_orderkey AS k, o_orderstatus, o_orderpriority FROM orders)
+      SELECT s AS snapshot_id, 'V8' AS rule, edge_id AS key, 'object' AS detail FROM e WHERE object_key IN (SELECT k FROM promo)
+      UNION ALL SELECT s,'V8',edge_id,'subject' FROM e WHERE subject_key IN (SELECT k FROM promo)
+      UNION ALL SELECT s,'V8',edge_id,'no evidence' FROM e WHERE subject_key IN (SELECT k FROM o WHERE o_orderstatus='P' UNION ALL SELECT 'customer:'||c_custkey FROM customer WHERE c_mktsegment='MACHINERY')
+      UNION ALL SELECT s,'V8',edge_id,'no source observation' FROM e WHERE subject_key IN (SELECT k FROM o WHERE o_orderpriority='5-LOW')""",
 )
 def v8(spark, folder):
+    """All edges: nodes of some parts are missing, some orders and customers lack evidence or an observation."""
+    number = F.substring_index("subject_key", ":", -1).cast("bigint")
     # sealed edges are a stored table that each part of the rule scans
     edges = checkpoint(
         b.edges(spark, folder)
-        .where("subject_kind = 'order' AND object_kind = 'part'")
-        .withColumn("_order", F.substring_index("subject_key", ":", -1).cast("bigint"))
-        .select(_snap("_order"), "*", F.lit("resolver").alias("producer"), F.lit("1").alias("producer_version"))
+        .withColumn("_number", number)
+        .select(_snap("_number"), "*", F.lit("resolver").alias("producer"), F.lit("1").alias("producer_version"))
     )
-    kept_parts = b.table(spark, folder, "part").where("p_type <> 'PROMO'")
-    nodes = _order_nodes(spark, folder).unionByName(
-        kept_parts.select(
-            _both_snapshots(),
-            F.concat(F.lit("part:"), "p_partkey").alias("stable_key"),
-            F.lit("part").alias("node_kind"),
-            F.lit("observed").alias("truth_class"),
+    promo = b.table(spark, folder, "part").where("p_type = 'PROMO'")
+    nodes = b.nodes(spark, folder).select("stable_key", "node_kind")
+    nodes = nodes.join(promo.select(F.concat(F.lit("part:"), "p_partkey").alias("stable_key")), "stable_key", "left_anti")
+    nodes = nodes.select(_both_snapshots(), "*", F.lit("observed").alias("truth_class"))
+    flags = (
+        b.table(spark, folder, "orders")
+        .select(
+            F.concat(F.lit("order:"), "o_orderkey").alias("subject_key"),
+            (F.col("o_orderstatus") == "P").alias("bare"),
+            (F.col("o_orderpriority") == "5-LOW").alias("unseen"),
+        )
+        .unionByName(
+            b.table(spark, folder, "customer").select(
+                F.concat(F.lit("customer:"), "c_custkey").alias("subject_key"),
+                (F.col("c_mktsegment") == "MACHINERY").alias("bare"),
+                F.lit(False).alias("unseen"),
+            )
         )
     )
-    orders = b.table(spark, folder, "orders").select(
-        F.concat(F.lit("order:"), "o_orderkey").alias("subject_key"), "o_orderstatus", "o_orderpriority"
-    )
-    marked = edges.join(orders, "subject_key")
-    evidence = marked.where("o_orderstatus <> 'P'").select(
+    marked = edges.join(flags, "subject_key", "left")
+    evidence = marked.where("NOT coalesce(bare, false)").select(
         "snapshot_id", F.lit("edge").alias("parent_kind"), F.col("edge_id").alias("parent_id")
     )
     derivations = marked.select(
         "snapshot_id",
         F.lit("edge").alias("parent_kind"),
         F.col("edge_id").alias("parent_id"),
-        F.when(F.col("o_orderpriority") == "5-LOW", "node").otherwise("observation").alias("ref_kind"),
+        F.when(F.coalesce("unseen", F.lit(False)), "node").otherwise("observation").alias("ref_kind"),
     )
     producers = spark.range(2).select(_snap("id"), F.lit("resolver@1").alias("producer"))
     return quality.edges_sound(nodes, edges, evidence, derivations, producers)
@@ -496,13 +505,18 @@ def citation_validity(spark, folder):
 
 @query(
     "b6_construct_parity",
-    "SELECT DISTINCT p_brand||p_type||p_size AS construct FROM part WHERE p_brand||p_type||p_size NOT IN (SELECT p_brand||p_type||p_size FROM part JOIN lineitem ON l_partkey=p_partkey WHERE l_returnflag='R' AND l_discount>0.08 AND l_quantity>30)",
+    """WITH c AS (SELECT p_partkey, p_brand||p_type||p_size AS c FROM part)
+      SELECT DISTINCT c||':'||q AS construct FROM c, range(1,51) r(q)
+      WHERE c||':'||q NOT IN (SELECT c||':'||CAST(l_quantity AS INT) FROM c JOIN lineitem ON l_partkey=p_partkey)""",
 )
 def construct_parity(spark, folder):
-    parts = b.table(spark, folder, "part").select("p_partkey", F.concat("p_brand", "p_type", "p_size").alias("construct"))
-    lines = b.table(spark, folder, "lineitem").where("l_returnflag = 'R' AND l_discount > 0.08 AND l_quantity > 30")
-    covered = parts.join(lines.select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi")
-    return scoring.parity_gaps(parts, covered, "construct")
+    """Constructs are parts in each quantity that can be ordered; all line items are the covered ones."""
+    parts = b.table(spark, folder, "part").select("p_partkey", F.concat("p_brand", "p_type", "p_size", F.lit(":")).alias("part"))
+    claimed = parts.select("part", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("quantity"))
+    lines = b.table(spark, folder, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_quantity").cast("int").alias("quantity"))
+    covered = parts.join(lines, "p_partkey")
+    construct = F.concat("part", "quantity").alias("construct")
+    return scoring.parity_gaps(claimed.select(construct), covered.select(construct), "construct")
 
 
 @query(

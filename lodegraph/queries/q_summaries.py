@@ -541,15 +541,12 @@ def reanalysis_outcome(spark, folder):
 
 @query(
     "m16_repository_listing",
-    b.ctes("rev") + "SELECT revision_id, owner_id, created_at FROM rev WHERE branch='1-URGENT' ORDER BY created_at DESC, revision_id",
+    b.ctes("rev") + "SELECT revision_id, owner_id, branch, created_at FROM rev ORDER BY created_at DESC, revision_id",
 )
 def repository_listing(spark, folder):
-    return (
-        b.revisions(spark, folder)
-        .where("branch = '1-URGENT'")
-        .select("revision_id", "owner_id", "created_at")
-        .orderBy(F.desc("created_at"), "revision_id")
-    )
+    """All owners' revisions of all branches, newest first."""
+    listed = b.revisions(spark, folder).select("revision_id", "owner_id", "branch", "created_at")
+    return listed.orderBy(F.desc("created_at"), "revision_id")
 
 
 @query(
