@@ -92,6 +92,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``stored`` that nothing reads any more, and let Spark drop the shuffles that made them."""
+    for df in tables:
+        spark, path = df.sparkSession, df.inputFiles()[:1]
+        if path:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()  # plans that Python still holds keep their shuffles
+    tables[0].sparkSession._jvm.System.gc()
+
+
 #: Numbers of a row in which ``summed`` exchanges arrays.
 CUT = 1 << 16
 
