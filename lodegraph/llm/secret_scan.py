@@ -3,8 +3,9 @@
 Three kinds of strings are found by their form (``assign``, ``access``, ``hex``).  Further ones are found by how
 random they look: candidate strings are gone through with a sliding window whose character counts are kept up to
 date from one place to the next (one character leaves, one enters), and the windows whose Shannon entropy reaches the
-limit of their character class are joined into spans.  Strings on the allow list are no candidates; found by form,
-they stay.
+limit of their character class are joined into spans.  Windows that touch a string of the allow list do not count,
+the other windows of the same candidate do; found by form, such strings stay.  A candidate is gone through in blocks
+of ``BLOCK`` windows, so that the work grows with its length.
 
 Places are code points, ends exclusive.  Defined results: a null or empty text has no spans; every row gives one row,
 repeated rows included.  Very long runs of one character class are candidates like others.
@@ -33,10 +34,13 @@ CLASSES = (
 )
 #: Strings that look random and are none: identifiers in their usual form, counting alphabets, samples.
 ALLOWED = (
-    r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+    r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$|wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
     r"|(?i)example|sample|placeholder|changeme|abcdefghij|0123456789|1234567890"
 )
 
+#: Windows that are gone through at a time.
+BLOCK = 512
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
@@ -72,8 +76,37 @@ def places(text: Column, pattern: str, matches: Column) -> Column:
     return let(between, of)
 
 
-def windows(word: Column, width: int, least: float) -> Column:
-    """(start, end) within ``word`` of the joined windows of ``width`` characters that reach the entropy.
+def masked(word: Column) -> Column:
+    """``word`` with spaces, which no candidate has, in place of what the allow list matches."""
+    gaps, found = F.split(word, ALLOWED, -1), F.regexp_extract_all(word, F.lit(ALLOWED), F.lit(0))
+    blank = lambda own: F.repeat(F.lit(" "), F.coalesce(F.length(own), F.lit(0)))
+    parts = F.zip_with(gaps, found, lambda gap, own: F.concat(gap, blank(own)))
+    return F.when(F.regexp_like(word, F.lit(ALLOWED)), F.array_join(parts, "")).otherwise(word)
+
+
+def blocks(starts: Column, words: Column, width: int) -> Column:
+    """(at, chars) of the blocks of ``words`` (arrays of pieces), each with the first characters of the next one."""
+
+    def block(start: Column, pieces: Column, piece: Column, i: Column) -> Column:
+        beyond = F.substring(F.coalesce(F.get(pieces, i + 1), F.lit("")), 1, width - 1)
+        return F.struct((start["a"] + i * BLOCK).alias("at"), F.split(F.concat(piece, beyond), "").alias("chars"))
+
+    return F.flatten(
+        F.zip_with(starts, words, lambda start, pieces: F.transform(pieces, lambda x, i: block(start, pieces, x, i)))
+    )
+
+
+def joined(found: Column) -> Column:
+    """Spans in order of their starts, those that touch made one: a span starts where it leaves all before it."""
+    opens = F.filter(found, lambda x, i: (i == 0) | (F.get(found, i - 1)["b"] < x["a"]))
+    ends = F.filter(found, lambda x, i: F.coalesce(F.get(found, i + 1)["a"] > x["b"], F.lit(True)))
+    return F.zip_with(opens, ends, lambda x, y: F.struct(x["a"].alias("a"), y["b"].alias("b")))
+
+
+def block_windows(at: Column, chars: Column, width: int, least: float) -> Column:
+    """(start, end) of the joined windows among ``chars``, of which the first is at ``at``.
+
+    A window belongs to the block in which it starts.
 
     The entropy of a window is ``log2(width) - sum(n log2 n) / width`` over the counts n of its characters.  The
     counts are a map from character to number; a step lowers one and raises one, and the sum follows.
@@ -97,11 +130,11 @@ def windows(word: Column, width: int, least: float) -> Column:
             lambda _, n: n > 0,
         )
 
-    def at(i: Column) -> Column:
-        return F.substring(word, i, F.lit(1))
+    def char(i: Column) -> Column:
+        return F.get(chars, i - 1)
 
     def step(state: Column, i: Column) -> Column:
-        enters = at(i)
+        enters = char(i)
         entered = count(state["counts"], enters)
         first = F.struct(
             moved(state["counts"], enters, 1).alias("counts"),
@@ -109,7 +142,7 @@ def windows(word: Column, width: int, least: float) -> Column:
         )
 
         def leave(now: Column) -> Column:
-            leaves = at(i - width)
+            leaves = char(i - width)
             n = count(now["counts"], leaves)
             return F.when(
                 i > width,
@@ -121,12 +154,12 @@ def windows(word: Column, width: int, least: float) -> Column:
         def join(now: Column) -> Column:
             found, begin = state["found"], i - width
             last = F.get(found, F.size(found) - 1)
-            fresh = F.struct(begin.alias("a"), i.alias("b"))
-            longer = F.struct(last["a"].alias("a"), i.alias("b"))
+            fresh = F.struct((at + begin).alias("a"), (at + i).alias("b"))
+            longer = F.struct(last["a"].alias("a"), (at + i).alias("b"))
             joined = (
-                F.when((i < width) | (now["sum"] > limit), found)
+                F.when((i < width) | (now["sum"] > limit) | (count(now["counts"], F.lit(" ")) > 0), found)
                 .when(
-                    (F.size(found) > 0) & (last["b"] >= begin),
+                    (F.size(found) > 0) & (last["b"] >= at + begin),
                     F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(longer)),
                 )
                 .otherwise(F.concat(found, F.array(fresh)))
@@ -140,7 +173,11 @@ def windows(word: Column, width: int, least: float) -> Column:
         F.lit(0.0).alias("sum"),
         F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("found"),
     )
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step)["found"]
+    return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, step)["found"]
+
+
+def in_block(width: int, least: float) -> Callable[[Column], Column]:
+    return lambda x: block_windows(x["at"], x["chars"], width, least)
 
 
 def spans_of(kind: str, rank: int, found: Column) -> Column:
@@ -182,29 +219,23 @@ def scan(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     def long_value(match: Column) -> Column:
         return F.length(F.regexp_extract(match, ASSIGN, 2)) >= ASSIGN_CHARS
 
-    def random(kind: str, rank: int, column: str, pattern: str, width: int, least: float) -> Column:
-        matches = F.col(column)
-        found = F.zip_with(
-            places(t, pattern, matches),
-            matches,
-            lambda p, m: F.when(
-                F.regexp_like(m, F.lit(ALLOWED)), F.expr("cast(array() as array<struct<a:int,b:int>>)")
-            ).otherwise(
-                F.transform(
-                    windows(m, width, least),
-                    lambda w: F.struct((p["a"] + w["a"]).alias("a"), (p["a"] + w["b"]).alias("b")),
-                )
-            ),
-        )
-        return F.when(F.size(matches) > 0, spans_of(kind, rank, F.flatten(found))).otherwise(none)
-
     forms = [
         base("assign", 0, "_assign", ASSIGN, long_value),
         base("access", 1, "_access", LONG_ACCESS),
         base("hex", 2, "_hex", LONG_HEX),
     ]
-    others = [random(n, 3 + i, f"_{n}", p, w, e) for i, (n, p, w, e) in enumerate(CLASSES)]
-    rows = rows.withColumn("base", F.array_sort(F.concat(*forms))).withColumn("_more", F.concat(*others))
+    rows = rows.withColumn("base", F.array_sort(F.concat(*forms)))
+    cut = lambda m: F.regexp_extract_all(masked(m), F.lit(f".{{1,{BLOCK}}}"), F.lit(0))
+    for n, pattern, width, least in CLASSES:
+        words = F.when(F.size(f"_{n}") > 0, F.transform(f"_{n}", cut))
+        rows = rows.withColumn(f"_{n}", F.when(F.size(f"_{n}") > 0, blocks(places(t, pattern, F.col(f"_{n}")), words, width)))
+        found = F.flatten(F.transform(f"_{n}", in_block(width, least)))
+        rows = rows.withColumn(f"_{n}", found)
+    others = [
+        F.when(F.size(f"_{n}") > 0, spans_of(n, 3 + i, joined(F.col(f"_{n}")))).otherwise(none)
+        for i, (n, *_) in enumerate(CLASSES)
+    ]
+    rows = rows.withColumn("_more", F.concat(*others))
     rows = rows.withColumn("spans", F.array_sort(F.concat("base", "_more")))
     return rows.select(*(F.col(f"_{i}_keep").alias(c) for i, c in enumerate(keep)), "base", "spans")
 

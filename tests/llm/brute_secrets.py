@@ -28,11 +28,10 @@ def spans(text):
     out = base(text)
     for i, (kind, pattern, width, least) in enumerate(CLASSES):
         for m in re.finditer(pattern, text):
-            if any(re.search(p, m[0], re.I) for p in ALLOWED.replace("(?i)", "").split("|")):
-                continue
+            word = re.sub(ALLOWED.replace("(?i)", ""), lambda x: " " * len(x[0]), m[0], flags=re.I)
             joined = []
-            for a in range(len(m[0]) - width + 1):
-                if entropy(m[0][a : a + width]) >= least - 1e-9:
+            for a in range(len(word) - width + 1):
+                if " " not in word[a : a + width] and entropy(word[a : a + width]) >= least - 1e-9:
                     if joined and joined[-1][1] >= a:
                         joined[-1][1] = a + width
                     else:

@@ -58,3 +58,27 @@ def test_allow_list_leaves_base_kinds(spark):
     text = "token = example0123456789abcdefX"
     df = spark.createDataFrame([(1, text)], "id long, text string")
     assert [s["kind"] for s in scan(df, ["id"]).first()["spans"]] == ["assign", "hex"]
+
+
+def test_allow_list_suppresses_what_it_touches(spark):
+    key = "kJ8sP2vX9qLmT4wZ7rBnC5dF1gH3yE6uA0iOxQtS"
+    known = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    texts = [f"/samples/dl/{key}", f"{key}example{key}", known, f"{known}/{key}", f"{key}01234567890{key}"]
+    compare(spark, texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    spans = {r["id"]: r["spans"] for r in scan(df, ["id"]).collect()}
+    assert [(s["a"], s["b"]) for s in spans[0]][-1][1] == len(texts[0]) and len(spans[1]) == 2 and not spans[2]
+
+
+def test_candidates_longer_than_blocks(spark):
+    draw = random.Random(5)
+    letters = "".join(chr(c) for c in range(48, 123) if chr(c).isalnum()) + "+/"
+    longs = ["".join(draw.choice(letters) for _ in range(n)) + "1a" for n in (509, 510, 511, 528, 529, 530, 531, 1022, 1041, 4000)]
+    mixed = ["".join(draw.choice(["ab1" * 9, "sample", *draw.sample(longs, 1)[0][:60]]) for _ in range(400)) for _ in range(4)]
+    compare(spark, longs + mixed + ["".join(draw.choice("0123456789ABCDEF") for _ in range(3000))])
+
+
+def test_a_very_long_candidate(spark):
+    draw = random.Random(6)
+    text = "".join(draw.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=200_000))
+    compare(spark, [text])
