@@ -10,7 +10,8 @@ stand, by their tags, roles and class names.  Names like sidebar leave nothing o
 Defined results: a null or empty page, and one without text in a container, gives an empty text; pages without a host
 vote for themselves alone; unclosed and misplaced tags are closed as browsers close them; every row gives one row,
 rows that repeat an id included.  Votes are as many rows as pages at most; a host with a third of all pages is
-counted before it is shuffled.
+counted before it is shuffled.  Pages of hosts with a large share of all pages, and pages without a host, are not
+shuffled at all: the paths of the former are sent to them, at most ``SHARE`` rows of at most ``PATH_CHARS`` characters.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import schema_of, short_batches, slices
+from lodegraph.llm.common import schema_of, short_batches, slices, stored
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -80,6 +81,8 @@ MOST = 0.6
 DECAY = 0.6
 #: Plain pages have their text here.
 ROOT = "html"
+#: A host is large if it has one of so many pages; longest host and path that are sent to all tasks.
+SHARE, PATH_CHARS = 1000, 10_000
 
 
 class Page:
@@ -261,15 +264,15 @@ def host_of(url: str) -> F.Column:
 
 
 def container_votes(pages: DataFrame) -> DataFrame:
-    """(host, path, score) of each page's best container, from ``_host`` and ``_html``."""
+    """(host, path, score) of each page's best container, from ``_host`` and ``_html``; no path without one."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_html"):
             rows = []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = Page(html or "")
-                if best := page.best():
-                    rows.append((host, page.path(best[0]), best[1]))
+                best = page.best()
+                rows.append((host, page.path(best[0]), best[1]) if best else (host, None, 0.0))
             columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
             kinds = pa.string(), pa.string(), pa.float64()
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
@@ -280,17 +283,26 @@ def container_votes(pages: DataFrame) -> DataFrame:
 
 
 def winning_paths(votes: DataFrame) -> DataFrame:
-    """(host, path): the path with most votes, then with most text, of each host."""
+    """(host, path, pages): the path with most votes, then with most text, of each host, and its number of pages.
+
+    The path is null where no page of the host has a container with text.
+    """
     counted = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round("score")).alias("score"))
-    best = counted.groupBy("host").agg(F.max(F.struct("n", "score", "path")).alias("best"))
-    return best.select("host", F.col("best.path").alias("path"))
+    vote = F.when(F.col("path").isNotNull(), F.struct("n", "score", "path"))
+    best = counted.groupBy("host").agg(F.max(vote).alias("best"), F.sum("n").alias("pages"))
+    return best.select("host", F.col("best.path").alias("path"), "pages")
 
 
 def extract(df: DataFrame, keep: list[str], url: str = "url", html: str = "html") -> DataFrame:
     """Columns ``keep`` of each page and ``text``, its main text: blocks of text with an empty line between them."""
     kept = [F.col(c).alias(f"_{i}_keep") for i, c in enumerate(keep)]
     pages = df.select(host_of(url).alias("_host"), F.col(html).alias("_html"), *kept)
-    winners = winning_paths(container_votes(pages)).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
+    short_batches(df.sparkSession)
+    winners = stored(winning_paths(container_votes(pages)), "host-paths")
+    total = winners.agg(F.sum("pages")).first()[0] or 0
+    sendable = F.length("host") + F.coalesce(F.length("path"), F.lit(0)) <= PATH_CHARS
+    large = (F.col("pages") * SHARE >= total) & sendable
+    winners = winners.select(F.col("host").alias("_host"), F.col("path").alias("_path"), large.alias("_large"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_html"):
@@ -298,7 +310,10 @@ def extract(df: DataFrame, keep: list[str], url: str = "url", html: str = "html"
             texts = [Page(x or "").main_text(path) for x, path in pairs]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    short_batches(df.sparkSession)
-    # a merge join's hot hosts are split by the engine, which those of a join that turns into a broadcast are not
-    placed = pages.join(winners.hint("merge"), "_host", "left").select("_html", "_path", *(f"_{i}_keep" for i in range(len(keep))))
+    sent = F.broadcast(winners.where("_large"))
+    unmoved = pages.join(sent, "_host", "left").where("_large or _host is null")
+    moved = pages.where("_host is not null").join(sent, "_host", "left_anti")
+    moved = moved.join(winners.where("not _large").hint("merge"), "_host", "left")
+    columns = "_html", "_path", *(f"_{i}_keep" for i in range(len(keep)))
+    placed = unmoved.select(*columns).unionByName(moved.select(*columns))
     return placed.mapInArrow(step, schema_of(df, keep, "text string"))

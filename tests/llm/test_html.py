@@ -37,6 +37,21 @@ def test_layouts_and_votes(spark):
     assert got[9] == main.format("w")
 
 
+def test_large_and_small_hosts(spark):
+    """Paths of large hosts are sent to their pages, those of the others are joined; both decide alike."""
+    main = "Tést & x\n\nOne two three <b> {}\n\nFour five six\n\na\n\nb\n\nc1\n\nc2"
+    long, bare = LAYOUT.format(n=1, text="word " * 30), "<nav><p>only a menu</p></nav>"
+    short = LAYOUT.format(n=9, text="w").replace('<div class="sidebar"><p>side text', f"<div class='extra'><p>{'more ' * 90}")
+    # 1,200 pages: a host with more than one of them is large
+    hosts = ["big.example"] * 150 + ["bare.example"] * 50 + [f"h{i}.example" for i in range(1000)]
+    rows = [(i, f"http://{h}/{i}", bare if h == "bare.example" else short if i == 149 else long) for i, h in enumerate(hosts)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert len(got) == len(rows)
+    want = main.format(("word " * 30).strip())
+    for i, h in enumerate(hosts):
+        assert got[i] == ("" if h == "bare.example" else main.format("w") if i == 149 else want)
+
+
 def test_odd_pages(spark):
     pages = [
         None, "", "plain text only", "<p>a<p>b", "<div><p>unclosed <b>bold", "<!-- never closed", '<article><p a="1>x</p></article>',
