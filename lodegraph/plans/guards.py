@@ -30,65 +30,60 @@ def anchors(edges: DataFrame, roles: DataFrame, test_nodes: DataFrame) -> DataFr
     return routes.distinct().join(injected.distinct(), "handler").select("route", "handler", "guard")
 
 
-def guard_paths(edges: DataFrame, guards: DataFrame) -> DataFrame:
-    """Breadth-first tree of ``calls`` below each guard: (guard, node, parent, edge_id, trail).
+def guard_paths(edges: DataFrame, guards: DataFrame) -> list[DataFrame]:
+    """Levels of the breadth-first tree of ``calls`` below each guard: (guard, node, parent, edge_id, depth, rank).
 
-    ``trail`` lists the nodes from the first callee down to this one.  Within a level
-    trails sort in queue order, so the smallest parent trail is the first discovery.
+    ``rank`` grows in queue order among the nodes of a guard on a level: by the parent's rank, then by node.  So a node
+    is found first by its parent of least rank, and a row is as short on a deep level as on the first.  Ranks come from
+    range-partitioned, sorted rows, which also spreads a guard with most of the nodes over tasks.  The calls are stored
+    once, dealt out by the caller that a level looks up.
     """
     calls = edges.where("predicate = 'calls'").select(
         F.col("subject_key").alias("parent"), F.col("object_key").alias("node"), "edge_id"
     )
+    calls = checkpoint(calls.repartition("parent"))
     start = guards.select("guard").distinct()
-    empty = F.array().cast("array<string>")
-    fresh = checkpoint(start.select("guard", F.col("guard").alias("node"), empty.alias("trail")))
-    visited = fresh.select("guard", "node")
-    tree = []
+    fresh = checkpoint(start.select("guard", F.col("guard").alias("node"), F.lit(0).cast("bigint").alias("rank")))
+    visited, levels = fresh.select("guard", "node"), []
     while True:
-        step = (
-            fresh.select("guard", F.col("node").alias("parent"), "trail")
+        found = (
+            fresh.select("guard", F.col("node").alias("parent"), F.col("rank").alias("above"))
             .join(calls, "parent")
             .groupBy("guard", "node")
-            .agg(F.min(F.struct("trail", "parent", "edge_id")).alias("_f"))
+            .agg(F.min(F.struct("above", "parent", "edge_id")).alias("_f"))
             .join(visited, ["guard", "node"], "left_anti")
-            .select(
-                "guard",
-                "node",
-                "_f.parent",
-                "_f.edge_id",
-                F.concat("_f.trail", F.array("node")).alias("trail"),
-            )
+            .select("guard", "node", "_f.*")
         )
-        fresh = checkpoint(step)
+        order = "guard", "above", "node"
+        placed = found.repartitionByRange(*order).sortWithinPartitions(*order)
+        # the ids of sorted ranges grow from range to range, with gaps; stored, as a second run may cut elsewhere
+        fresh = checkpoint(placed.withColumn("rank", F.monotonically_increasing_id()).drop("above"))
         if fresh.isEmpty():
-            break
-        tree.append(fresh)
+            return levels
+        levels.append(fresh.withColumn("depth", F.lit(len(levels) + 1)))
         visited = visited.unionByName(fresh.select("guard", "node"))
-        if len(tree) % COMPACT_EVERY == 0:
+        if len(levels) % COMPACT_EVERY == 0:
             visited = checkpoint(visited)
-    if not tree:
-        return start.select(
-            "guard",
-            F.lit("").alias("node"),
-            F.lit("").alias("parent"),
-            F.lit("").alias("edge_id"),
-            empty.alias("trail"),
-        ).where("false")
-    return union_all(tree)
-
-
-def used_hops(tree: DataFrame, roles: DataFrame) -> DataFrame:
-    """Tree edges on the way to a classified target: (guard, subject_key, object_key, edge_id, depth)."""
+
+
+def used_hops(levels: list[DataFrame], roles: DataFrame) -> DataFrame:
+    """Tree edges on the way to a classified target: (guard, subject_key, object_key, edge_id, depth).
+
+    Marks go back up level by level: a node is needed if it is a target or the parent of a needed node.
+    """
     targets = roles.where(F.col("role").isin(*TARGETS)).select(F.col("key").alias("node")).distinct()
-    needed = (
-        tree.join(targets, "node", "left_semi").select("guard", F.explode("trail").alias("node")).distinct()
-    )
-    return tree.join(needed, ["guard", "node"], "left_semi").select(
-        "guard",
-        F.col("parent").alias("subject_key"),
-        F.col("node").alias("object_key"),
-        "edge_id",
-        F.size("trail").alias("depth"),
+    used, parents = [], None
+    for level in reversed(levels):
+        marks = level.join(targets, "node", "left_semi").select("guard", "node")
+        if parents is not None:
+            marks = marks.unionByName(parents)
+        used.append(checkpoint(level.join(marks, ["guard", "node"], "left_semi")))
+        parents = used[-1].select("guard", F.col("parent").alias("node")).distinct()
+    if not used:
+        empty = "guard string, subject_key string, object_key string, edge_id string, depth int"
+        return roles.sparkSession.createDataFrame([], empty)
+    return union_all(used).select(
+        "guard", F.col("parent").alias("subject_key"), F.col("node").alias("object_key"), "edge_id", "depth"
     )
 
 

@@ -228,6 +228,40 @@ def test_guard_chain_prunes_and_keeps_first_parent(spark):
     assert {(r.kind, r.key) for r in parts["claims"].collect()} == {("route", "r"), ("middleware", "g"), ("model", "m"), ("service", "s")}
 
 
+def test_guard_hops_as_from_a_queue(spark):
+    """Random graphs with parallel calls, cycles and several guards against a serial walk with a queue."""
+    import random
+    from collections import deque
+
+    draw, keys = random.Random(11), [f"n{i}" for i in range(60)]
+    calls = [(draw.choice(keys), draw.choice(keys)) for _ in range(110)]
+    calls += calls[:20] + [(f"c{i}", f"c{i + 1}") for i in range(20)] + [("n3", "c0"), ("lone", "lone")]
+    calls = [(s, "calls", o, f"e{i:03}") for i, (s, o) in enumerate(calls)]
+    found, targets = ["n0", "n1", "n2", "n3", "lone", "none"], set(draw.sample(keys, 8)) | {"c20"}
+    want = set()
+    for guard in found:
+        parent, queue = {}, deque([guard])
+        while queue:
+            at = queue.popleft()
+            for o, e in sorted((o, e) for s, _, o, e in calls if s == at):
+                if o != guard and o not in parent:
+                    parent[o] = (at, e)
+                    queue.append(o)
+        for node in targets & set(parent):
+            while node != guard:
+                want.add((guard, parent[node][0], node, parent[node][1]))
+                node = parent[node][0]
+    graph = spark.createDataFrame(calls, "subject_key string, predicate string, object_key string, edge_id string")
+    roles = spark.createDataFrame([(t, "model") for t in targets], "key string, role string")
+    levels = guards.guard_paths(graph, spark.createDataFrame([(g,) for g in found * 2], "guard string"))
+    assert len(levels) >= 20 and all("array" not in t for level in levels for _, t in level.dtypes)
+    hops = guards.used_hops(levels, roles)
+    got = [(r.guard, r.subject_key, r.object_key, r.edge_id) for r in hops.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    nothing = guards.used_hops(guards.guard_paths(graph.where("false"), spark.createDataFrame([("g",)], "guard string")), roles)
+    assert nothing.columns == hops.columns and nothing.collect() == []
+
+
 def test_list_orders(spark):
     nodes = spark.createDataFrame([("b", "x", 1), ("a", "x", 1), ("c", None, None), ("d", "w", 2)], "stable_key string, name string, layer int")
     assert [r.stable_key for r in facts.node_list(nodes, F.col("layer")).collect()] == ["a", "b", "d", "c"]
