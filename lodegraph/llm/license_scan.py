@@ -1,30 +1,33 @@
 """Licence notices in texts, with built-in functions only.
 
-A notice is a run of whole lines, or, for licences that no such run has, a run of words, which may start and end anywhere
-in a line and go over any lines.  Its words are compared
+A notice is a run of words, which may start and end anywhere in a line and go over any lines.  Its words are compared
 with licence templates by the Dice coefficient over their sets of word bigrams, ``2 |A and B| / (|A| + |B|)``.  Few
 runs need comparing:
 
 * a coefficient of ``LEAST`` is out of reach if the sets differ too much in size; a run is one of a template's
   candidates if its number of bigrams, repeats included, is within these bounds;
-* bigrams at the ends of a run that the template does not have only lower its coefficient, so runs of words start and
-  end with bigrams of the template, and a text needs as many of these as the lower bound of size has bigrams;
+* bigrams at the ends of a run that the template does not have only lower its coefficient, so runs start and end with
+  bigrams of the template (its marks), and hold as many of them as the lower bound of size has bigrams;
 * each template has anchor words, chosen so that a text without any of them shares too few bigrams with it whatever
   its size (with r template bigrams free of anchors, the coefficient is ``2 r / (r + |B|)`` at most).
 
-All follow from the templates alone.
+All follow from the templates alone.  A mark starts runs to later marks within the template's own upper bound only, so
+the work grows with the number of marks, however long the text and however short its lines.
 
 Defined results: a null or empty text has no notice; of equally good runs the one with the first line and then the
 fewest lines counts; each row is reported by itself, repeated rows included; there is no bound on the length of a text
-or a line.
+or a line.  Licences whose notices are much alike (the GNU ones, the Creative Commons ones) are all reported, each with
+its own coefficient.
 
-Out of scope are licences without a template below, among them LGPL, AGPL and BSD-2-Clause, and full licence bodies.
+Out of scope are licences without a template below and full licence bodies other than those of the BSD licences'
+conditions.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,12 @@ LEAST = 0.7
 
 #: Customary licence notices by the licences' short identifiers.
 TEMPLATES = (
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero"
+        " General Public License as published by the Free Software Foundation, either version 3 of the License, or"
+        " (at your option) any later version.",
+    ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
         "Apache-2.0",
@@ -43,6 +52,14 @@ TEMPLATES = (
         " CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing"
         " permissions and limitations under the License.",
     ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided"
+        " that the following conditions are met: 1. Redistributions of source code must retain the above copyright"
+        " notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must"
+        " reproduce the above copyright notice, this list of conditions and the following disclaimer in the"
+        " documentation and/or other materials provided with the distribution.",
+    ),
     ("BSD-3-Clause", "Released under the BSD License."),
     (
         "BSD-3-Clause",
@@ -63,6 +80,12 @@ TEMPLATES = (
         " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your"
         " option) any later version.",
     ),
+    (
+        "LGPL-3.0",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser"
+        " General Public License as published by the Free Software Foundation; either version 3 of the License, or"
+        " (at your option) any later version.",
+    ),
     (
         "ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is"
@@ -122,112 +145,15 @@ def no_matches() -> Column:
     return F.expr(f"cast(array() as array<{Match}>)")
 
 
-def pairs(words: Column) -> Column:
-    """The set of word bigrams."""
-    rest = F.slice(words, F.lit(2), F.size(words))
-    return F.array_distinct(
-        F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), rest, lambda a, b: F.concat_ws(" ", a, b))
-    )
-
-
 class Scanner:
     """Column expressions for a list of templates."""
 
     def __init__(self, templates, least: float):
         self.least, self.names = least, sorted({n for n, _ in templates})
         self.templates = [(n, s, len(s) * least / (2 - least), len(s) * (2 - least) / least) for n, s in templates]
-        self.low = min(lo for *_, lo, _ in self.templates)
-        self.high = max(hi for *_, hi in self.templates)
         self.bigrams = sorted(set().union(*(s for _, s in templates)))
         self.anchors = sorted(set().union(*(anchors_of(s, least) for _, s in templates)))
 
-    def lines(self, text: Column) -> Column:
-        """(line, words) of each line that has words."""
-        all_lines = F.transform(
-            F.split(text, "\n", -1),
-            lambda x, i: F.struct(
-                i.alias("line"),
-                F.filter(F.split(F.regexp_replace(x, SIGNS, " "), " "), lambda w: w != "").alias("words"),
-            ),
-        )
-        return F.filter(all_lines, lambda x: F.size(x["words"]) > 0)
-
-    def compared(self, words: Column, first: Column, last: Column) -> Column:
-        """What a run of lines is like: the templates within the bounds of size that reach the least coefficient."""
-        n = F.size(words) - 1
-
-        def against(own: Column) -> Column:
-            found = []
-            for name, bigrams, lo, hi in self.templates:
-                shared = F.size(F.array_intersect(own, F.array(*map(F.lit, bigrams))))
-                dice = F.when(n.between(lo, hi), 2.0 * shared / (F.size(own) + len(bigrams))).otherwise(F.lit(0.0))
-                found.append(
-                    F.struct(
-                        F.lit(name).alias("license"),
-                        F.round(dice, 9).alias("dice"),
-                        first.alias("first_line"),
-                        last.alias("last_line"),
-                    )
-                )
-            return F.filter(F.array(*found), lambda x: x["dice"] >= self.least)
-
-        return let(pairs(words), against)
-
-    def around(self, lines: Column, place: Column) -> Column:
-        """Matches of the runs that hold line ``place`` (from 1): no line farther than the largest size can matter."""
-        reach = int(self.high) + 1
-        begin = F.greatest(place - reach, F.lit(1))
-        near = F.slice(lines, begin, place - begin + 1 + reach)
-
-        def within(near: Column) -> Column:
-            center = place - begin
-            sums = F.aggregate(
-                near,
-                F.array(F.lit(0)),
-                lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + F.size(x["words"]))),
-            )
-
-            def from_sums(sums: Column) -> Column:
-                def bigrams(a: Column, b: Column) -> Column:
-                    return F.get(sums, b + 1) - F.get(sums, a) - 1
-
-                def run(a: Column, b: Column) -> Column:
-                    words = F.flatten(F.transform(F.slice(near, a + 1, b - a + 1), lambda x: x["words"]))
-                    return self.compared(words, F.get(near, a)["line"], F.get(near, b)["line"])
-
-                def ending(a: Column) -> Column:
-                    ends = F.filter(
-                        F.sequence(center, F.size(near) - 1), lambda b: bigrams(a, b).between(self.low, self.high)
-                    )
-                    return F.flatten(F.transform(ends, lambda b: run(a, b)))
-
-                starts = F.filter(F.sequence(F.lit(0), center), lambda a: bigrams(a, center) <= self.high)
-                return F.flatten(F.transform(starts, ending))
-
-            return let(sums, from_sums)
-
-        return let(near, within)
-
-    def in_lines(self, text: Column) -> Column:
-        anchors = F.array(*map(F.lit, self.anchors))
-
-        def of_lines(lines: Column) -> Column:
-            marked = F.filter(
-                F.sequence(F.lit(1), F.size(lines)),
-                lambda i: F.arrays_overlap(F.get(lines, i - 1)["words"], anchors),
-            )
-            return F.flatten(F.transform(marked, lambda i: self.around(lines, i)))
-
-        def best(found: Column) -> Column:
-            def of(name: str) -> Column:
-                own = F.filter(found, lambda x: x["license"] == name)
-                order = F.transform(own, lambda x: F.struct(x["dice"], -x["first_line"], -x["last_line"], x.alias("match")))
-                return F.array_max(order)["match"]
-
-            return F.filter(F.array(*map(of, self.names)), lambda x: x.isNotNull())
-
-        return let(self.lines(text), lambda x: F.when(F.size(x) > 0, let(of_lines(x), best)).otherwise(no_matches()))
-
     def words(self, text: Column) -> Column:
         """(line, word) of each word, in order."""
 
@@ -253,28 +179,27 @@ class Scanner:
 
     def runs(self, pairs: Column, marks: Column, name: str, bigrams: list[str], lo: float, hi: float) -> Column:
         """Matches of one template; ``marks`` are the pairs that it has, in order."""
+        least, last = ceil(lo), F.size(marks) - 1
+        span = lambda i, j: F.get(marks, j)["at"] - F.get(marks, i)["at"] + 1
 
         def starting(i: Column) -> Column:
-            a = F.get(marks, i)
-            # as marks are at different places, no end within the bounds is farther
-            ends = F.sequence(i, F.least(i + int(hi), F.size(marks) - 1))
-            span = lambda j: F.get(marks, j)["at"] - a["at"] + 1
-
             def match(j: Column) -> Column:
                 shared = F.size(F.array_distinct(F.slice(marks, i + 1, j - i + 1)["pair"]))
-                own = F.size(F.array_distinct(F.slice(pairs, a["at"] + 1, span(j))["pair"]))
+                own = F.size(F.array_distinct(F.slice(pairs, F.get(marks, i)["at"] + 1, span(i, j))["pair"]))
                 return F.struct(
                     F.lit(name).alias("license"),
                     F.round(2.0 * shared / (own + len(bigrams)), 9).alias("dice"),
-                    a["first"].alias("first_line"),
+                    F.get(marks, i)["first"].alias("first_line"),
                     F.get(marks, j)["last"].alias("last_line"),
                 )
 
-            # no run of fewer marks than the lower bound shares enough
-            ends = F.filter(ends, lambda j: (j - i + 1 >= lo) & span(j).between(lo, hi))
+            # as marks are at different places, no end within the bounds is farther
+            ends = F.filter(F.sequence(i + least - 1, F.least(i + int(hi), last)), lambda j: span(i, j) <= hi)
             return F.filter(F.transform(ends, match), lambda x: x["dice"] >= self.least)
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(marks) - 1), starting))
+        # no run of fewer marks than the lower bound shares enough
+        starts = F.filter(F.sequence(F.lit(0), last - least + 1), lambda i: span(i, i + least - 1) <= hi)
+        return F.flatten(F.transform(starts, starting))
 
     def best(self, found: Column) -> Column:
         order = F.transform(found, lambda x: F.struct(x["dice"], -x["first_line"], -x["last_line"], x.alias("match")))
@@ -293,6 +218,7 @@ class Scanner:
         return self.best(F.filter(found, lambda x: x["license"] == name))
 
     def in_words(self, text: Column) -> Column:
+        """The best run of words of each licence, by licence."""
         def of_pairs(pairs: Column) -> Column:
             def of_hits(hits: Column) -> Column:
                 found = [self.of_template(pairs, hits, *t) for t in self.templates]
@@ -310,16 +236,6 @@ class Scanner:
 
         return let(self.words(text), of_words)
 
-    def notices(self, text: Column) -> Column:
-        """Of each licence the best run of lines, or else the best run of words."""
-
-        def merged(lines: Column) -> Column:
-            have = F.transform(lines, lambda x: x["license"])
-            more = F.filter(self.in_words(text), lambda x: ~F.array_contains(have, x["license"]))
-            return F.array_sort(F.concat(lines, more))
-
-        return let(self.in_lines(text), merged)
-
 
 def scan(df: DataFrame, keep: list[str], text: str = "text", templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """Columns ``keep`` of each row and ``notices``: for each licence found the best run, as an array of
@@ -328,5 +244,5 @@ def scan(df: DataFrame, keep: list[str], text: str = "text", templates=TEMPLATES
     marked = r"(?<![\p{L}\p{N}])(?:" + "|".join(scanner.anchors) + r")(?![\p{L}\p{N}])"
     kept = [F.col(c).alias(f"_{i}_keep") for i, c in enumerate(keep)]
     rows = df.select(*kept, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    notices = F.when(F.col("_text").rlike(marked), scanner.notices(F.col("_text"))).otherwise(no_matches())
+    notices = F.when(F.col("_text").rlike(marked), scanner.in_words(F.col("_text"))).otherwise(no_matches())
     return rows.select(*(F.col(f"_{i}_keep").alias(c) for i, c in enumerate(keep)), notices.alias("notices"))

@@ -159,15 +159,15 @@ def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _license_check() -> str:
-    """The same over all runs of lines, without anchors."""
+    """The same over all runs between bigrams of a template, without anchors."""
     rows, least = [], license_scan.LEAST
-    for name, text in license_scan.TEMPLATES:
+    for place, (name, text) in enumerate(license_scan.TEMPLATES):
         bigrams = license_scan.bigrams_of(text)
         listed = ", ".join(f"'{b}'" for b in bigrams)
         size = len(bigrams)
-        rows.append(f"('{name}', [{listed}], {size * least / (2 - least)!r}, {size * (2 - least) / least!r})")
+        rows.append(f"({place}, '{name}', [{listed}], {size * least / (2 - least)!r}, {size * (2 - least) / least!r})")
     return f"""
-with templates(license, bigrams, low, high) as (values {", ".join(rows)}
+with templates(template, license, bigrams, low, high) as (values {", ".join(rows)}
 ), lines as (
     select doc_id, unnest(string_split(lower(coalesce(text, '')), chr(10))) as line,
            generate_subscripts(string_split(lower(coalesce(text, '')), chr(10)), 1) - 1 as place
@@ -176,25 +176,28 @@ with templates(license, bigrams, low, high) as (values {", ".join(rows)}
     select doc_id, place, list_filter(string_split(regexp_replace(line, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '),
                                       lambda w: w <> '') as words
     from lines
-), counted as (
-    select *, sum(len(words)) over (partition by doc_id order by place) as upto from worded where len(words) > 0
+), words as (
+    select doc_id, place, generate_subscripts(words, 1) as k, unnest(words) as word from worded
+), ordered as (
+    select doc_id, place, word, row_number() over (partition by doc_id order by place, k) as spot from words
+), pairs as (
+    select doc_id, spot, word || ' ' || lead(word) over w as pair, place as first_line, lead(place) over w as last_line
+    from ordered window w as (partition by doc_id order by spot)
+), marks as (
+    select doc_id, spot, first_line, last_line, template,
+           row_number() over (partition by doc_id, template order by spot) as mark
+    from pairs join (select template, unnest(bigrams) as pair from templates) using (pair)
 ), runs as (
-    select a.doc_id, a.place as first_line, b.place as last_line, b.upto - a.upto + len(a.words) - 1 as n
-    from counted a join counted b on a.doc_id = b.doc_id and b.place >= a.place
-    where b.upto - a.upto + len(a.words) - 1
-          between (select min(low) from templates) and (select max(high) from templates)
-), texts as (
-    select r.doc_id, r.first_line, r.last_line, r.n, flatten(list(c.words order by c.place)) as words
-    from runs r join counted c on c.doc_id = r.doc_id and c.place between r.first_line and r.last_line
-    group by all
-), sets as (
-    select doc_id, first_line, last_line, n,
-           list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) as own
-    from texts
+    select a.doc_id, template, a.spot as a, b.spot as b, a.first_line, b.last_line
+    from marks a join marks b using (doc_id, template) join templates t using (template)
+    where b.spot >= a.spot and b.spot - a.spot + 1 <= t.high and b.mark - a.mark + 1 >= t.low
 ), compared as (
-    select doc_id, license, first_line, last_line,
-           round(2.0 * len(list_intersect(own, bigrams)) / (len(own) + len(bigrams)), 9) as dice
-    from sets join templates on n between low and high
+    select r.doc_id, license, first_line, last_line,
+           round(2.0 * count(distinct pair) filter (list_contains(bigrams, pair)) / (count(distinct pair) + len(bigrams)), 9) as dice
+    from (select doc_id, template, a, b, first_line, last_line from runs) r
+    join (select doc_id, spot, pair from pairs) p on p.doc_id = r.doc_id and p.spot between r.a and r.b
+    join templates using (template)
+    group by r.doc_id, template, license, bigrams, a, b, first_line, last_line
 ), best as (
     select doc_id, license, dice, first_line, last_line from compared where dice >= {least}
     qualify row_number() over (partition by doc_id, license order by dice desc, first_line, last_line) = 1
