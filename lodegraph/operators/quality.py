@@ -140,7 +140,6 @@ def edges_sound(
     nodes: DataFrame, edges: DataFrame, evidence: DataFrame, derivations: DataFrame, producers: DataFrame
 ) -> DataFrame:
     """Endpoints exist, the id recomputes, there is evidence, an observation and a declared producer; V8."""
-    key = ["snapshot_id", "edge_id"]
 
     def ends(side: str) -> DataFrame:
         found = nodes.select(
@@ -149,21 +148,53 @@ def edges_sound(
         return edges.join(found, ["snapshot_id", f"{side}_key", f"{side}_kind"], "left_anti")
 
     wrong_id = edges.where(F.col("edge_id") != identity.edge_id("subject_key", "predicate", "object_key"))
-    no_evidence = edges.join(_parents(evidence, "edge", "edge_id").distinct(), key, "left_anti")
-    seen = derivations.where("parent_kind = 'edge' AND ref_kind = 'observation'").select(
-        "snapshot_id", F.col("parent_id").alias("edge_id")
-    )
-    no_source = edges.join(seen.distinct(), key, "left_anti")
     unknown = undeclared(edges, producers, F.concat_ws("@", "producer", "producer_version"))
     parts = (
         (ends("subject"), "subject"),
         (ends("object"), "object"),
         (wrong_id, "identity"),
-        (no_evidence, "no evidence"),
-        (no_source, "no source observation"),
         (unknown, "producer not declared"),
     )
-    return union_all([_violations(df, "V8", "edge_id", detail) for df, detail in parts])
+    unsupported = _unsupported(edges, evidence, derivations)
+    return union_all([*(_violations(df, "V8", "edge_id", detail) for df, detail in parts), unsupported])
+
+
+def _packed(key: str) -> Column:
+    """Ids of the published form as their 32 bytes, others as they are, told apart by the first byte."""
+    published = F.concat(F.unhex(F.lit("01")), F.unhex(F.substring(key, 13, 64)))
+    plain = F.concat(F.unhex(F.lit("00")), F.encode(key, "utf-8"))
+    return F.when(F.col(key).rlike("^edge:sha256:[0-9a-f]{64}\\z"), published).otherwise(plain)
+
+
+def _unpacked(key: str) -> Column:
+    rest = F.substring(key, 2, 2_147_483_647)
+    published = F.concat(F.lit("edge:sha256:"), F.lower(F.hex(rest)))
+    return F.when(F.substring(key, 1, 1) == F.unhex(F.lit("01")), published).otherwise(F.decode(rest, "utf-8"))
+
+
+def _unsupported(edges: DataFrame, evidence: DataFrame, derivations: DataFrame) -> DataFrame:
+    """V8 rows of edges without evidence or without an observation, one for each row of the edge.
+
+    Edges, evidence and derivations meet once, as short rows counted by edge id.
+    """
+    named = "parent_kind = 'edge' AND parent_id IS NOT NULL AND snapshot_id IS NOT NULL"
+    sources = derivations.where(named).where("ref_kind = 'observation'")
+    stacks = (
+        edges.select("snapshot_id", _packed("edge_id").alias("_id"), F.lit(0).alias("_what")),
+        evidence.where(named).select("snapshot_id", _packed("parent_id").alias("_id"), F.lit(1).alias("_what")),
+        sources.select("snapshot_id", _packed("parent_id").alias("_id"), F.lit(2).alias("_what")),
+    )
+    counts = [F.count_if(F.col("_what") == i).alias(name) for i, name in enumerate(("_edges", "_evidence", "_sources"))]
+    met = union_all(list(stacks)).groupBy("snapshot_id", "_id").agg(*counts)
+    lacking = F.array_compact(
+        F.array(
+            F.when(F.col("_evidence") == 0, F.lit("no evidence")),
+            F.when(F.col("_sources") == 0, F.lit("no source observation")),
+        )
+    )
+    bad = met.where("_edges > 0 AND (_evidence = 0 OR _sources = 0)").withColumn("_d", F.explode(lacking))
+    bad = bad.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), "_edges")))
+    return _violations(bad, "V8", _unpacked("_id"), F.col("_d"))
 
 
 def recomputed_assertion_ids(assertions: DataFrame, derivations: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Every seal rule with a passing snapshot and one violation each; hashes ignore order."""
 
 import datetime
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,3 +181,32 @@ def test_snapshots_do_not_share_a_hash(sound):
     rows = hashing.graph_hash(both).collect()
     # the snapshot id itself takes no part in the hash
     assert len(rows) == 2 and rows[0].canonical_graph_hash == rows[1].canonical_graph_hash
+
+
+def test_edge_support_meets_once(spark):
+    """Repeated edges, ids of other forms and null ids, as by one anti-join for each rule."""
+    good = "edge:sha256:" + "ab" * 32
+    ids = [good, good, good.upper(), good + "\n", "edge:sha256:" + "0f" * 32, "e1", "", None]
+    edges = spark.createDataFrame(
+        [("s" if i % 3 else None, x, "n", "a", "imports", "n", "b", "p", "1") for i, x in enumerate(ids * 2)],
+        "snapshot_id string, edge_id string, subject_kind string, subject_key string, predicate string, object_kind string,"
+        " object_key string, producer string, producer_version string",
+    )
+    evidence = spark.createDataFrame(
+        [("s", "edge", good), ("s", "edge", good), ("s", "edge", None), (None, "edge", "e1"), ("s", "node", "e1"), ("s", "edge", "")],
+        "snapshot_id string, parent_kind string, parent_id string",
+    )
+    derivations = evidence.select("*", F.lit("observation").alias("ref_kind")).where("parent_id <> ''")
+    nodes = spark.createDataFrame([("s", "a", "n")], "snapshot_id string, stable_key string, node_kind string")
+    producers = spark.createDataFrame([("s", "p@1")], "snapshot_id string, producer string")
+    want = []
+    for rows, detail in ((evidence, "no evidence"), (derivations, "no source observation")):
+        known = {(r.snapshot_id, r.parent_id) for r in rows.collect() if r.parent_kind == "edge"}
+        for e in edges.collect():
+            if None in (e.snapshot_id, e.edge_id) or (e.snapshot_id, e.edge_id) not in known:
+                want.append((str(e.snapshot_id), str(e.edge_id), detail))
+    found = quality.edges_sound(nodes, edges, evidence, derivations, producers)
+    got = [(str(r.snapshot_id), str(r.key), r.detail) for r in found.where("detail LIKE 'no %'").collect()]
+    assert sorted(got) == sorted(want)
+    # the ends and the producer are looked up; evidence and observations are not joined one after the other
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftAnti") == 3
