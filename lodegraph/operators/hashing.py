@@ -19,15 +19,18 @@ LEVELS = (6, 3, 0)
 
 
 def tree_digest(records: DataFrame, keys: list[str], text: str = "record") -> DataFrame:
-    """One digest per key over the set of its record texts."""
-    level = records.select(*keys, F.sha2(F.col(text), 256).alias("_h"))
-    level = level.withColumn("_p", F.col("_h"))
+    """One digest per key over the set of its record texts.
+
+    Hashes travel as 32 bytes, once: leaves are dealt out by their prefix, and repeated records go where they meet.
+    """
+    hashed = records.select(*keys, F.sha2(F.col(text), 256).alias("_h"))
+    prefixed = hashed.select(*keys, F.substring("_h", 1, LEVELS[0]).alias("_p"), F.unhex("_h").alias("_h"))
+    level = prefixed.repartition(*keys, "_p").distinct().withColumn("_h", F.lower(F.hex("_h")))
     for digits in LEVELS:
-        # collecting a set also drops repeated records, map-side first
         level = (
             level.withColumn("_p", F.substring("_p", 1, digits))
             .groupBy(*keys, "_p")
-            .agg(F.sha2(F.array_join(F.array_sort(F.collect_set("_h")), ""), 256).alias("_h"))
+            .agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_h"))
         )
     return level.select(*keys, F.concat(F.lit("sha256:"), "_h").alias("digest"))
 

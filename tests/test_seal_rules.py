@@ -210,3 +210,30 @@ def test_edge_support_meets_once(spark):
     assert sorted(got) == sorted(want)
     # the ends and the producer are looked up; evidence and observations are not joined one after the other
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftAnti") == 3
+
+
+def test_tree_digest_deals_out_each_record_once_as_bytes(spark):
+    records = spark.createDataFrame([("a", f"r{i % 40}") for i in range(80)] + [("b", "x")], "k string, record string")
+    want = {}
+    for key in ("a", "b"):
+        level = {hashlib.sha256(r.record.encode()).hexdigest() for r in records.collect() if r.k == key}
+        level = [(h, h) for h in level]
+        for digits in hashing.LEVELS:
+            groups = {}
+            for prefix, h in level:
+                groups.setdefault(prefix[:digits], []).append(h)
+            level = [(p, hashlib.sha256("".join(sorted(hs)).encode()).hexdigest()) for p, hs in groups.items()]
+        want[key] = "sha256:" + level[0][1]
+    found = hashing.tree_digest(records, ["k"])
+    assert {r.k: r.digest for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex" in plan and "RepartitionByExpression" in plan
+
+
+def test_digest_query_sets_no_number_of_partitions(spark):
+    from lodegraph.queries import catalog
+
+    found = catalog.QUERIES["h2_digest_ignores_order"](spark, "/root/testdata/sf0.001")
+    assert "hashpartitioning(reverse" in (plan := found._jdf.queryExecution().sparkPlan().toString()) or "REPARTITION_BY_COL" in plan
+    assert "REPARTITION_BY_NUM" not in plan
+    assert [r.same for r in found.collect()] == [True] * 3
