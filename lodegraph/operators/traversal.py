@@ -1,5 +1,7 @@
 """Graph walks over an edge table (subject_key, predicate, object_key, edge_id).
 
+Edges may come without ids, which then follow from the rest of an edge and are made for the result only.
+
 Each level is one join of the frontier with the edges.  A level is checkpointed
 so that the plan does not grow with the depth; the driver only sees counts.
 """
@@ -7,7 +9,8 @@ so that the plan does not grow with the depth; the driver only sees counts.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.session import checkpoint
+from lodegraph.functions import identity
+from lodegraph.session import checkpoint, dealt, forget
 
 IMPACT_PREDICATES = ("depends_on", "imports")
 
@@ -32,7 +35,8 @@ def impact(
     """
     near, far = ("subject_key", "object_key") if direction == "outbound" else ("object_key", "subject_key")
     spark = edges.sparkSession
-    usable = checkpoint(edges.where(F.col("predicate").isin(*predicates)).select(*EDGE_ORDER).repartition(near))
+    order = [c for c in EDGE_ORDER if c in edges.columns]
+    usable = dealt(edges.where(F.col("predicate").isin(*predicates)).select(*order), near, "edges")
     frontier = spark.range(1).select(F.lit(start).alias("_key"))
     visited, steps, total, level = frontier, None, 0, 0
     while depth is None or level < depth:
@@ -40,7 +44,7 @@ def impact(
         found = checkpoint(
             usable.join(frontier, usable[near] == F.col("_key"), "left_semi")
             .groupBy(F.col(far).alias("node_key"))
-            .agg(F.min(F.struct(*EDGE_ORDER)).alias("edge"))
+            .agg(F.min(F.struct(*order)).alias("edge"))
             .join(visited, F.col("node_key") == visited["_key"], "left_anti")
         )
         size = found.count()
@@ -53,12 +57,15 @@ def impact(
         visited = visited.unionByName(frontier)
         if level % COMPACT_EVERY == 0:
             visited = checkpoint(visited)
+    forget(usable)
     if steps is None:
         return spark.createDataFrame([], "depth int, node_key string, edge_id string, limit_reached boolean")
     reached = limit is not None and total > limit
     if reached:
         steps = steps.orderBy("depth", "edge").limit(limit)
-    return steps.select("depth", "node_key", F.col("edge.edge_id").alias("edge_id"), F.lit(reached).alias("limit_reached"))
+    made = identity.edge_id("edge.subject_key", "edge.predicate", "edge.object_key")
+    edge_id = F.col("edge.edge_id") if "edge_id" in order else made
+    return steps.select("depth", "node_key", edge_id.alias("edge_id"), F.lit(reached).alias("limit_reached"))
 
 
 def impact_both(
@@ -77,9 +84,10 @@ def impact_both(
 def descendants(edges: DataFrame, roots: DataFrame, near: str = "subject_key", far: str = "object_key") -> DataFrame:
     """All (root, node) pairs reachable from the given roots, any number of levels.
 
-    ``roots`` has one column ``root``.  Semi-naive: only new pairs are extended.
+    ``roots`` has one column ``root``.  Semi-naive: only new pairs are extended.  The links are stored once, dealt out
+    by the end that a level looks up.
     """
-    links = edges.select(F.col(near).alias("_from"), F.col(far).alias("_to")).distinct()
+    links = dealt(edges.select(F.col(near).alias("_from"), F.col(far).alias("_to")), "_from", "links")
     fresh = checkpoint(roots.select("root", F.col("root").alias("node")).distinct())
     known, levels = fresh, 0
     while True:
@@ -91,6 +99,7 @@ def descendants(edges: DataFrame, roots: DataFrame, near: str = "subject_key", f
         )
         fresh = checkpoint(step)
         if fresh.isEmpty():
+            forget(links)
             return known
         # every level is stored already; the union is only rewritten when it gets long
         known, levels = known.unionByName(fresh), levels + 1
@@ -100,9 +109,7 @@ def descendants(edges: DataFrame, roots: DataFrame, near: str = "subject_key", f
 
 def subtree(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Everything reachable from each root plus the root's direct dependents."""
-    dependents = (
-        edges.select(F.col("object_key").alias("root"), F.col("subject_key").alias("node"))
-        .distinct()
-        .join(roots.select("root").distinct(), "root", "left_semi")
+    dependents = edges.select(F.col("object_key").alias("root"), F.col("subject_key").alias("node")).join(
+        roots.select("root").distinct(), "root", "left_semi"
     )
     return descendants(edges, roots).unionByName(dependents).distinct()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.operators.resolve import union_all
 from lodegraph.operators.traversal import COMPACT_EVERY
-from lodegraph.session import checkpoint
+from lodegraph.session import checkpoint, dealt, forget
 
 GUARD, TARGETS = "auth_dependency", ("service", "model")
 
@@ -36,12 +36,13 @@ def guard_paths(edges: DataFrame, guards: DataFrame) -> list[DataFrame]:
     ``rank`` grows in queue order among the nodes of a guard on a level: by the parent's rank, then by node.  So a node
     is found first by its parent of least rank, and a row is as short on a deep level as on the first.  Ranks come from
     range-partitioned, sorted rows, which also spreads a guard with most of the nodes over tasks.  The calls are stored
-    once, dealt out by the caller that a level looks up.
+    once, dealt out by the caller that a level looks up.  Edges may come without ``edge_id``; levels then have none.
     """
+    ids = [c for c in edges.columns if c == "edge_id"]
     calls = edges.where("predicate = 'calls'").select(
-        F.col("subject_key").alias("parent"), F.col("object_key").alias("node"), "edge_id"
+        F.col("subject_key").alias("parent"), F.col("object_key").alias("node"), *ids
     )
-    calls = checkpoint(calls.repartition("parent"))
+    calls = dealt(calls, "parent", "calls")
     start = guards.select("guard").distinct()
     fresh = checkpoint(start.select("guard", F.col("guard").alias("node"), F.lit(0).cast("bigint").alias("rank")))
     visited, levels = fresh.select("guard", "node"), []
@@ -50,7 +51,7 @@ def guard_paths(edges: DataFrame, guards: DataFrame) -> list[DataFrame]:
             fresh.select("guard", F.col("node").alias("parent"), F.col("rank").alias("above"))
             .join(calls, "parent")
             .groupBy("guard", "node")
-            .agg(F.min(F.struct("above", "parent", "edge_id")).alias("_f"))
+            .agg(F.min(F.struct("above", "parent", *ids)).alias("_f"))
             .join(visited, ["guard", "node"], "left_anti")
             .select("guard", "node", "_f.*")
         )
@@ -59,6 +60,7 @@ def guard_paths(edges: DataFrame, guards: DataFrame) -> list[DataFrame]:
         # the ids of sorted ranges grow from range to range, with gaps; stored, as a second run may cut elsewhere
         fresh = checkpoint(placed.withColumn("rank", F.monotonically_increasing_id()).drop("above"))
         if fresh.isEmpty():
+            forget(calls)
             return levels
         levels.append(fresh.withColumn("depth", F.lit(len(levels) + 1)))
         visited = visited.unionByName(fresh.select("guard", "node"))
@@ -82,8 +84,9 @@ def used_hops(levels: list[DataFrame], roles: DataFrame) -> DataFrame:
     if not used:
         empty = "guard string, subject_key string, object_key string, edge_id string, depth int"
         return roles.sparkSession.createDataFrame([], empty)
+    ids = [c for c in levels[0].columns if c == "edge_id"]
     return union_all(used).select(
-        "guard", F.col("parent").alias("subject_key"), F.col("node").alias("object_key"), "edge_id", "depth"
+        "guard", F.col("parent").alias("subject_key"), F.col("node").alias("object_key"), *ids, "depth"
     )
 
 

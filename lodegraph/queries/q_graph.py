@@ -6,7 +6,7 @@ from lodegraph.operators import traversal
 from lodegraph.plans import guards
 from lodegraph.queries import bindings as b
 from lodegraph.queries.registry import query
-from lodegraph.session import checkpoint
+from lodegraph.session import written
 
 
 def _impact_sql(start: str, near: str, far: str) -> str:
@@ -25,14 +25,19 @@ def _impact_sql(start: str, near: str, far: str) -> str:
     return f"""{head}{body} SELECT depth, node_key, edge_id, false AS limit_reached FROM ({rows})"""
 
 
+def _plain_edges(spark, folder):
+    """Edges without their ids, which the operators make for the rows that they return."""
+    return b.edges(spark, folder).drop("edge_id")
+
+
 @query("g1_impact_inbound", _impact_sql("region:0", "object_key", "subject_key"))
 def impact_inbound(spark, folder):
-    return traversal.impact(b.edges(spark, folder), "region:0", "inbound")
+    return traversal.impact(_plain_edges(spark, folder), "region:0", "inbound")
 
 
 @query("g1_impact_outbound", _impact_sql("order:1", "subject_key", "object_key"))
 def impact_outbound(spark, folder):
-    return traversal.impact(b.edges(spark, folder), "order:1", "outbound")
+    return traversal.impact(_plain_edges(spark, folder), "order:1", "outbound")
 
 
 @query(
@@ -40,7 +45,7 @@ def impact_outbound(spark, folder):
     "SELECT 'inbound' AS direction, * FROM (" + _impact_sql("nation:3", "object_key", "subject_key") + ") UNION ALL SELECT 'outbound', * FROM (" + _impact_sql("nation:3", "subject_key", "object_key") + ")",
 )
 def impact_both(spark, folder):
-    return traversal.impact_both(b.nodes(spark, folder), b.edges(spark, folder), "nation:3")
+    return traversal.impact_both(b.nodes(spark, folder), _plain_edges(spark, folder), "nation:3")
 
 
 @query(
@@ -58,21 +63,22 @@ def subtree(spark, folder):
 
 def _guard_graph(spark, folder):
     """Orders route to customers, customers inject nations, nations call suppliers, suppliers call parts."""
-    edges = b.edges(spark, folder)
+    edges = _plain_edges(spark, folder)
 
     def pick(subject, obj, predicate, flip):
         rows = edges.where((F.col("subject_kind") == subject) & (F.col("object_kind") == obj))
         ends = ("object_key", "subject_key") if flip else ("subject_key", "object_key")
         return rows.select(
-            F.col(ends[0]).alias("subject_key"), F.lit(predicate).alias("predicate"), F.col(ends[1]).alias("object_key"), "edge_id"
+            F.col(ends[0]).alias("subject_key"), F.lit(predicate).alias("predicate"), F.col(ends[1]).alias("object_key")
         )
 
     # sealed edges are a stored table that every level of the walk scans
-    graph = checkpoint(
+    graph = written(
         pick("order", "customer", "routes_to", False)
         .unionByName(pick("customer", "nation", "injects", False))
         .unionByName(pick("supplier", "nation", "calls", True))
-        .unionByName(pick("part", "supplier", "calls", True))
+        .unionByName(pick("part", "supplier", "calls", True)),
+        "guard-graph",
     )
     nations = b.table(spark, folder, "nation").where("n_regionkey < 3")
     parts = b.table(spark, folder, "part").where("p_type = 'PROMO'")
@@ -112,7 +118,7 @@ def guard_anchors(spark, folder):
 def guard_hops(spark, folder):
     graph, roles, tests, _ = _guard_graph(spark, folder)
     found = guards.anchors(graph, roles, tests)
-    return guards.used_hops(guards.guard_paths(graph, found), roles).drop("edge_id")
+    return guards.used_hops(guards.guard_paths(graph, found), roles)
 
 
 @query(

@@ -63,3 +63,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     folder = scratch_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def dealt(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` stored below the checkpoint folder in buckets of ``key``: joins on the key shuffle their other side only.
+
+    ``forget`` takes the table's name out of the catalog again; its files stay, like those of ``written``.
+    """
+    import uuid
+
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", scratch_folder(spark, name))
+    writer.format("parquet").saveAsTable(table)
+    found = spark.table(table)
+    found.dealt_name = table
+    return found
+
+
+def forget(df: DataFrame) -> None:
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.dealt_name}")

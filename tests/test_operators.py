@@ -5,6 +5,7 @@ from collections import Counter, deque
 
 from pyspark.sql import functions as F
 
+from lodegraph.functions import identity
 from lodegraph.operators import facts, lineage, ranking, resolve, scoring, traversal
 from lodegraph.plans import guards
 
@@ -283,3 +284,14 @@ def test_sources_of_lineages(spark):
 
     df = spark.createDataFrame([(u,) for u in cases], "url string").select("url", lineage.source_key("url").alias("k"))
     assert {r.url: r.k for r in df.collect()} == cases
+
+
+def test_walks_make_the_published_ids_of_edges_without_ids(spark):
+    edges = edge_table(spark, [("a", "b"), ("b", "c")])
+    named = edges.withColumn("edge_id", identity.edge_id("subject_key", "predicate", "object_key"))
+    got, want = (sorted(map(tuple, traversal.impact(e, "a", "outbound").collect())) for e in (edges.drop("edge_id"), named))
+    assert got == want and len(got) == 2
+    calls = edge_table(spark, [("g", "b"), ("b", "m")], "calls").drop("edge_id")
+    levels = guards.guard_paths(calls, spark.createDataFrame([("g",)], "guard string"))
+    hops = guards.used_hops(levels, spark.createDataFrame([("m", "model")], "key string, role string"))
+    assert {(r.subject_key, r.object_key, r.depth) for r in hops.collect()} == {("g", "b", 1), ("b", "m", 2)}
