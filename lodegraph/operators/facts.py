@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.functions import identity
 from lodegraph.operators.ranking import first_per_key
 
 
@@ -33,12 +34,21 @@ def visible_edges(edges: DataFrame, focus: str | None = None) -> DataFrame:
 
 
 def edge_list(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with the names of both ends, in their order; an end without a name goes by its key."""
+    """Edges with the names of both ends, in their order; an end without a name goes by its key.
+
+    Edges may come without ids; these are made after the joins then, and sorted as bytes, which sort as their text does.
+    """
+    made = "edge_id" not in edges.columns
     named = nodes.select("stable_key", "name")
     for end, out in (("subject_key", "source"), ("object_key", "target")):
         names = named.select(F.col("stable_key").alias(end), F.col("name").alias(out))
         edges = edges.join(names, end, "left").withColumn(out, F.coalesce(out, end))
-    return edges.orderBy("source", "target", "edge_id")
+    if not made:
+        return edges.orderBy("source", "target", "edge_id")
+    prefix = "edge:sha256:"
+    digest = F.substring(identity.edge_id("subject_key", "predicate", "object_key"), len(prefix) + 1, 64)
+    listed = edges.withColumn("_digest", F.unhex(digest)).orderBy("source", "target", "_digest")
+    return listed.withColumn("edge_id", F.concat(F.lit(prefix), F.lower(F.hex("_digest")))).drop("_digest")
 
 
 # Severities from the gravest on.

@@ -326,7 +326,7 @@ def edge_list_view(spark, folder):
       FROM edges e LEFT JOIN nodes s ON s.stable_key=e.subject_key LEFT JOIN nodes o ON o.stable_key=e.object_key""",
 )
 def edge_list_by_names(spark, folder):
-    return facts.edge_list(b.nodes(spark, folder), b.edges(spark, folder)).select("edge_id", "source", "target")
+    return facts.edge_list(b.nodes(spark, folder), b.edges(spark, folder).drop("edge_id")).select("edge_id", "source", "target")
 
 
 @query(

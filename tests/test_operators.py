@@ -295,3 +295,12 @@ def test_walks_make_the_published_ids_of_edges_without_ids(spark):
     levels = guards.guard_paths(calls, spark.createDataFrame([("g",)], "guard string"))
     hops = guards.used_hops(levels, spark.createDataFrame([("m", "model")], "key string, role string"))
     assert {(r.subject_key, r.object_key, r.depth) for r in hops.collect()} == {("g", "b", 1), ("b", "m", 2)}
+
+
+def test_edge_list_makes_ids_after_its_joins(spark):
+    rows = edge_table(spark, [(f"n{i % 7}", f"n{i % 5}") for i in range(35)])
+    named = rows.withColumn("edge_id", identity.edge_id("subject_key", "predicate", "object_key"))
+    nodes = spark.createDataFrame([(f"n{i}", f"same{i % 2}") for i in range(6)], "stable_key string, name string")
+    columns = "source", "target", "edge_id"
+    got, want = (facts.edge_list(nodes, e).select(*columns).collect() for e in (rows.drop("edge_id"), named))
+    assert got == want == sorted(want)
