@@ -64,3 +64,15 @@ def test_rounds_on_long_chains(spark, monkeypatch):
     links += [(3 * size + i, 3 * size + i // 2) for i in range(1, size)]
     assert found(spark, links) == {i: 0 for i in range(size)}
     assert len(rounds) <= 40
+
+
+def test_trees_are_trimmed_before_degrees_are_counted(spark):
+    """What only leads to a cycle or away from it goes by semi-joins that at least halve the links."""
+    from lodegraph.operators import cycles
+
+    rows = [(f"o{i}", f"p{i % 20}") for i in range(200)] + [(f"p{i}", "a") for i in range(20)]
+    rows += [("a", "b"), ("b", "a"), ("b", "x"), ("x", "y"), ("a", "b")]
+    links = spark.createDataFrame(rows, "s string, t string")
+    assert {tuple(r) for r in cycles._trimmed(links).collect()} == {("a", "b"), ("b", "a"), ("b", "x"), ("x", "y")} - {("x", "y")}
+    found = cycles.components(links.toDF("source", "target"))
+    assert {tuple(r) for r in found.collect()} == {("a", "a"), ("b", "a")}
