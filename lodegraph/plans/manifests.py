@@ -60,13 +60,17 @@ def verify(submitted: DataFrame, stored: DataFrame, current: DataFrame) -> DataF
     now = current.select("repository_id", F.col("snapshot_id").alias("_current"))
     marked = submitted.withColumn("_own", F.col("submitted_digest") == digest())
     same = (F.col("repository_id") == F.col("_s_repository_id")) & (F.col("snapshot_id") == F.col("_s_snapshot_id"))
-    joined = marked.join(names, same, "left").join(now, "repository_id", "left")
     differing = F.array_sort(
         F.array_compact(
             F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"_s_{f}")), F.lit(JSON_NAMES[f])) for f in FIELDS])
         )
     )
-    named = F.col("_s_snapshot_id").isNotNull()
+    # compared where the contents meet, so that they do not travel to the current revisions
+    met = marked.join(names, same, "left").select(
+        "submission_id", "repository_id", "_own", "_s_snapshot_id", differing.alias("_differing")
+    )
+    joined = met.join(now, "repository_id", "left")
+    named, differing = F.col("_s_snapshot_id").isNotNull(), F.col("_differing")
     state = (
         F.when(~F.col("_own") | ~named | (F.size(differing) > 0), "mismatch")
         .when(~F.col("_s_snapshot_id").eqNullSafe(F.col("_current")), "superseded")

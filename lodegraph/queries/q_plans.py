@@ -582,16 +582,14 @@ def verified_manifests(spark, folder):
         F.max(F.struct("created_at", "o_orderkey", "snapshot_id"))["snapshot_id"].alias("snapshot_id")
     )
     status = F.col("o_orderstatus")
-    honest = stored.withColumn("honest", manifests.digest()).select("snapshot_id", "honest")
-    # P: the content was changed after export; O: a consistent but invented manifest
-    forged = rows.withColumn("config_hash", F.when(status == "P", "changed")).withColumn(
+    # P: the content was changed after export, with the digest as it was; O: a consistent but invented manifest
+    changed = manifests.build(rows.where(status == "P")).withColumn("submitted_digest", manifests.digest())
+    changed = changed.withColumn("config_hash", F.lit("changed"))
+    other = rows.where(~status.eqNullSafe("P")).withColumn(
         "revision_ref", F.when(status == "O", "refs/heads/other").otherwise(F.col("revision_ref"))
     )
-    body = manifests.build(forged).join(rows.select("snapshot_id", "o_orderstatus"), "snapshot_id").join(honest, "snapshot_id")
-    submitted = body.withColumn(
-        "submitted_digest", F.when(status == "P", F.col("honest")).otherwise(manifests.digest())
-    ).withColumn("submission_id", F.col("snapshot_id"))
-    return manifests.verify(submitted.drop("o_orderstatus", "honest"), stored, current)
+    submitted = changed.unionByName(manifests.build(other).withColumn("submitted_digest", manifests.digest()))
+    return manifests.verify(submitted.withColumn("submission_id", F.col("snapshot_id")), stored, current)
 
 
 @query(

@@ -62,3 +62,11 @@ def test_query_matches_check(spark, connection, name):
     # small tables may leave a rule without rows, so only a difference fails
     good, note = check(spark, FOLDER, name, entry.queries()[name], sql, connection)
     assert good or note.startswith("rows 0 "), note
+
+
+def test_submitted_manifests_are_compared_where_they_meet(spark):
+    """One join with the stored manifests and one with the current revisions; the input takes none."""
+    found = entry.queries()["m12_verified_manifests"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
+    assert {r.state for r in found.select("state").distinct().collect()} == {"mismatch", "superseded", "verified"}
