@@ -69,7 +69,10 @@ def module_folders(members: DataFrame) -> DataFrame:
 
 
 def _ends(edges: DataFrame, members: DataFrame, edge_evidence: DataFrame, node_evidence: DataFrame) -> DataFrame:
-    """(edge_id, side, node_id) for both sides of the edges, in one pass.
+    """(edge_id, side, node_id, folder, alone) for both sides of the edges, in one pass.
+
+    An end is a node, or a folder that stands for the modules with files below it; the other column is null.  ``alone``
+    says that the side has no other end.
 
     Each side asks for files or folders by level: what the edge's own evidence says (of subjects only), without any
     what the node's evidence says, and if no file answers, the folder that the key names.
@@ -109,28 +112,34 @@ def _ends(edges: DataFrame, members: DataFrame, edge_evidence: DataFrame, node_e
             asking(sides.where(other), "folder", F.col("path"), 2),
         ]
     ).where("value IS NOT NULL")
-    places = members.select(F.lit("file").alias("what"), F.col("path").alias("value"), F.col("module_id").alias("node_id"))
-    folders = module_folders(members).select(
-        F.lit("folder").alias("what"), F.col("folder").alias("value"), F.col("module_id").alias("node_id")
+    # a folder answers by itself: its modules times the edges that ask for it would be far more rows than the tables have
+    places = members.select(
+        F.lit("file").alias("what"), F.col("path").alias("value"), F.col("module_id").alias("node_id"), F.lit(None).cast("string").alias("folder")
+    )
+    folders = module_folders(members).select("folder").distinct().select(
+        F.lit("folder").alias("what"), F.col("folder").alias("value"), F.lit(None).cast("string").alias("node_id"), "folder"
     )
     answers = asked.distinct().join(places.unionByName(folders), ["what", "value"])
-    # both the levels and the distinct nodes of a side are found where its edge is
-    at_edge = answers.select("edge_id", "side", "level", "node_id").repartition("edge_id")
-    best = F.min("level").over(Window.partitionBy("edge_id", "side"))
-    found = at_edge.withColumn("_best", best).where("level = _best").select("edge_id", "side", "node_id").distinct()
-    direct = sides.where("kind = 'dependency'").select("edge_id", "side", F.col("key").alias("node_id"))
+    # the levels, the distinct ends of a side and their number are found where its edge is
+    at_edge = answers.select("edge_id", "side", "level", "node_id", "folder").repartition("edge_id")
+    side = Window.partitionBy("edge_id", "side")
+    best = at_edge.withColumn("_best", F.min("level").over(side)).where("level = _best")
+    found = (
+        best.select("edge_id", "side", "node_id", "folder").distinct().withColumn("alone", F.count(F.lit(1)).over(side) == 1)
+    )
+    direct = sides.where("kind = 'dependency'").select(
+        "edge_id", "side", F.col("key").alias("node_id"), F.lit(None).cast("string").alias("folder"), F.lit(True).alias("alone")
+    )
     return found.unionByName(direct)
 
 
-def lift_edges(
+def _lift(
     edges: DataFrame, edge_evidence: DataFrame, node_evidence: DataFrame, members: DataFrame, known: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """(module edges, diagnostics).
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(usable edges, edges declared at the root, ends, known modules of folders).
 
-    Module edges: edge_id, predicate, source, target without self pairs.  An edge
-    without any pair of known nodes gives ARCH-REL-ENDPOINT-UNMAPPED, one that only
-    stays inside a module gives nothing, and repository declarations at the root
-    give ARCH-REL-REPO-SCOPED.
+    The ends are as many as the edges and their evidence, whatever the folders hold; those without a known node are
+    left out.
     """
     root_rows = (
         edges.where("predicate = 'depends_on' AND subject_kind = 'repository'")
@@ -142,20 +151,65 @@ def lift_edges(
     )
     only_root = root_rows.where("_root = _all").select("edge_id")
     usable = edges.join(only_root, "edge_id", "left_anti")
-    ids = known.select(F.col("node_id")).distinct()
+    ids = known.select("node_id").distinct()
+    inside = module_folders(members).select("folder", F.col("module_id").alias("node_id")).join(ids, "node_id", "left_semi")
+    right = ids.select(F.col("node_id").alias("_node"), F.lit(None).cast("string").alias("_folder")).unionByName(
+        inside.select(F.lit(None).cast("string").alias("_node"), F.col("folder").alias("_folder")).distinct()
+    )
+    same = F.col("node_id").eqNullSafe(F.col("_node")) & F.col("folder").eqNullSafe(F.col("_folder"))
     # stored once: the edges, the diagnostics and all their users start from here
-    ends = checkpoint(_ends(usable, members, edge_evidence, node_evidence).join(ids, "node_id", "left_semi"))
-    source = ends.where("side = 'subject'").select("edge_id", F.col("node_id").alias("source"))
-    target = ends.where("side = 'object'").select("edge_id", F.col("node_id").alias("target"))
-    pairs = source.join(target, "edge_id")
-    lifted = usable.select("edge_id", "predicate").join(pairs.where("source <> target"), "edge_id")
+    ends = checkpoint(_ends(usable, members, edge_evidence, node_evidence).join(right, same, "left_semi"))
+    return usable, root_rows, ends, inside
+
+
+def _pairs(ends: DataFrame) -> DataFrame:
+    """(edge_id, alone, subject, subject_folder, object, object_folder): every end of a side with those of the other."""
+
+    def one(side: str) -> DataFrame:
+        return ends.where(F.col("side") == side).select(
+            "edge_id", F.col("node_id").alias(side), F.col("folder").alias(f"{side}_folder"), F.col("alone").alias(f"_{side}")
+        )
+
+    both = one("subject").join(one("object"), "edge_id")
+    return both.withColumn("alone", F.col("_subject") & F.col("_object")).drop("_subject", "_object")
+
+
+def _nodes_of(pairs: DataFrame, inside: DataFrame) -> DataFrame:
+    """``pairs`` with the nodes of both ends as source and target, without pairs of a node with itself."""
+    # rows without a folder find nothing, so they are spread by a hash of their own; folders get a mark before them
+    own, rows = F.xxhash64(*pairs.columns).cast("string"), pairs
+    for side, name in (("subject", "source"), ("object", "target")):
+        held = inside.select(F.concat(F.lit("/"), "folder").alias("_at"), F.col("node_id").alias("_module"))
+        asked = rows.withColumn("_at", F.coalesce(F.concat(F.lit("/"), f"{side}_folder"), own))
+        rows = asked.join(held, "_at", "left").withColumn(name, F.coalesce(side, "_module")).drop("_at", "_module")
+    return rows.where("source <> target").drop("subject", "subject_folder", "object", "object_folder")
+
+
+def lift_edges(
+    edges: DataFrame, edge_evidence: DataFrame, node_evidence: DataFrame, members: DataFrame, known: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(module edges, diagnostics).
+
+    Module edges: edge_id, predicate, source, target without self pairs.  An edge
+    without any pair of known nodes gives ARCH-REL-ENDPOINT-UNMAPPED, one that only
+    stays inside a module gives nothing, and repository declarations at the root
+    give ARCH-REL-REPO-SCOPED.
+
+    An edge of a folder has a module edge for each module below it, so these are as many as the edges of a folder
+    times its modules.
+    """
+    usable, root_rows, ends, inside = _lift(edges, edge_evidence, node_evidence, members, known)
+    pairs = usable.select("edge_id", "predicate").join(_pairs(ends), "edge_id")
+    # only ends of the same side may share modules
+    single = _nodes_of(pairs.where("alone").drop("alone"), inside)
+    several = _nodes_of(pairs.where("NOT alone").drop("alone"), inside).distinct()
     # an edge has a pair exactly when both of its sides are known
     mapped = ends.groupBy("edge_id").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b")
     unmapped = usable.select("edge_id").join(mapped, "edge_id", "left_anti")
     diagnostics = root_rows.select("edge_id", F.lit("ARCH-REL-REPO-SCOPED").alias("code"), F.lit("info").alias("severity")).unionByName(
         unmapped.select("edge_id", F.lit("ARCH-REL-ENDPOINT-UNMAPPED").alias("code"), F.lit("warning").alias("severity"))
     )
-    return lifted, diagnostics
+    return single.unionByName(several), diagnostics
 
 
 def adjacency(lifted: DataFrame) -> DataFrame:
