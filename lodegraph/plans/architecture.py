@@ -196,7 +196,7 @@ def lift_edges(
     give ARCH-REL-REPO-SCOPED.
 
     An edge of a folder has a module edge for each module below it, so these are as many as the edges of a folder
-    times its modules.
+    times its modules.  Where only the pairs of modules count, ``module_pairs`` has them without that product.
     """
     usable, root_rows, ends, inside = _lift(edges, edge_evidence, node_evidence, members, known)
     pairs = usable.select("edge_id", "predicate").join(_pairs(ends), "edge_id")
@@ -212,6 +212,14 @@ def lift_edges(
     return single.unionByName(several), diagnostics
 
 
+def module_pairs(
+    edges: DataFrame, edge_evidence: DataFrame, node_evidence: DataFrame, members: DataFrame, known: DataFrame
+) -> DataFrame:
+    """(source, target) of the module edges; equal pairs of ends meet before folders become modules."""
+    _, _, ends, inside = _lift(edges, edge_evidence, node_evidence, members, known)
+    return _nodes_of(_pairs(ends).drop("edge_id", "alone").distinct(), inside).distinct()
+
+
 def adjacency(lifted: DataFrame) -> DataFrame:
     """(node_id, direction, other): distinct dependencies and dependents, one row each."""
     pairs = lifted.select("source", "target").distinct()

@@ -346,7 +346,7 @@ def lift_diagnostics(spark, folder):
     _ARCH_CTES + f", {_ARCH_SQL} SELECT DISTINCT source AS node_id, 'dependency' AS direction, target AS other FROM lift UNION SELECT target,'dependent',source FROM lift",
 )
 def module_adjacency(spark, folder):
-    return architecture.adjacency(architecture.lift_edges(*_architecture(spark, folder))[0])
+    return architecture.adjacency(architecture.module_pairs(*_architecture(spark, folder)))
 
 
 @query(
@@ -358,7 +358,7 @@ def module_adjacency(spark, folder):
 )
 def relationship_states(spark, folder):
     edges, edge_evidence, node_evidence, members, known = _architecture(spark, folder)
-    lifted = architecture.lift_edges(edges, edge_evidence, node_evidence, members, known)[0]
+    lifted = architecture.module_pairs(edges, edge_evidence, node_evidence, members, known)
     nodes = known.withColumn("layer", F.when(F.col("node_id").startswith("dep:"), "external").otherwise("shared"))
     kept = architecture.prune_external(nodes, lifted)
     unresolved = known.where(F.col("node_id").rlike("/m."))

@@ -40,6 +40,10 @@ def test_edges_of_a_folder_do_not_meet_its_modules_one_by_one(spark, stored):
     both, diagnostics = architecture.lift_edges(*tables)
     assert diagnostics.count() == 0 and max(stored) <= 2 * n
     assert both.count() == n * n
+    found = {tuple(r) for r in architecture.adjacency(architecture.module_pairs(*tables)).collect()}
+    assert max(stored) <= 2 * n
+    want = {(f"module:{i}", "dependency", "module:docs") for i in range(n)}
+    assert found == want | {(o, "dependent", s) for s, _, o in want}
 
 
 def test_folders_that_share_modules(spark):
@@ -67,3 +71,5 @@ def test_folders_that_share_modules(spark):
     assert sorted((r.edge_id, r.code) for r in diagnostics.collect()) == [
         ("m2", "ARCH-REL-ENDPOINT-UNMAPPED"), ("m3", "ARCH-REL-ENDPOINT-UNMAPPED"), ("r2", "ARCH-REL-ENDPOINT-UNMAPPED"), ("r3", "ARCH-REL-REPO-SCOPED"),
     ]
+    pairs = sorted(tuple(r) for r in architecture.module_pairs(*tables).collect())
+    assert pairs == sorted({w[2:] for w in want})
