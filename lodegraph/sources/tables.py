@@ -27,34 +27,30 @@ def load_facts(spark: SparkSession, folder: str, *snapshot_ids: str) -> dict[str
     return tables
 
 
-#: Tasks that write one snapshot of a table.
-WRITERS = 16
-
-
 def append_facts(table: DataFrame, folder: str, name: str, identity: list[str]) -> None:
     """Add rows to the partitions of their snapshots; rows that are stored already are not stored again.
 
     ``identity`` names a row within its snapshot.  A stored row with another content, or two such new rows, are a
-    conflict: nothing is written then.  A rerun adds what is missing, so it may follow a failure.  Rows are spread by
-    a hash of their identity, and one snapshot is written by ``WRITERS`` tasks.
+    conflict: nothing is written then.  A rerun adds what is missing, so it may follow a failure.  A snapshot is written
+    by as many tasks as its new rows need at Spark's advisory partition size, and small snapshots share a task.
     """
     key = ["snapshot_id", *identity]
     rest = [f for f in table.schema if f.name not in key]
     # maps have no order of their own
     cells = [F.array_sort(F.map_entries(f.name)) if f.dataType.typeName() == "map" else F.col(f.name) for f in rest]
-    new, content = table.dropDuplicates(key), F.sha2(F.to_json(F.struct(F.lit(1), *cells)), 256)
+    new, content = table.dropDuplicates(key), F.unhex(F.sha2(F.to_json(F.struct(F.lit(1), *cells)), 256))
     both = table.select(*key, content.alias("_content"))
     path = f"{folder}/{name}"
     if stored_already(table.sparkSession, path):
-        touched = table.select("snapshot_id").distinct()
+        # no more ids than the table gets folders; a shuffle by snapshot would put a large one into one task
+        touched = F.broadcast(table.select("snapshot_id").distinct())
         old = table.sparkSession.read.schema(table.schema).parquet(path).join(touched, "snapshot_id", "left_semi")
         both = both.unionByName(old.select(*key, content.alias("_content")))
         new = new.join(old.select(*key), key, "left_anti")
     clash = both.groupBy(*key).agg(F.min("_content").alias("a"), F.max("_content").alias("b")).where("NOT a <=> b")
     if first := clash.select(*key).first():
         raise ValueError(f"{name}: rows with one identity differ, such as {first.asDict()}")
-    salt = F.pmod(F.xxhash64(*key), F.lit(WRITERS))
-    new.repartition("snapshot_id", salt).write.mode("append").partitionBy("snapshot_id").parquet(path)
+    new.hint("rebalance", F.col("snapshot_id")).write.mode("append").partitionBy("snapshot_id").parquet(path)
 
 
 def stored_already(spark: SparkSession, folder: str) -> bool:

@@ -1,5 +1,7 @@
 """Stored tables: partition pruning, rewrites, sinks; and plans that must keep their shape."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,43 @@ def test_rewriting_a_snapshot_keeps_the_others(spark, tmp_path):
     assert spark.read.schema(schemas.NODES).parquet(f"{folder}/nodes").count() == 7
 
 
+def test_stored_rows_of_one_snapshot_do_not_meet_in_one_task(spark, tmp_path, monkeypatch):
+    folder, plans = str(tmp_path), []
+    rows = spark.range(4000).select(
+        F.concat(F.lit("s"), F.when(F.col("id") < 2000, 1).otherwise(2)).alias("snapshot_id"),
+        F.concat(F.lit("file:"), "id").alias("stable_key"),
+        F.lit("file").alias("node_kind"),
+    )
+    first = type(rows).first
+
+    def looked(df):
+        plans.append(plan(df))
+        return first(df)
+
+    monkeypatch.setattr(type(rows), "first", looked)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "40",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        # a snapshot is written by more tasks the more rows it has
+        tables.append_facts(rows.where("snapshot_id = 's1'"), folder, "nodes", ["stable_key"])
+        split = list((tmp_path / "nodes" / "snapshot_id=s1").glob("part-*"))
+        tables.append_facts(rows, folder, "nodes", ["stable_key"])
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(plans) == 2 and not any(re.search(r"SortMergeJoin[^\n]*\[snapshot_id#\d+\]", p) for p in plans)
+    stored = spark.read.parquet(f"{folder}/nodes")
+    assert {r.snapshot_id: r["count"] for r in stored.groupBy("snapshot_id").count().collect()} == {"s1": 2000, "s2": 2000}
+    assert len(split) > 16
+
+
 def test_markdown_file_order(spark, tmp_path):
     rows = spark.createDataFrame([("b", 2), ("a", 1)], "name string, n int")
     lines = tables.markdown_lines(spark, 1, ["# T", ""]).unionByName(tables.markdown_table(rows, 2, ["name", "n"], [F.col("name")]))
