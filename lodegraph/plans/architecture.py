@@ -150,7 +150,8 @@ def _lift(
         .where("_root > 0")
     )
     only_root = root_rows.where("_root = _all").select("edge_id")
-    usable = edges.join(only_root, "edge_id", "left_anti")
+    # both sides of the edges are asked for in several ways, each from here
+    usable = checkpoint(edges.join(only_root, "edge_id", "left_anti"))
     ids = known.select("node_id").distinct()
     inside = module_folders(members).select("folder", F.col("module_id").alias("node_id")).join(ids, "node_id", "left_semi")
     right = ids.select(F.col("node_id").alias("_node"), F.lit(None).cast("string").alias("_folder")).unionByName(
