@@ -19,7 +19,9 @@ def _key(kind: str, column: str):
     return F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
 
 
-def edges(spark, folder) -> DataFrame:
+def edges(spark, folder, distinct: bool = True) -> DataFrame:
+    """All edges.  Without ``distinct`` those of line items repeat, for a caller that makes rows distinct after a shuffle."""
+
     def branch(df, subject, predicate, obj):
         (subject_kind, subject_col), (object_kind, object_col) = subject, obj
         return df.select(
@@ -31,17 +33,18 @@ def edges(spark, folder) -> DataFrame:
         )
 
     lines = table(spark, folder, "lineitem")
+
+    def pairs(*columns):
+        found = lines.select(*columns)
+        return found.distinct() if distinct else found
+
     parts = [
         branch(table(spark, folder, "nation"), ("nation", "n_nationkey"), "depends_on", ("region", "n_regionkey")),
         branch(table(spark, folder, "supplier"), ("supplier", "s_suppkey"), "depends_on", ("nation", "s_nationkey")),
         branch(table(spark, folder, "customer"), ("customer", "c_custkey"), "depends_on", ("nation", "c_nationkey")),
         branch(table(spark, folder, "orders"), ("order", "o_orderkey"), "imports", ("customer", "o_custkey")),
-        branch(
-            lines.select("l_orderkey", "l_partkey").distinct(), ("order", "l_orderkey"), "imports", ("part", "l_partkey")
-        ),
-        branch(
-            lines.select("l_partkey", "l_suppkey").distinct(), ("part", "l_partkey"), "calls", ("supplier", "l_suppkey")
-        ),
+        branch(pairs("l_orderkey", "l_partkey"), ("order", "l_orderkey"), "imports", ("part", "l_partkey")),
+        branch(pairs("l_partkey", "l_suppkey"), ("part", "l_partkey"), "calls", ("supplier", "l_suppkey")),
     ]
     union = parts[0]
     for part in parts[1:]:

@@ -65,17 +65,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def dealt(df: DataFrame, key: str, name: str) -> DataFrame:
+def dealt(df: DataFrame, key: str | list[str], name: str, distinct: bool = False) -> DataFrame:
     """``df`` stored below the checkpoint folder in buckets of ``key``: joins on the key shuffle their other side only.
 
+    With ``distinct`` equal rows are stored once; they meet in their bucket.
     ``forget`` takes the table's name out of the catalog again; its files stay, like those of ``written``.
     """
     import uuid
 
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    keys = [key] if isinstance(key, str) else key
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", scratch_folder(spark, name))
+    rows = df.repartition(buckets, *keys)
+    rows = rows.distinct() if distinct else rows
+    writer = rows.write.bucketBy(buckets, *keys).option("path", scratch_folder(spark, name))
     writer.format("parquet").saveAsTable(table)
+    spark._jvm.System.gc()  # Spark drops a shuffle once nothing holds it: the one that filled the buckets
     found = spark.table(table)
     found.dealt_name = table
     return found

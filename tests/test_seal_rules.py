@@ -237,3 +237,62 @@ def test_digest_query_sets_no_number_of_partitions(spark):
     assert "hashpartitioning(reverse" in (plan := found._jdf.queryExecution().sparkPlan().toString()) or "REPARTITION_BY_COL" in plan
     assert "REPARTITION_BY_NUM" not in plan
     assert [r.same for r in found.collect()] == [True] * 3
+
+
+def exchanged(df):
+    """Column names of each exchange of the plan when no side of a join is sent to all tasks."""
+    spark, name = df.sparkSession, "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        nodes, found = [df.select("*")._jdf.queryExecution().executedPlan().initialPlan()], []
+    finally:
+        spark.conf.set(name, before)
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Exchange":
+            found.append([node.output().apply(i).name() for i in range(node.output().size())])
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_edge_ids_that_recompute_do_not_travel(spark):
+    """Ids that recompute, that do not, and none, in rows that break each part of the rule."""
+    rows = [("s", f"a{i % 5}", "n", "imports", "n", f"b{i % 7}", "p", str(i % 3)) for i in range(60)]
+    names = ["snapshot_id", "subject_key", "subject_kind", "predicate", "object_kind", "object_key", "producer", "producer_version"]
+    edges = spark.createDataFrame(rows, names)
+    made = identity.edge_id("subject_key", "predicate", "object_key")
+    other = F.when(F.col("object_key") == "b1", None).when(F.col("object_key") == "b2", F.concat(F.lit("="), made)).otherwise(made)
+    edges = edges.withColumn("edge_id", other)
+    ids = sorted({r.edge_id for r in edges.collect() if r.edge_id})
+    evidence = spark.createDataFrame([("s", "edge", x) for x in ids[::2]], "snapshot_id string, parent_kind string, parent_id string")
+    derivations = spark.createDataFrame(
+        [("s", "edge", x, "observation") for x in ids[::3]],
+        "snapshot_id string, parent_kind string, parent_id string, ref_kind string",
+    )
+    nodes = spark.createDataFrame(
+        [("s", f"a{i}", "n") for i in range(4)] + [("s", f"b{i}", "n") for i in range(1, 7)],
+        "snapshot_id string, stable_key string, node_kind string",
+    )
+    producers = spark.createDataFrame([("s", "p@0"), ("s", "p@1")], "snapshot_id string, producer string")
+    want = []
+    for e in edges.collect():
+        own = "edge:sha256:" + hashlib.sha256("\x1f".join((e.subject_key, e.predicate, e.object_key)).encode()).hexdigest()
+        found = [("subject", e.subject_key == "a4"), ("object", e.object_key == "b0")]
+        found += [("identity", e.edge_id not in (None, own)), ("producer not declared", e.producer_version == "2")]
+        found += [("no evidence", e.edge_id not in ids[::2]), ("no source observation", e.edge_id not in ids[::3])]
+        want += [(str(e.edge_id), detail) for detail, bad in found if bad]
+    found = quality.edges_sound(nodes, edges, evidence, derivations, producers)
+    assert sorted((str(r.key), r.detail) for r in found.collect()) == sorted(want)
+    sent = [names for names in exchanged(found) if "subject_key" in names]
+    wide = [names for names in sent if "edge_id" in names or "_id" in names]
+    # only the producer's look-up, which the session sends to all tasks, has whole rows
+    assert len(sent) >= 3 and len(wide) <= 1
+
+
+def test_the_edge_query_stores_line_edges_once(spark):
+    from lodegraph.queries import bindings
+
+    folder = "/root/testdata/sf0.001"
+    rows = bindings.edges(spark, folder, distinct=False).drop("edge_id").distinct()
+    assert sorted(rows.collect()) == sorted(bindings.edges(spark, folder).drop("edge_id").collect())
