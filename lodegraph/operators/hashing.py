@@ -18,21 +18,27 @@ from lodegraph.operators.resolve import union_all
 LEVELS = (6, 3, 0)
 
 
+# Records of up to so many bytes go to their leaf as text: that of canonical records takes less room in a shuffle than a hash.
+SHORT = 128
+
+
 def tree_digest(records: DataFrame, keys: list[str], text: str = "record") -> DataFrame:
     """One digest per key over the set of its record texts.
 
-    Hashes travel as 32 bytes, once: leaves are dealt out by their prefix, and repeated records go where they meet.
+    Records are dealt out once, by the prefix of their hash; repeated ones go where they meet.  Hashes travel as 32 bytes.
     """
-    hashed = records.select(*keys, F.sha2(F.col(text), 256).alias("_h"))
-    prefixed = hashed.select(*keys, F.substring("_h", 1, LEVELS[0]).alias("_p"), F.unhex("_h").alias("_h"))
-    level = prefixed.repartition(*keys, "_p").distinct().withColumn("_h", F.lower(F.hex("_h")))
+    short = F.octet_length(text) <= SHORT
+    held = records.select(*keys, F.when(short, F.col(text)).alias("_t"), F.when(~short, F.unhex(F.sha2(text, 256))).alias("_h"))
+    own = F.coalesce("_h", F.unhex(F.sha2("_t", 256)))
+    leaf = F.substring(F.hex(own), 1, LEVELS[0])
+    level = held.repartition(*keys, leaf).withColumn("_p", leaf).distinct().select(*keys, "_p", own.alias("_h"))
     for digits in LEVELS:
-        level = (
-            level.withColumn("_p", F.substring("_p", 1, digits))
-            .groupBy(*keys, "_p")
-            .agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_h"))
-        )
-    return level.select(*keys, F.concat(F.lit("sha256:"), "_h").alias("digest"))
+        if digits < LEVELS[0]:  # leaves stay where they have been dealt to
+            level = level.withColumn("_p", F.substring("_p", 1, digits))
+        # bytes sort as their hex text does
+        hashes = F.transform(F.sort_array(F.collect_list("_h")), F.hex)
+        level = level.groupBy(*keys, "_p").agg(F.unhex(F.sha2(F.lower(F.array_join(hashes, "")), 256)).alias("_h"))
+    return level.select(*keys, F.concat(F.lit("sha256:"), F.lower(F.hex("_h"))).alias("digest"))
 
 
 def graph_records(t: dict[str, DataFrame]) -> DataFrame:

@@ -296,3 +296,23 @@ def test_the_edge_query_stores_line_edges_once(spark):
     folder = "/root/testdata/sf0.001"
     rows = bindings.edges(spark, folder, distinct=False).drop("edge_id").distinct()
     assert sorted(rows.collect()) == sorted(bindings.edges(spark, folder).drop("edge_id").collect())
+
+
+def test_tree_digest_shuffles_records_once_and_short_ones_as_text(spark):
+    """Records around the length up to which text travels, repeated ones, and a key with one record."""
+    texts = [f"r{i % 40}" for i in range(80)] + [c * n for c in "xé" for n in range(60, 140)] + ["y" * 500] * 2
+    records = spark.createDataFrame([("a", t) for t in texts] + [("b", "z")], "k string, record string")
+    want = {}
+    for key, own in (("a", texts), ("b", ["z"])):
+        level = [(h, h) for h in {hashlib.sha256(t.encode()).hexdigest() for t in own}]
+        for digits in hashing.LEVELS:
+            groups = {}
+            for prefix, h in level:
+                groups.setdefault(prefix[:digits], []).append(h)
+            level = [(p, hashlib.sha256("".join(sorted(hs)).encode()).hexdigest()) for p, hs in groups.items()]
+        want[key] = "sha256:" + level[0][1]
+    found = hashing.tree_digest(records, ["k"])
+    assert {r.k: r.digest for r in found.collect()} == want
+    # records to leaves, leaves to their nodes, nodes to the root; neither leaves nor prefixes are dealt out again
+    sent = exchanged(found)
+    assert len(sent) == 3 and ["k", "_t", "_h"] in sent
