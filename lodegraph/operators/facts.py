@@ -36,7 +36,8 @@ def visible_edges(edges: DataFrame, focus: str | None = None) -> DataFrame:
 def edge_list(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with the names of both ends, in their order; an end without a name goes by its key.
 
-    Edges may come without ids; these are made after the joins then, and sorted as bytes, which sort as their text does.
+    Edges may come without ids; these are made where the rows have been dealt out, and sorted as bytes, which sort as
+    their text does.
     """
     made = "edge_id" not in edges.columns
     named = nodes.select("stable_key", "name")
@@ -47,7 +48,9 @@ def edge_list(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         return edges.orderBy("source", "target", "edge_id")
     prefix = "edge:sha256:"
     digest = F.substring(identity.edge_id("subject_key", "predicate", "object_key"), len(prefix) + 1, 64)
-    listed = edges.withColumn("_digest", F.unhex(digest)).orderBy("source", "target", "_digest")
+    # rows of equal names are split by the first digits of their ids, so ranges follow each other as the whole order does
+    dealt = edges.repartitionByRange("source", "target", F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"))
+    listed = dealt.withColumn("_digest", F.unhex(digest)).sortWithinPartitions("source", "target", "_digest")
     return listed.withColumn("edge_id", F.concat(F.lit(prefix), F.lower(F.hex("_digest")))).drop("_digest")
 
 

@@ -326,7 +326,10 @@ def edge_list_view(spark, folder):
       FROM edges e LEFT JOIN nodes s ON s.stable_key=e.subject_key LEFT JOIN nodes o ON o.stable_key=e.object_key""",
 )
 def edge_list_by_names(spark, folder):
-    return facts.edge_list(b.nodes(spark, folder), b.edges(spark, folder).drop("edge_id")).select("edge_id", "source", "target")
+    # edges of line items become distinct where they are dealt out by their subject for its name
+    edges = b.edges(spark, folder, distinct=False).select("subject_key", "predicate", "object_key")
+    edges = edges.repartition("subject_key").distinct()
+    return facts.edge_list(b.nodes(spark, folder), edges).select("edge_id", "source", "target")
 
 
 @query(

@@ -304,3 +304,24 @@ def test_edge_list_makes_ids_after_its_joins(spark):
     columns = "source", "target", "edge_id"
     got, want = (facts.edge_list(nodes, e).select(*columns).collect() for e in (rows.drop("edge_id"), named))
     assert got == want == sorted(want)
+
+
+def test_edge_list_deals_out_rows_of_equal_names_without_their_ids(spark):
+    rows = edge_table(spark, [(f"a{i}", f"b{i % 9}") for i in range(400)])
+    named = rows.withColumn("edge_id", identity.edge_id("subject_key", "predicate", "object_key"))
+    nodes = spark.createDataFrame([(f"a{i}", "same") for i in range(400)] + [(f"b{i}", "too") for i in range(9)], "stable_key string, name string")
+    listed = facts.edge_list(nodes, rows.drop("edge_id")).select("source", "target", "edge_id")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        placed = listed.withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert len({r.part for r in placed}) > 1
+    assert [r.edge_id for r in placed] == sorted(r.edge_id for r in named.collect())
+    plan = listed._jdf.queryExecution().optimizedPlan()
+    while "Repartition" not in plan.nodeName():
+        plan = plan.children().apply(0)
+    sent = [plan.output().apply(i).name() for i in range(plan.output().size())]
+    assert sorted(sent) == ["object_key", "predicate", "source", "subject_key", "target"]
