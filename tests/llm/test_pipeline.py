@@ -104,3 +104,18 @@ def test_copies_leave_one(spark, documents):
     copies = documents.unionByName(documents.withColumn("doc_id", F.col("doc_id") + 1_000_000))
     ids = [r[0] for r in STAGES["SimHash near-dedup"](spark, copies, FOLDER).select("doc_id").collect()]
     assert ids and max(ids) < 1_000_000 and len(set(ids)) == len(ids)
+
+
+def test_near_dedup_runs_simhash_on_every_text(spark, documents, monkeypatch):
+    """The stage's candidates come from op4's operator, too, and from all rows with an id."""
+    seen, run = [], corpus_pipeline.simhash.near_duplicates
+
+    def watched(df, *args, **kwargs):
+        seen.append(run(df, *args, **kwargs))
+        return seen[-1]
+
+    monkeypatch.setattr(corpus_pipeline.simhash, "near_duplicates", watched)
+    STAGES["SimHash near-dedup"](spark, documents, FOLDER).collect()
+    found = seen[0].select("doc_id", "component_id")
+    assert sorted(r.doc_id for r in found.collect()) == sorted(r.doc_id for r in documents.where("doc_id is not null").collect())
+    assert found.where("doc_id <> component_id").count() > 0
